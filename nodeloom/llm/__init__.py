@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .flac import op5_flac
 from .quality import op3_quality
 from .simhash import op2_simhash
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op5_flac": op5_flac,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op9_toxicity": op9_toxicity,
