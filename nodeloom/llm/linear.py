@@ -32,9 +32,9 @@ class FtrlParams:
     pair_weight: weight of the squared score change between a row and its counterfactual.
     """
 
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
+    l1: float = 3.0
     l2: float = 0.1
     epochs: int = 3
     orders: tuple[int, ...] = (1, 2)
