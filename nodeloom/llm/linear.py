@@ -29,6 +29,9 @@ class FtrlParams:
 
     max_rows: bound of the labelled sample (expected size; drawn by a hash of the id).
     rows_per_shard: the sample is fitted in shards of about this many rows.
+    orders: lengths of the word n-grams.
+    prefixes: byte lengths of word beginnings that are features too (inflected words share them).
+    runs: lengths from which a word said again and again is a feature, whatever the word.
     pair_weight: weight of the squared score change between a row and its counterfactual.
     """
 
@@ -38,6 +41,8 @@ class FtrlParams:
     l2: float = 0.1
     epochs: int = 3
     orders: tuple[int, ...] = (1, 2)
+    prefixes: tuple[int, ...] = ()
+    runs: tuple[int, ...] = ()
     max_rows: int = 16_000
     rows_per_shard: int = 4_000
     pair_weight: float = 0.0
@@ -66,9 +71,22 @@ class LinearModel:
 Swap = Callable[[np.ndarray], np.ndarray]
 
 
-def features(t: tk.Tokens, orders: tuple[int, ...], hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and documents of all n-grams of a chunk."""
-    parts = [tk.ngrams(t, n, hashes) for n in orders]
+def features(t: tk.Tokens, p: FtrlParams, swap: Swap | None = None, swapped: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and documents of all features of a chunk; terms that ``swap`` moves have no prefix features."""
+    parts = [tk.ngrams(t, n, swapped) for n in p.orders]
+    long = t.end - t.start
+    if swap is not None:
+        long = np.where(swap(t.hash) == t.hash, long, 0)
+    for size in p.prefixes:
+        at = long > size
+        parts.append((tk.mix(t.ranges(t.start[at], t.start[at] + size) + np.uint64(size)), t.doc[at]))
+    if p.runs and len(t.doc):
+        new = np.ones(len(t.doc) + 1, bool)
+        new[1:-1] = (t.hash[1:] != t.hash[:-1]) | (t.doc[1:] != t.doc[:-1])
+        at = np.flatnonzero(new)
+        for size in p.runs:
+            docs = t.doc[at[:-1][np.diff(at) >= size]]
+            parts.append((np.full(len(docs), tk.mix(np.array([size + 1000], np.uint64))[0]), docs))
     return np.concatenate([(h & BUCKETS).astype(np.int64) for h, _ in parts]), np.concatenate([d for _, d in parts])
 
 
@@ -122,17 +140,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str, fold: F.Column, class
     spread = F.pmod(F.xxhash64(F.lit(params.seed), "doc_id"), F.lit(1_000_000))
     sample = known.filter(spread < int(1e6 * min(1.0, params.max_rows / total)))
     shards = max(1, round(min(total, params.max_rows) / params.rows_per_shard))
-    orders = params.orders
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y, key = batch.column("y"), batch.column("shard")
             for first, last, data, offsets in tk.chunks(batch):
                 t = tk.tokenize(data, offsets, classes)
-                found = [features(t, orders)]
+                found = [features(t, params, swap)]
                 if swap is not None:
                     changed = swap(t.hash)
-                    found.append(features(t, orders, changed))
+                    found.append(features(t, params, swap, changed))
                     touched = np.zeros(last - first, bool)
                     touched[t.doc[changed != t.hash]] = True
                 binary = []
@@ -165,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str, fold: F.Column, class
     return LinearModel(float(mean.get(-1, 0.0)), rest.index.to_numpy(np.int64), rest.to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: LinearModel, *, classes: np.ndarray, orders: tuple[int, ...], keep: list[str], name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: LinearModel, *, classes: np.ndarray, params: FtrlParams, keep: list[str], swap: Swap | None = None, name: str = "score") -> DataFrame:
     """``keep`` columns of ``docs`` and the probability of label 1 for each row's whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,7 +193,7 @@ def score(docs: DataFrame, model: LinearModel, *, classes: np.ndarray, orders: t
                 continue
             scores = np.empty(batch.num_rows)
             for first, last, data, offsets in tk.chunks(batch):
-                buckets, doc = features(tk.tokenize(data, offsets, classes), orders)
+                buckets, doc = features(tk.tokenize(data, offsets, classes), params, swap)
                 scores[first:last] = sigmoid(model.logits(buckets, doc, last - first))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], names=[*keep, name])
 

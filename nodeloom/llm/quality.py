@@ -16,7 +16,7 @@ from .linear import FtrlParams, LinearModel, fit, score
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Runs of symbols are tokens too: markup debris and shouting show there.
 CLASSES = tk.WORDS_AND_SYMBOLS
-PARAMS = FtrlParams()
+PARAMS = FtrlParams(runs=(4,))
 
 
 def fold_of(folds: int = FOLDS) -> F.Column:
@@ -30,7 +30,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: FtrlParams = PARAMS)
 
 def score_quality(docs: DataFrame, model: LinearModel, keep: list[str], params: FtrlParams = PARAMS) -> DataFrame:
     """``keep`` columns and ``score``, the probability of good quality."""
-    return score(docs, model, classes=CLASSES, orders=params.orders, keep=keep)
+    return score(docs, model, classes=CLASSES, params=params, keep=keep)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

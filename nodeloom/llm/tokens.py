@@ -58,15 +58,6 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         first = last
 
 
-@dataclass
-class Tokens:
-    start: np.ndarray  #: byte offsets in the chunk
-    end: np.ndarray
-    doc: np.ndarray  #: row within the chunk
-    hash: np.ndarray  #: 64-bit hash of the lower-cased bytes
-    kind: np.ndarray  #: class of the token's bytes
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, element-wise."""
     x = x.astype(np.uint64, copy=True)
@@ -105,6 +96,16 @@ class RangeHash:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
 
+@dataclass
+class Tokens:
+    start: np.ndarray  #: byte offsets in the chunk
+    end: np.ndarray
+    doc: np.ndarray  #: row within the chunk
+    hash: np.ndarray  #: 64-bit hash of the lower-cased bytes
+    kind: np.ndarray  #: class of the token's bytes
+    ranges: RangeHash  #: hashes of other byte ranges of the chunk
+
+
 def tokenize(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> Tokens:
     """Maximal runs of bytes of one class (0 separates); no run crosses a document."""
     kinds = classes[data]
@@ -117,7 +118,8 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> Toke
     keep = kinds[start] > 0 if len(start) else np.zeros(0, bool)
     start, end = start[keep], end[keep]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Tokens(start, end, doc, RangeHash(LOWER[data])(start, end), kinds[start])
+    ranges = RangeHash(LOWER[data])
+    return Tokens(start, end, doc, ranges(start, end), kinds[start], ranges)
 
 
 def hash_of(word: str) -> np.uint64:

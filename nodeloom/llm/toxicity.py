@@ -19,7 +19,7 @@ from .quality import fold_of
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 CLASSES = tk.WORDS
-PARAMS = FtrlParams(pair_weight=0.5)
+PARAMS = FtrlParams(prefixes=(4, 5, 6, 7), pair_weight=0.5)
 #: Terms that are swapped for the next one of their line (the last for the first).
 IDENTITY_TERMS = (
     "muslim christian jewish hindu buddhist sikh atheist catholic".split(),
@@ -54,7 +54,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: FtrlParams = PARAMS
 
 def score_toxicity(docs: DataFrame, model: LinearModel, keep: list[str], params: FtrlParams = PARAMS) -> DataFrame:
     """``keep`` columns and ``score``, the probability that the text is toxic."""
-    return score(docs, model, classes=CLASSES, orders=params.orders, keep=keep)
+    return score(docs, model, classes=CLASSES, params=params, keep=keep, swap=swap_terms)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
