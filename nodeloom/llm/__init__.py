@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .flac import op5_flac
+from .licenses import op6_licenses
 from .quality import op3_quality
 from .simhash import op2_simhash
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op6_licenses": op6_licenses,
     "op5_flac": op5_flac,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
