@@ -5,14 +5,19 @@ from __future__ import annotations
 from .flac import op5_flac
 from .licenses import op6_licenses
 from .quality import op3_quality
+from .secrets import ORACLE_SQL as _secrets_sql
+from .secrets import op8_secrets
 from .simhash import op2_simhash
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op8_secrets": op8_secrets,
     "op6_licenses": op6_licenses,
     "op5_flac": op5_flac,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op9_toxicity": op9_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_secrets": _secrets_sql,
+}
