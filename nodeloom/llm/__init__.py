@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import ORACLE_SQL as _decontaminate_sql
+from .decontaminate import op4_decontaminate
 from .flac import op5_flac
 from .licenses import op6_licenses
 from .quality import op3_quality
@@ -11,6 +13,7 @@ from .simhash import op2_simhash
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op8_secrets": op8_secrets,
     "op6_licenses": op6_licenses,
     "op5_flac": op5_flac,
@@ -19,5 +22,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": _decontaminate_sql,
     "op8_secrets": _secrets_sql,
 }
