@@ -5,7 +5,10 @@ from __future__ import annotations
 from .decontaminate import ORACLE_SQL as _decontaminate_sql
 from .decontaminate import op4_decontaminate
 from .flac import op5_flac
+from .language import op1_language
 from .licenses import op6_licenses
+from .mixing import ORACLE_SQL as _mixing_sql
+from .mixing import op7_mixing
 from .quality import op3_quality
 from .secrets import ORACLE_SQL as _secrets_sql
 from .secrets import op8_secrets
@@ -13,6 +16,8 @@ from .simhash import op2_simhash
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op7_mixing": op7_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op8_secrets": op8_secrets,
     "op6_licenses": op6_licenses,
@@ -22,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": _mixing_sql,
     "op4_decontaminate": _decontaminate_sql,
     "op8_secrets": _secrets_sql,
 }
