@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import ORACLE_SQL as _decontaminate_sql
 from .decontaminate import op4_decontaminate
+from .exact_substrings import op10_repeats
 from .flac import op5_flac
 from .language import op1_language
 from .licenses import op6_licenses
@@ -16,6 +17,7 @@ from .simhash import op2_simhash
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op10_repeats": op10_repeats,
     "op1_language": op1_language,
     "op7_mixing": op7_mixing,
     "op4_decontaminate": op4_decontaminate,
