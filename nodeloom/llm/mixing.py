@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 MAX_RATE, SEED, TEMPERATURE = 500, 17, 0.5
 #: Rows of the rate table that may be broadcast; beyond, the join is a shuffle that Spark may split by skew.
 BROADCAST_SOURCES = 100_000
@@ -56,14 +58,14 @@ def uniform(*parts: Column) -> Column:
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", ident: str = "doc_id", size: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` replicated to the target weights and shuffled; adds ``replica`` (from 1) and ``shuffle_key``."""
-    table = rates(docs, tempered_weights(docs, source) if weights is None else weights, source, size).withColumnRenamed(source, "_source")
+    key, cdf, count = (free_name(docs, x) for x in ("_source", "_cdf", "_count"))
+    table = rates(docs, tempered_weights(docs, source) if weights is None else weights, source, size).select(F.col(source).alias(key), F.col("cdf").alias(cdf))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     name = F.coalesce(F.col(ident).cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    drawn = docs.join(table, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_u", uniform(F.lit(str(seed)), name))
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
-    drawn = drawn.withColumn("_count", count).filter("_count > 0").drop("cdf", "_source", "_u", "rate")
-    each = drawn.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count")
+    draw = uniform(F.lit(str(seed)), name)
+    drawn = docs.join(table, F.col(source).eqNullSafe(F.col(key))).withColumn(count, F.size(F.filter(cdf, lambda c: c <= draw)))
+    each = drawn.filter(F.col(count) > 0).drop(cdf, key).withColumn("replica", F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count)
     each = each.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}+"), name, F.col("replica")).cast("binary")))
     return each.repartition("shuffle_key").sortWithinPartitions("shuffle_key", ident)
 

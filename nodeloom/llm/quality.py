@@ -28,9 +28,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: FtrlParams = PARAMS)
     return fit(docs, labels, label="quality", fold=fold_of() != HELD_OUT, classes=CLASSES, params=params)
 
 
-def score_quality(docs: DataFrame, model: LinearModel, keep: list[str], params: FtrlParams = PARAMS) -> DataFrame:
-    """``keep`` columns and ``score``, the probability of good quality."""
-    return score(docs, model, classes=CLASSES, params=params, keep=keep)
+def score_quality(docs: DataFrame, model: LinearModel, keep: list[str], params: FtrlParams = PARAMS, name: str = "score") -> DataFrame:
+    """``keep`` columns and ``name``, the probability of good quality."""
+    return score(docs, model, classes=CLASSES, params=params, keep=keep, name=name)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
