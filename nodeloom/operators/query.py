@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
@@ -61,11 +61,14 @@ def project(rows: DataFrame, names: Sequence[str]) -> DataFrame:
         if n in rows.columns:
             out.append(F.col(n))
         else:
-            loose = F.map_values(F.map_filter("fields", lambda k, _, n=n: F.lower(k) == n.lower()))
-            out.append(F.coalesce(F.try_element_at("fields", F.lit(n)), F.get(loose, F.lit(0))).alias(n))
+            out.append(F.coalesce(F.try_element_at("fields", F.lit(n)), _any_case(n)).alias(n))
     return rows.select(*out)
 
 
+def _any_case(name: str) -> Column:
+    return F.get(F.map_values(F.map_filter("fields", lambda k, _: F.lower(k) == name.lower())), F.lit(0))
+
+
 def batch_get(cat: Catalog, ids: DataFrame) -> DataFrame:
     """``ids(position, id)`` with their nodes, input order and repeats kept, unknown ids with a null name."""
     return ids.join(cat.nodes.select(*CORE), "id", "left").select("position", *CORE).orderBy("position")

@@ -15,9 +15,9 @@ def ancestors(cat: Catalog, most: int = MOST_LEVELS) -> DataFrame:
     """(tag, ancestor, depth): the least number of steps, over multiple inheritance; cycles end at the cap."""
     edges = cat.tag_parents.select("child", "parent").distinct()
     found = edges.select(F.col("child").alias("tag"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    level = found
+    level, up = found, edges.toDF("_child", "_parent")
     for depth in range(2, most + 1):
-        level = level.join(edges, level.ancestor == edges.child).select("tag", edges.parent.alias("ancestor"), F.lit(depth).alias("depth")).distinct()
+        level = level.join(up, F.col("ancestor") == F.col("_child")).select("tag", F.col("_parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
         level = level.join(found, ["tag", "ancestor"], "left_anti").filter("tag <> ancestor")
         if level.isEmpty():
             break
@@ -36,8 +36,8 @@ def deepest(cat: Catalog) -> DataFrame:
 def all_fields(cat: Catalog) -> DataFrame:
     """(tag, field, origin, depth, field_order, kind): own attributes, then inherited, the nearest declaration of each name."""
     own = cat.tag_fields.select("tag", "field", F.col("tag").alias("origin"), F.lit(0).alias("depth"), "field_order", "kind")
-    up = ancestors(cat)
-    inherited = up.join(cat.tag_fields.withColumnRenamed("tag", "origin"), up.ancestor == F.col("origin")).select(up.tag, "field", "origin", "depth", "field_order", "kind")
+    up = ancestors(cat).select("tag", F.col("ancestor").alias("origin"), "depth")
+    inherited = up.join(cat.tag_fields.withColumnRenamed("tag", "origin"), "origin").select("tag", "field", "origin", "depth", "field_order", "kind")
     rank = F.row_number().over(Window.partitionBy("tag", "field").orderBy("depth", "field_order", "origin"))
     return own.unionByName(inherited).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 

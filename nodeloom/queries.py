@@ -31,7 +31,9 @@ def star(sql: str) -> Callable:
     """Registers a query over the catalog and its SQL (which sees the catalog's views)."""
 
     def register(f: Callable[[Catalog], DataFrame]) -> Callable[[Catalog], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(star_catalog(spark, sf_dir))
+        # Of found nodes the update time is left out: only events have one.
+        drop = "updated" if f.__name__.startswith(("uq_", "gq_find", "batch", "children")) else "-"
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(star_catalog(spark, sf_dir)).drop(drop)
         ORACLE_SQL[f.__name__] = f"{STAR_SQL}\n{sql}"
         return f
 
@@ -50,7 +52,7 @@ def table(sql: str | None) -> Callable:
     return register
 
 
-NODE = "id, name, parent_id, created, updated"
+NODE = "id, name, parent_id, created"
 NUMBER = r"TRY_CAST(regexp_extract(value, '^\s*([+-]?[0-9]*\.?[0-9]+)', 1) AS DOUBLE)"
 
 
@@ -144,7 +146,7 @@ def uq_find_all(c):
     return q.page(q.order(c, q.find(c, None)))
 
 
-@star(f"SELECT n.id, n.name, n.parent_id, n.created, n.updated FROM ({_found('order')}) n JOIN fields f ON f.id = n.id AND f.field = 'TotalPrice' ORDER BY TRY_CAST(f.value AS DOUBLE) DESC, n.id LIMIT 50")
+@star(f"SELECT n.id, n.name, n.parent_id, n.created FROM ({_found('order')}) n JOIN fields f ON f.id = n.id AND f.field = 'TotalPrice' ORDER BY TRY_CAST(f.value AS DOUBLE) DESC, n.id LIMIT 50")
 def uq_order_field(c):
     return q.page(q.order(c, q.find(c, "order"), "TotalPrice", numeric=True), 50)
 
@@ -168,10 +170,10 @@ def uq_select_fields(c):
     return q.project(q.hydrate(c, q.find(c, "order"), ["Status"]), ["id", "name", "status", "Missing"])
 
 
-@star(f"SELECT p.position, p.id, n.name, n.parent_id, n.created, n.updated FROM (VALUES (0, 'order:7'), (1, 'nation:3'), (2, 'order:7'), (3, 'none:1')) p(position, id) LEFT JOIN nodes n USING (id)")
+@star(f"SELECT p.position, p.id, n.name, n.parent_id, coalesce(n.created, 0) AS created FROM (VALUES (0, 'order:7'), (1, 'nation:3'), (2, 'order:7'), (3, 'none:1')) p(position, id) LEFT JOIN nodes n USING (id)")
 def batch_get(c):
     ids = c.nodes.sparkSession.createDataFrame([(0, "order:7"), (1, "nation:3"), (2, "order:7"), (3, "none:1")], "position int, id string")
-    return q.batch_get(c, ids)
+    return q.batch_get(c, ids).fillna(0, ["created"])
 
 
 @star(f"SELECT {NODE} FROM nodes WHERE parent_id = 'nation:3' ORDER BY id LIMIT 10 OFFSET 2")
@@ -354,11 +356,11 @@ def rel_in(c):
     return gr.traverse(c, _start(c, "part:1"), "in")
 
 
-_BOTH = f"""(SELECT source AS at, target AS id FROM {_EDGES} UNION SELECT target, source FROM {_EDGES})"""
+_BOTH = f"""(SELECT source AS src, target AS id FROM {_EDGES} UNION SELECT target, source FROM {_EDGES})"""
 
 
-@star(f""", b AS (SELECT * FROM {_BOTH} WHERE id IN (SELECT id FROM nodes)), o AS (SELECT DISTINCT id FROM b WHERE at = 'nation:3' AND id <> 'nation:3'),
-w AS (SELECT DISTINCT b.id FROM o JOIN b ON b.at = o.id WHERE b.id <> 'nation:3' AND b.id NOT IN (SELECT id FROM o))
+@star(f""", b AS (SELECT * FROM {_BOTH} WHERE id IN (SELECT id FROM nodes)), o AS (SELECT DISTINCT id FROM b WHERE src = 'nation:3' AND id <> 'nation:3'),
+w AS (SELECT DISTINCT b.id FROM o JOIN b ON b.src = o.id WHERE b.id <> 'nation:3' AND b.id NOT IN (SELECT id FROM o))
 SELECT id, 1 AS distance FROM o UNION ALL SELECT id, 2 FROM w""")
 def rel_both_depth2(c):
     return gr.traverse(c, _start(c, "nation:3"), "both", depth=2).select("id", "distance")
@@ -375,11 +377,11 @@ def ref_graph(c):
 
 
 def _pairs(left: str, right: str, edges: str = _BOTH) -> str:
-    return f"(SELECT DISTINCT at AS id, id AS other FROM {edges} e WHERE at IN ({left}) AND e.id IN ({right}))"
+    return f"(SELECT DISTINCT src AS id, id AS other FROM {edges} e WHERE src IN ({left}) AND e.id IN ({right}))"
 
 
 _ids = lambda tag, *tests: _found(tag, *tests, columns="id")
-_VIA = "(SELECT id AS at, value_id AS id FROM fields WHERE field = '{0}' AND value_id IS NOT NULL UNION SELECT value_id, id FROM fields WHERE field = '{0}' AND value_id IS NOT NULL)"
+_VIA = "(SELECT id AS src, value_id AS id FROM fields WHERE field = '{0}' AND value_id IS NOT NULL UNION SELECT value_id, id FROM fields WHERE field = '{0}' AND value_id IS NOT NULL)"
 
 
 @star(_found("supplier", f"id IN (SELECT id FROM {_pairs(_ids('supplier'), _ids('nation'))})"))
@@ -684,7 +686,7 @@ def freshness(t):
     return inc.freshness(t("events").select(F.col("event_id").alias("id"), millis("ts").alias("at")), EVENTS_TO, 14)
 
 
-@star(f""", b AS (SELECT * FROM {_BOTH} WHERE id IN (SELECT id FROM nodes)), d AS (SELECT DISTINCT id, 1 AS distance FROM b WHERE at = 'order:7' AND id <> 'order:7')
+@star(f""", b AS (SELECT * FROM {_BOTH} WHERE id IN (SELECT id FROM nodes)), d AS (SELECT DISTINCT id, 1 AS distance FROM b WHERE src = 'order:7' AND id <> 'order:7')
 SELECT id, round(0.6 / (distance + 1) + 0.4 * exp(-((996710400000 - created) / 86400000) / 30), 6) AS score FROM d JOIN nodes USING (id)""")
 def context_scored(c):
     near = gr.traverse(c, _start(c, "order:7"), "both").select("id", "distance").join(c.nodes.select("id", "created"), "id")
