@@ -19,7 +19,11 @@ UNDATED_MS = 1704067200000
 @dataclass
 class Catalog:
     """nodes(id, name, parent_id, created, updated, tag), tags(id, tag), fields(id, field, value, value_order, value_id),
-    links(source, target, kind), tag_parents(child, parent), tag_fields(tag, field, field_order, kind)."""
+    links(source, target, kind), tag_parents(child, parent), tag_fields(tag, field, field_order, kind).
+
+    primary: tags that exactly the nodes with this value of ``nodes.tag`` have; finding them
+    is a filter that prunes partitions, not a join.
+    """
 
     nodes: DataFrame
     tags: DataFrame
@@ -27,6 +31,19 @@ class Catalog:
     links: DataFrame
     tag_parents: DataFrame
     tag_fields: DataFrame
+    primary: frozenset[str] = frozenset()
+
+    def tagged(self, tag: str) -> DataFrame:
+        """Nodes with a tag."""
+        if tag in self.primary:
+            return self.nodes.filter(F.col("tag") == tag)
+        return self.nodes.join(self.tags.filter(F.col("tag") == tag).select("id"), "id", "left_semi")
+
+
+def both_ways(df: DataFrame, a: str, b: str, *rest: str) -> DataFrame:
+    """Each row and its mirror image, from one scan."""
+    row = lambda x, y: F.struct(F.col(x).alias(a), F.col(y).alias(b), *rest)
+    return df.select(F.inline(F.array(row(a, b), row(b, a))))
 
 
 def millis(c: str | Column) -> Column:
@@ -40,6 +57,7 @@ def _ident(tag: str, *keys: str) -> Column:
 #: Tag hierarchy and declared attributes of the star-schema view (fixed values).
 TAG_PARENTS = [("order_F", "order"), ("order_O", "order"), ("order_P", "order"), ("order", "record"), ("event_click", "event"), ("event_error", "event"), ("event_purchase", "event"), ("event_signup", "event"), ("event_view", "event"), ("event", "record"), ("customer", "party"), ("supplier", "party")]
 TAG_FIELDS = [("record", "Created", 0, "date"), ("order", "Status", 0, "options"), ("order", "Priority", 1, "options"), ("order", "TotalPrice", 2, "number"), ("order", "OrderDate", 3, "date"), ("order", "Part", 4, "instance"), ("party", "Balance", 0, "number"), ("customer", "Segment", 0, "options"), ("customer", "Balance", 1, "number"), ("customer", "Nation", 2, "instance"), ("supplier", "Balance", 0, "number"), ("supplier", "Nation", 1, "instance"), ("part", "Brand", 0, "text"), ("part", "Type", 1, "text"), ("part", "Size", 2, "number"), ("event", "User", 0, "number"), ("event", "Value", 1, "number"), ("event", "K", 2, "number")]
+PRIMARY = frozenset("region nation customer supplier part order event document conv line".split())
 
 
 def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -85,10 +103,10 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         attributes(events, _ident("event", "event_id"), {"User": F.col("user_id"), "Value": whole("value"), "K": F.get_json_object("props", "$.k")}),
     ):
         fields = fields.unionByName(other)
-    down = nodes.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), F.col("id").alias("target"), F.lit("child").alias("kind"))
-    up = down.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("parent").alias("kind"))
+    link = lambda a, b, kind: F.struct(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("kind"))
+    family = nodes.filter("parent_id IS NOT NULL").select(F.inline(F.array(link("parent_id", "id", "child"), link("id", "parent_id", "parent"))))
     inline = lines.select(_ident("order", "l_orderkey").alias("source"), _ident("part", "l_partkey").alias("target"), F.lit("inline_ref").alias("kind")).distinct()
-    return Catalog(nodes, tags, fields, down.unionByName(up).unionByName(inline), spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"))
+    return Catalog(nodes, tags, fields, family.unionByName(inline), spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"), PRIMARY)
 
 
 def _star_sql() -> str:

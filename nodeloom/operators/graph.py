@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
+from ..catalog import Catalog, both_ways
 from ..functions.text import number_prefix
 
 
@@ -42,9 +42,9 @@ def traverse(cat: Catalog, start: DataFrame, direction: str = "both", kinds: Seq
     if depth < 1:
         raise ValueError("depth is at least 1")
     e = edges(cat, kinds).distinct()
-    out = e.select(F.col("source").alias("at"), F.col("target").alias("to"), "kind", F.lit("out").alias("direction"))
-    back = e.select(F.col("target").alias("at"), F.col("source").alias("to"), "kind", F.lit("in").alias("direction"))
-    steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+    way = lambda a, b, name: F.struct(F.col(a).alias("at"), F.col(b).alias("to"), "kind", F.lit(name).alias("direction"))
+    ways = {"out": way("source", "target", "out"), "in": way("target", "source", "in")}
+    steps = e.select(F.inline(F.array(*(ways.values() if direction == "both" else [ways[direction]]))))
     steps = steps.join(cat.nodes.select(F.col("id").alias("to")), "to", "left_semi")
     seen = start.select(F.col("id").alias("origin"), "id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("direction"), F.lit(0).alias("distance"), F.col("id").alias("path")).distinct()
     level = seen
@@ -73,7 +73,7 @@ def connect(cat: Catalog, left: DataFrame, right: DataFrame, via: str | None = N
         e = edges(cat).select("source", "target")
     else:
         e = cat.fields.filter((F.col("field") == via) & F.col("value_id").isNotNull()).select(F.col("id").alias("source"), F.col("value_id").alias("target"))
-    both = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    both = both_ways(e, "source", "target").distinct()
     pairs = both.join(left.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
     return pairs.join(right.select(F.col("id").alias("target")).distinct(), "target", "left_semi").select(F.col("source").alias("id"), F.col("target").alias("other"))
 

@@ -17,9 +17,7 @@ MOST_ROWS = 1000
 
 def find(cat: Catalog, tag: str | None, where: Sequence[Where | AnyOf] = (), as_of: datetime | None = None) -> DataFrame:
     """Nodes with the tag (None: all) that satisfy all predicates, each once, core columns."""
-    nodes = cat.nodes.select(*CORE)
-    if tag is not None:
-        nodes = nodes.join(cat.tags.filter(F.col("tag") == tag).select("id"), "id", "left_semi")
+    nodes = (cat.nodes if tag is None else cat.tagged(tag)).select(*CORE)
     return apply(cat, nodes, where, as_of).distinct()
 
 

@@ -99,3 +99,17 @@ def test_snapshots(spark):
     assert got == {("modify", "a", "u", "t"), ("delete", "c", "", ""), ("create", "d", "", "")}
     assert {(r.id, r.change) for r in inc.checksum_diff(old, new, "id", ["name"]).collect()} == {("c", "deleted"), ("d", "added")}
     assert inc.replace_groups(old, new, "id").count() == 4
+
+
+def test_saved_catalog(spark, tmp_path):
+    from nodeloom import catalog
+    from nodeloom.operators import query
+    from nodeloom.plans.predicates import Where
+    from nodeloom.sources import tables
+
+    cat = catalog.star_catalog(spark, "/root/testdata/sf0.001")
+    tables.save_catalog(cat, str(tmp_path / "cat"))
+    saved = tables.load_catalog(spark, str(tmp_path / "cat"), catalog.PRIMARY)
+    find = lambda c: query.find(c, "order", [Where("Status", "=", "F")])
+    assert sorted(find(saved).collect()) == sorted(find(cat).collect())
+    assert "PartitionFilters: [isnotnull(tag" in find(saved)._jdf.queryExecution().toString()
