@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 WINDOW, MIN_SHARE, MIN_RUN = 8, 0.8, 13
 #: Windows of the benchmark that may be broadcast (about 100 MB at most).
 BROADCAST_WINDOWS = 1_000_000
@@ -85,7 +87,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
         F.count_distinct("item_at").alias("windows"), F.max("item_windows").alias("item_windows"), F.max((F.col("literal") != F.col("item_literal")).cast("int")).alias("reworded")
     )
     share = F.col("windows") / F.col("item_windows")
-    found = found.filter((share >= min_share) | (F.col("windows") >= min_run - window + 1)).withColumn("share", share)
+    # Used twice below, and small beside the documents: written once.
+    found = materialize(found.filter((share >= min_share) | (F.col("windows") >= min_run - window + 1)).withColumn("share", share))
     bad = _inconsistent(docs, items, found.filter("reworded = 1").select("doc_id", "item_id", "shift"))
     found = found.join(bad, ["doc_id", "item_id", "shift"], "left_anti")
     best = F.max_by(F.struct("windows", "item_windows", "share", "reworded"), F.struct("windows", -F.col("reworded"), -F.col("shift")))
