@@ -591,9 +591,9 @@ def vec_dedupe(t):
 
 
 _NQ = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s''-]', '', 'g'), '\s+', ' ', 'g'))"
-NAMES = ("  INDIA", "Saudi  Arabia!", "unknown")
-FUZZY = ("saudi arabic", "united kingdoms", "zzzz")
-_FUZZY = f"""qs AS (SELECT query, {_NQ.format('query')} AS q FROM (VALUES {', '.join(f"('{x}')" for x in FUZZY)}) v(query)), ns AS (SELECT id, name, {_NQ.format('name')} AS n FROM nodes WHERE tag IN ('nation', 'region')),
+NAMES = ("  Middle  EAST!", "asia", "unknown")
+FUZZY = ("midle east", "small rings", "red wigdet", "zzzz")
+_FUZZY = f"""qs AS (SELECT query, {_NQ.format('query')} AS q FROM (VALUES {', '.join(f"('{x}')" for x in FUZZY)}) v(query)), ns AS (SELECT id, name, {_NQ.format('name')} AS n FROM nodes WHERE tag IN ('part', 'region')),
 m AS (SELECT query, id, name, round(CASE WHEN q = n THEN 1.0 ELSE least(0.95, greatest(0.0, 1 - levenshtein(q, n) / greatest(length(q), length(n)))) END, 6) AS confidence FROM qs, ns WHERE n <> '' AND list_has_any(list_filter(string_split(q, ' '), lambda x: length(x) >= 2), string_split(n, ' ')))"""
 
 
@@ -601,19 +601,19 @@ def _text_rows(c, values):
     return c.nodes.sparkSession.createDataFrame([(x,) for x in values], "query string")
 
 
-@star(f"SELECT query, id FROM (VALUES {', '.join(f'($${x}$$)' for x in NAMES)}) v(query) JOIN nodes ON {_NQ.format('query')} = {_NQ.format('name')} WHERE tag IN ('nation', 'region') AND {_NQ.format('name')} <> ''")
+@star(f"SELECT query, id FROM (VALUES {', '.join(f'($${x}$$)' for x in NAMES)}) v(query) JOIN nodes ON {_NQ.format('query')} = {_NQ.format('name')} WHERE tag IN ('part', 'region') AND {_NQ.format('name')} <> ''")
 def resolve_exact(c):
-    return se.exact_matches(_text_rows(c, NAMES), c.nodes.filter("tag IN ('nation', 'region')"))
+    return se.exact_matches(_text_rows(c, NAMES), c.nodes.filter("tag IN ('part', 'region')"))
 
 
 @star(f", {_FUZZY} SELECT query, id, name, confidence FROM m")
 def resolve_fuzzy(c):
-    return se.fuzzy_matches(_text_rows(c, FUZZY), c.nodes.filter("tag IN ('nation', 'region')"))
+    return se.fuzzy_matches(_text_rows(c, FUZZY), c.nodes.filter("tag IN ('part', 'region')"))
 
 
 @star(f", {_FUZZY}, r AS (SELECT *, lead(confidence) OVER w AS next, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY query ORDER BY confidence DESC, id)) SELECT query, CASE WHEN confidence < 0.85 THEN 'no_match' WHEN next IS NULL OR round(confidence - next, 6) >= 0.1 THEN 'matched' ELSE 'ambiguous' END AS action, id, confidence FROM r WHERE r = 1")
 def resolve_action(c):
-    return se.resolve(se.fuzzy_matches(_text_rows(c, FUZZY), c.nodes.filter("tag IN ('nation', 'region')")))
+    return se.resolve(se.fuzzy_matches(_text_rows(c, FUZZY), c.nodes.filter("tag IN ('part', 'region')")))
 
 
 @table("SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS digest FROM pages")
