@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, both_ways
 from ..functions.text import number_prefix
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut through the shared checkpoint folder, which every executor can read."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="nodeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import materialize
 
 
 def edges(cat: Catalog, kinds: Sequence[str] = ("inline_ref", "child", "parent", "field")) -> DataFrame:
@@ -54,7 +41,7 @@ def traverse(cat: Catalog, start: DataFrame, direction: str = "both", kinds: Seq
         new = ahead.groupBy("origin", "to").agg(first).select("origin", F.col("to").alias("id"), "best.kind", "best.direction", F.lit(distance).alias("distance"), "best.path")
         level = new.join(seen.select("origin", "id"), ["origin", "id"], "left_anti")
         if distance < depth:
-            level = _cut(level)
+            level = materialize(level)
         seen = seen.unionByName(level)
     return seen.filter("distance > 0")
 
@@ -106,7 +93,7 @@ def nearest_ancestor(cat: Catalog, start: DataFrame, tags: Sequence[str], most:
         marked = level.join(tagged, "at", "left")
         done = marked.filter("hit").select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
         found = done if found is None else found.unionByName(done)
-        level = _cut(marked.filter("hit IS NULL").select("id", "at").join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
+        level = materialize(marked.filter("hit IS NULL").select("id", "at").join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
         if level.isEmpty():
             break
     return found
@@ -119,7 +106,7 @@ def in_trash(cat: Catalog, start: DataFrame, most: int = 50) -> DataFrame:
     for _ in range(most + 1):
         hit = level.filter(F.col("at").contains("TRASH")).select("id")
         found = hit if found is None else found.unionByName(hit)
-        level = _cut(level.filter(~F.col("at").contains("TRASH")).join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
+        level = materialize(level.filter(~F.col("at").contains("TRASH")).join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
         if level.isEmpty():
             break
     return found.distinct()
