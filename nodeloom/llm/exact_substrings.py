@@ -53,11 +53,11 @@ def samples(grams: np.ndarray, reach: int) -> np.ndarray:
     return (key[:n] & low).astype(np.int64)
 
 
-def contexts(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(data: np.ndarray, length: int, gram: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window, name and context of each sample of one document."""
     parts = []
-    for base in range(0, len(data) - length + 1, SEGMENT):
-        piece = data[base : base + SEGMENT + length - 1]
+    for base in range(0, len(data) - length + 1, segment):
+        piece = data[base : base + segment + length - 1]
         r = tk.RangeHash(piece)
         n = len(piece) - gram + 1
         grams = tk.mix((r.prefix[gram:] - r.prefix[:n]) * r.inverse[:n])
@@ -79,13 +79,13 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a.h == b.h) & a.doc_id.eqNullSafe(b.doc_id)
 
 
-def sampled(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def sampled(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, h, first, last, name, context) of each sample of ``keyed`` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, stop, data, offsets in tk.chunks(batch):
-                got = [contexts(data[a:b], length, gram) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                got = [contexts(data[a:b], length, gram, segment) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 take = pa.array(np.repeat(np.arange(row, stop), [len(x[0]) for x in got]))
                 first, last, name, context = (np.concatenate(x) for x in zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -97,7 +97,7 @@ def sampled(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return docs.mapInArrow(run, f"doc_id {kind}, h long, first int, last int, name long, context long")
 
 
-def windows(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) -> DataFrame:
+def windows(docs: DataFrame, ranges: DataFrame, length: int = LENGTH, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, h, at, single, window): the hash of each window in ``ranges(doc_id, h, first, last, single)``."""
     per_doc = ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last", "single")).alias("ranges"))
     rows = docs.join(per_doc, _same(docs, per_doc)).select(docs.doc_id, docs.h, "text", "ranges")
@@ -110,13 +110,13 @@ def windows(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) -> DataFra
                 for i in range(row, stop):
                     text = data[offsets[i - row] : offsets[i - row + 1]]
                     first, last, single = (f[cut[i] : cut[i + 1]] for f in fields)
-                    for base in range(0, len(text), SEGMENT):
-                        here = (first >= base) & (first < base + SEGMENT)  # no range crosses segments
+                    for base in range(0, len(text), segment):
+                        here = (first >= base) & (first < base + segment)  # no range crosses segments
                         if not here.any():
                             continue
                         size = (last - first + 1)[here]
                         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[here], size)
-                        r = tk.RangeHash(text[base : base + SEGMENT + length - 1])
+                        r = tk.RangeHash(text[base : base + segment + length - 1])
                         window = r(at - base, at - base + length)
                         take = pa.array(np.full(len(at), i))
                         yield pa.RecordBatch.from_arrays(
@@ -128,9 +128,9 @@ def windows(docs: DataFrame, ranges: DataFrame, length: int = LENGTH) -> DataFra
     return rows.mapInArrow(run, f"doc_id {kind}, h long, at int, single boolean, window long")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, h, covers): per document of ``keyed`` rows the ranges (first, last) of starts of repeated strings."""
-    found = sampled(docs, length, gram)
+    found = sampled(docs, length, gram, segment)
     twice = materialize(found.select(F.explode(F.array("name", "context")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     named = found.join(twice, found.name == twice.key).drop("key")
     whole = twice.select("key", F.lit(True).alias("_whole"))
@@ -139,17 +139,18 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     open_names = single.select("name").distinct()
     copies = settled.filter("whole").join(open_names, "name", "left_semi").groupBy("context").agg(F.min(F.struct("doc_id", "h", "first", "last")).alias("x")).select("x.*")
     each = single.select("doc_id", "h", "first", "last", F.lit(True).alias("single")).unionByName(copies.withColumn("single", F.lit(False)))
-    named_windows = materialize(windows(docs, each, length))
+    named_windows = materialize(windows(docs, each, length, segment))
     again = named_windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     hits = named_windows.filter("single").join(again, "window").select("doc_id", "h", F.col("at").alias("first"), F.col("at").alias("last"))
     covers = settled.filter("whole").select("doc_id", "h", "first", "last").unionByName(hits)
-    return covers.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("covers"))
+    # Written, so that the shuffles of windows are gone before the texts are shuffled.
+    return materialize(covers.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("covers")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, n_bytes, removed, kept) for each row: the removed runs [start, end) and the bytes that stay."""
     rows = keyed(docs)
-    covers = repeated(rows, length, gram)
+    covers = repeated(rows, length, gram, segment)
     joined = rows.join(covers, _same(rows, covers), "left").select(rows.doc_id, "text", F.coalesce("covers", F.array().cast("array<struct<first:int,last:int>>")).alias("covers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
