@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..functions.text import number_prefix
 from ..plans.predicates import CORE, AnyOf, Where, apply
+from .schema import descendants
 
 MOST_ROWS = 1000
 
@@ -21,6 +22,14 @@ def find(cat: Catalog, tag: str | None, where: Sequence[Where | AnyOf] = (), as_
     return apply(cat, nodes, where, as_of).distinct()
 
 
+def find_family(cat: Catalog, tag: str, where: Sequence[Where | AnyOf] = (), as_of: datetime | None = None) -> DataFrame:
+    """Nodes with the tag or one that inherits from it."""
+    family = descendants(cat).filter(F.col("tag") == tag).select(F.col("descendant").alias("tag"))
+    names = family.unionByName(family.sparkSession.createDataFrame([(tag,)], "tag string")).distinct()
+    ids = cat.tags.join(names, "tag", "left_semi").select("id")
+    return apply(cat, cat.nodes.select(*CORE).join(ids, "id", "left_semi"), where, as_of).distinct()
+
+
 def order(cat: Catalog, rows: DataFrame, by: str = "created", descending: bool = True, numeric: bool = False) -> DataFrame:
     """Sorted by a core column or by the first value of an attribute; ties by id."""
     if by not in CORE:

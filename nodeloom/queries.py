@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -18,6 +19,8 @@ from .operators import schema as sc
 from .operators import search as se
 from .operators import table as tb
 from .plans.predicates import AnyOf, Where
+from .storage import shared_dir
+from .streaming import feeds
 
 ORDERS_AS_OF = datetime(2001, 8, 2, tzinfo=timezone.utc)
 EVENTS_AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -181,6 +184,11 @@ def children_page(c):
     return q.children(c, "nation:3", 10, 2)
 
 
+@star(_found("party", columns=NODE).replace("tag = 'party'", "tag IN ('party', 'customer', 'supplier')"))
+def uq_descendants(c):
+    return q.find_family(c, "party")
+
+
 # Aggregation
 
 
@@ -705,3 +713,37 @@ def enriched_text(c):
 def context_budget(t):
     items = t("documents").select(F.col("source"), F.col("doc_id").cast("string").alias("id"), (F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000).alias("score"), F.ceil(F.col("n_chars") / 4).alias("tokens"))
     return se.within_budget(items, 4000, "source")
+
+
+# Streams: the events table read as a feed, to its end
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per hour and type, counted by a stream."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    events = _feed(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counts = feeds.windowed_counts(events, "ts", "event_type")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
+
+
+def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user, upserted by a stream into a versioned table."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    schema = "user_id long, event_id long, ts timestamp, event_type string"
+    changes = _feed(spark, sf_dir).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    feeds.sync(changes, f"{folder}/table", schema, "user_id", ["ts", "event_id"], f"{folder}/checkpoint").awaitTermination()
+    return feeds.read_current(spark, f"{folder}/table", schema).select("user_id", "event_id", F.unix_millis("ts").alias("ts_ms"), "event_type")
+
+
+QUERIES |= {"stream_events": stream_events, "stream_delta": stream_delta}
+ORACLE_SQL |= {
+    "stream_events": "SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_delta": "SELECT user_id, event_id, epoch_us(ts) // 1000 AS ts_ms, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+}
