@@ -137,7 +137,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: i
     settled = materialize(named.join(whole, named.context == whole.key, "left").select("doc_id", "h", "first", "last", "name", "context", F.col("_whole").isNotNull().alias("whole")))
     single = settled.filter("NOT whole")
     open_names = single.select("name").distinct()
-    copies = settled.filter("whole").join(open_names, "name", "left_semi").groupBy("context").agg(F.min(F.struct("doc_id", "h", "first", "last")).alias("x")).select("x.*")
+    # One copy per context first: then no name has more rows than it has contexts.
+    one = settled.filter("whole").groupBy("context").agg(F.min(F.struct("doc_id", "h", "first", "last", "name")).alias("x")).select("x.*")
+    copies = one.join(open_names, "name", "left_semi").select("doc_id", "h", "first", "last")
     each = single.select("doc_id", "h", "first", "last", F.lit(True).alias("single")).unionByName(copies.withColumn("single", F.lit(False)))
     named_windows = materialize(windows(docs, each, length, segment))
     again = named_windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
