@@ -3,13 +3,14 @@
 A source's mean repetition rate is its target share of the output over its share of the
 input.  Each document draws its count from a Poisson distribution with that mean by
 inverting the distribution function at a uniform number hashed from seed and id, so the
-draw does not depend on partitioning, order or retries.  The document is exploded by its
-count, and a hash of seed, id and replica deals the rows to partitions and orders them
+draw does not depend on partitioning, order or retries.  A mean above MAX_RATE, whose
+distribution would underflow, is drawn as the sum of equal parts below it, each with a
+number hashed from the part too.  The document is exploded by its count, and a hash of seed, id and replica deals the rows to partitions and orders them
 there: a global shuffle in one exchange, without a sampling pass and without a hot key.
 
 Edge cases: rows without source form a source of their own; a row without id draws by its
-text; repeated ids draw alike; a rate above MAX_RATE is an error (its distribution
-underflows); an empty table gives an empty result; other columns go along.
+text; repeated ids draw alike; a rate has no bound, but asking for more than MAX_RATE
+times the input is an error; an empty table gives an empty result; other columns go along.
 """
 
 from __future__ import annotations
@@ -31,21 +32,22 @@ def tempered_weights(docs: DataFrame, source: str = "source", exponent: float =
 
 
 def rates(docs: DataFrame, weights: DataFrame, source: str = "source", size: float = 1.0) -> DataFrame:
-    """(source, rate, cdf): the mean count and its distribution function, to get ``size`` times the input's rows."""
+    """(source, rate, parts, cdf): the mean count, to get ``size`` times the input's rows, and the distribution function of each of its equal parts."""
     counts = docs.groupBy(source).agg(F.count("*").alias("n"))
     known = counts.join(weights.withColumnRenamed(source, "_source"), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     total = known.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"))  # one row
     rate = F.lit(size) * F.col("all_n") * F.col("weight") / F.col("all_weight") / F.col("n")
     found = known.join(F.broadcast(total)).select(source, rate.alias("rate"))
-    found = found.withColumn("rate", F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit(f"a rate above {MAX_RATE}"))).otherwise(F.col("rate")))
-    steps = F.sequence(F.lit(1), (F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
+    found = found.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int")))
+    mean = F.col("rate") / F.col("parts")
+    steps = F.sequence(F.lit(1), (mean + 12 * F.sqrt(mean) + 30).cast("int"))
 
     def step(done: Column, k: Column) -> Column:
-        p = done["p"] * F.col("rate") / k
+        p = done["p"] * mean / k
         c = done["c"] + p
         return F.struct(p.alias("p"), c.alias("c"), F.array_append(done["cdf"], c).alias("cdf"))
 
-    p0 = F.exp(-F.col("rate"))
+    p0 = F.exp(-mean)
     start = F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("cdf"))
     return found.withColumn("cdf", F.aggregate(steps, start, step)["cdf"])
 
@@ -58,14 +60,19 @@ def uniform(*parts: Column) -> Column:
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", ident: str = "doc_id", size: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` replicated to the target weights and shuffled; adds ``replica`` (from 1) and ``shuffle_key``."""
-    key, cdf, count = (free_name(docs, x) for x in ("_source", "_cdf", "_count"))
-    table = rates(docs, tempered_weights(docs, source) if weights is None else weights, source, size).select(F.col(source).alias(key), F.col("cdf").alias(cdf))
+    if size > MAX_RATE:
+        raise ValueError(f"a rate above {MAX_RATE} for the average document")
+    key, parts, cdf, count = (free_name(docs, x) for x in ("_source", "_parts", "_cdf", "_count"))
+    table = rates(docs, tempered_weights(docs, source) if weights is None else weights, source, size).select(F.col(source).alias(key), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     name = F.coalesce(F.col(ident).cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    draw = uniform(F.lit(str(seed)), name)
-    drawn = docs.join(table, F.col(source).eqNullSafe(F.col(key))).withColumn(count, F.size(F.filter(cdf, lambda c: c <= draw)))
-    each = drawn.filter(F.col(count) > 0).drop(cdf, key).withColumn("replica", F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count)
+    below = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    draw = below(uniform(F.lit(str(seed)), name))
+    more = F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda k: below(uniform(F.concat(F.lit(f"{seed}/"), k.cast("string")), name)))
+    draw = F.when(F.col(parts) == 1, draw).otherwise(F.aggregate(more, draw, lambda a, b: a + b))
+    drawn = docs.join(table, F.col(source).eqNullSafe(F.col(key))).withColumn(count, draw)
+    each = drawn.filter(F.col(count) > 0).drop(cdf, parts, key).withColumn("replica", F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count)
     each = each.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}+"), name, F.col("replica")).cast("binary")))
     return each.repartition("shuffle_key").sortWithinPartitions("shuffle_key", ident)
 

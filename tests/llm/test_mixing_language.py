@@ -30,6 +30,19 @@ def test_mixing_edges(spark, edge_docs, no_docs):
         mx.mix(edge_docs, size=5000.0).count()
 
 
+def test_rates_have_no_bound(spark, make_docs):
+    docs = make_docs([f"t{i}" for i in range(2040)], sources=["a"] * 2000 + ["b"] * 40)
+    weights = spark.createDataFrame([("a", 1.0), ("b", 60.0)], "source string, weight double")
+    got = mx.mix(docs, weights, size=20.0).groupBy("doc_id", "source").count().filter("source = 'b'").collect()
+    mean = 20 * 2040 * 60 / 61 / 40
+    counts = [r["count"] for r in got]
+    assert mean > 2 * mx.MAX_RATE - 1 and len(set(counts)) > 20
+    assert abs(sum(counts) / 40 - mean) < 5 * math.sqrt(mean / 40)
+    assert 0.4 * mean < sum((c - mean) ** 2 for c in counts) / 40 < 1.9 * mean
+    # A source of one row: its rate grows with the root of the corpus.
+    assert mx.mix(make_docs(["x"] * 30_000 + ["y"], sources=["a"] * 30_000 + ["b"]), size=5.0).filter("source = 'b'").count() > mx.MAX_RATE
+
+
 def test_language_fuses_evidence(spark):
     en, de = "the house and the garden of the people with their things ", "der garten und das haus mit den sachen von diesen leuten "
     docs = spark.createDataFrame([(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
