@@ -56,13 +56,17 @@ def slots_of(words: Column) -> Column:
     return F.transform(words, slot)
 
 
-def windows(rows: DataFrame, ident: str, sizes: list[int]) -> DataFrame:
-    """(ident, at, template, literal): hashes of each window of the placeholders and of the words."""
+def windows(rows: DataFrame, ident: str, sizes: list[int], own: bool = False) -> DataFrame:
+    """(ident, at, template, literal): hashes of each window of the placeholders and of the words.
+
+    own: a text takes windows of ``sizes[0]``, or if it is shorter the one of its own length.
+    """
     cut = rows.filter(F.col(ident).isNotNull()).select(ident, words_of(F.col("text")).alias("words"))
     hashed = cut.select(ident, F.transform(slots_of(F.col("words")), lambda w: F.xxhash64(w)).alias("t"), F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
 
     def of(size: int) -> Column:
-        starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
+        takes = F.size("t") == size if own and size != sizes[0] else F.size("t") >= size
+        starts = F.when(takes, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
         hashes = lambda name, i: F.xxhash64(F.lit(size), *[F.get(F.col(name), i + k) for k in range(size)])
         return F.transform(starts, lambda i: F.struct(i.alias("at"), hashes("t", i).alias("template"), hashes("w", i).alias("literal")))
 
@@ -77,8 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     sizes = [window, *short]
     # An item takes windows of the full size, or the one of its own length.
     need = items.groupBy("item_id").agg(F.max(length).alias("n")).withColumn("item_windows", F.greatest(F.lit(1), F.col("n") - window + 1))
-    own = windows(items, "item_id", sizes).join(need, "item_id").withColumnRenamed("at", "item_at")
-    own = own.filter((F.col("n") >= window) | (F.col("item_at") == 0)).distinct()
+    own = windows(items, "item_id", sizes, own=True).join(need, "item_id").withColumnRenamed("at", "item_at").distinct()
     if own.count() <= BROADCAST_WINDOWS:
         own = F.broadcast(own)
     hits = windows(docs, "doc_id", sizes).join(own.withColumnRenamed("literal", "item_literal"), "template")

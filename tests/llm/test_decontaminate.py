@@ -35,3 +35,12 @@ def test_edges(edge_docs, no_docs, bench):
     assert found(edge_docs, bench) == {}
     assert found(no_docs, bench) == {}
     assert found(edge_docs, bench.limit(0)) == {}
+
+
+def test_each_item_takes_windows_of_its_own_size(make_docs, spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(0, long), (1, "nine"), (2, "clear night sky"), (3, "clear night sky over town")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    aligned = "one two x four five x seven eight x ten eleven x thirteen fourteen x sixteen"
+    docs = make_docs([aligned, "under a clear night sky we sat", "a clear night sky over town", long, "it was nine"])
+    assert set(found(docs, bench)) == {(1, 2), (2, 2), (2, 3), (3, 0), (3, 1), (4, 1)}
