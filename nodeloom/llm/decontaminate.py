@@ -2,11 +2,12 @@
 
 Words are canonicalised: numbers, names (capitalised words inside a sentence) and units
 (unit words behind a number) become typed placeholders.  Eight-word windows of the
-template are hashed and joined between documents and benchmark; matches are gathered by
+template are hashed and joined between documents and benchmark, and so are those of the
+lower-cased words, as names are found by their capitals; matches are gathered by
 alignment (document, item, offset).  An alignment is contamination if it covers enough
 of the item, or a long enough stretch of it, and if its slots are consistent: one slot
-value of the item always stands for one value in the document.  That also catches
-questions asked again with other numbers or names.
+value of the item always stands for one value in the document, wherever its windows
+match.  That also catches questions asked again with other numbers or names.
 
 All of it is DataFrame functions.  The benchmark's windows are broadcast only after their
 count is checked; beyond the bound both sides are shuffled by hash.  Documents are
@@ -57,12 +58,12 @@ def slots_of(words: Column) -> Column:
 
 
 def windows(rows: DataFrame, ident: str, sizes: list[int], own: bool = False) -> DataFrame:
-    """(ident, at, template, literal): hashes of each window of the placeholders and of the words.
+    """(ident, at, template, literal): hashes of each window of the placeholders and of the words in lower case.
 
     own: a text takes windows of ``sizes[0]``, or if it is shorter the one of its own length.
     """
     cut = rows.filter(F.col(ident).isNotNull()).select(ident, words_of(F.col("text")).alias("words"))
-    hashed = cut.select(ident, F.transform(slots_of(F.col("words")), lambda w: F.xxhash64(w)).alias("t"), F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    hashed = cut.select(ident, F.transform(slots_of(F.col("words")), lambda w: F.xxhash64(w)).alias("t"), F.transform("words", lambda w: F.xxhash64(F.ltrim(w, F.lit("@")))).alias("w"))
 
     def of(size: int) -> Column:
         takes = F.size("t") == size if own and size != sizes[0] else F.size("t") >= size
@@ -73,39 +74,56 @@ def windows(rows: DataFrame, ident: str, sizes: list[int], own: bool = False) ->
     return hashed.select(ident, F.inline(F.concat(*[of(s) for s in sizes]) if len(sizes) > 1 else of(sizes[0])))
 
 
+def _keyed(cut: DataFrame) -> DataFrame:
+    """Each window under its template and, where it has placeholders, under its words."""
+    keys = F.when(F.col("template") == F.col("literal"), F.array("template")).otherwise(F.array("template", "literal"))
+    return cut.withColumn("key", F.explode(keys))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE, min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, share, reworded) of each contaminated pair, by its best alignment."""
+    """(doc_id, item_id, windows, item_windows, share, reworded) of each contaminated pair, by its best alignment.
+
+    Alignments by templates go before those by words alone.
+    """
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct()
     length = F.size(words_of(F.col("text")))
     short = [r.n for r in items.select(length.alias("n")).filter((F.col("n") > 0) & (F.col("n") < window)).distinct().orderBy("n").collect()]  # window - 1 rows at most
     sizes = [window, *short]
     # An item takes windows of the full size, or the one of its own length.
     need = items.groupBy("item_id").agg(F.max(length).alias("n")).withColumn("item_windows", F.greatest(F.lit(1), F.col("n") - window + 1))
-    own = windows(items, "item_id", sizes, own=True).join(need, "item_id").withColumnRenamed("at", "item_at").distinct()
+    own = _keyed(windows(items, "item_id", sizes, own=True)).join(need, "item_id").withColumnRenamed("at", "item_at").distinct()
     if own.count() <= BROADCAST_WINDOWS:
         own = F.broadcast(own)
-    hits = windows(docs, "doc_id", sizes).join(own.withColumnRenamed("literal", "item_literal"), "template")
+    hits = _keyed(windows(docs, "doc_id", sizes)).join(own.withColumnsRenamed({"literal": "item_literal", "template": "item_template"}), "key")
     shift = F.col("at") - F.col("item_at")
+    like, same = F.col("template") == F.col("item_template"), F.col("literal") == F.col("item_literal")
     found = hits.groupBy("doc_id", "item_id", shift.alias("shift")).agg(
-        F.count_distinct("item_at").alias("windows"), F.max("item_windows").alias("item_windows"), F.max((F.col("literal") != F.col("item_literal")).cast("int")).alias("reworded")
-    )
+        F.collect_set(F.when(like, F.col("item_at"))).alias("alike"), F.collect_set(F.when(same, F.col("item_at"))).alias("copied"),
+        F.max("item_windows").alias("item_windows"), F.max((like & ~same).cast("int")).alias("reworded"),
+    )
+    # Each alignment by its templates and, whatever the case, by its words alone.
+    way = lambda by, matched, reworded: F.struct(F.lit(by).alias("by"), F.col(matched).alias("matched"), reworded.alias("reworded"))
+    ways = F.array(way("template", "alike", F.col("reworded")), way("copy", "copied", F.lit(0)))
+    found = found.select("doc_id", "item_id", "shift", "item_windows", F.inline(ways)).withColumn("windows", F.size("matched").cast("long"))
     share = F.col("windows") / F.col("item_windows")
     # Used twice below, and small beside the documents: written once.
     found = materialize(found.filter((share >= min_share) | (F.col("windows") >= min_run - window + 1)).withColumn("share", share))
-    bad = _inconsistent(docs, items, found.filter("reworded = 1").select("doc_id", "item_id", "shift"))
-    found = found.join(bad, ["doc_id", "item_id", "shift"], "left_anti")
-    best = F.max_by(F.struct("windows", "item_windows", "share", "reworded"), F.struct("windows", -F.col("reworded"), -F.col("shift")))
+    bad = _inconsistent(docs, items, found.filter("reworded = 1").select("doc_id", "item_id", "shift", "matched"), window)
+    found = found.join(bad.withColumn("by", F.lit("template")), ["doc_id", "item_id", "shift", "by"], "left_anti")
+    best = F.max_by(F.struct("windows", "item_windows", "share", "reworded"), F.struct(F.col("by") == "template", "windows", -F.col("reworded"), -F.col("shift")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.windows").alias("windows"), F.col("b.item_windows").cast("long").alias("item_windows"), F.col("b.share").alias("share"), F.col("b.reworded").alias("reworded"))
 
 
-def _inconsistent(docs: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The alignments in which one slot value of the item stands for several values in the document."""
+def _inconsistent(docs: DataFrame, items: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
+    """The alignments in whose matched windows one slot value of the item stands for several values in the document."""
     asked = pairs.select("doc_id").distinct()
     theirs = docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", words_of(F.col("text")).alias("theirs"))
     ours = items.select("item_id", words_of(F.col("text")).alias("ours"))
     both = pairs.join(theirs, "doc_id").join(ours, "item_id")
-    each = both.withColumn("slots", slots_of(F.col("ours"))).select("doc_id", "item_id", "shift", "theirs", F.posexplode(F.arrays_zip("ours", "slots")).alias("i", "x"))
-    each = each.filter(F.col("x.slots").isin("@", "#", "%")).select("doc_id", "item_id", "shift", F.col("x.ours").alias("value"), F.get("theirs", F.col("i") + F.col("shift")).alias("stands"))
+    each = both.withColumn("slots", slots_of(F.col("ours"))).select("doc_id", "item_id", "shift", "matched", "theirs", F.posexplode(F.arrays_zip("ours", "slots")).alias("i", "x"))
+    covered = F.exists("matched", lambda at: F.col("i").between(at, at + window - 1))
+    stands = F.ltrim(F.get("theirs", F.col("i") + F.col("shift")), F.lit("@"))
+    each = each.filter(F.col("x.slots").isin("@", "#", "%") & covered).select("doc_id", "item_id", "shift", F.col("x.ours").alias("value"), stands.alias("stands"))
     return each.groupBy("doc_id", "item_id", "shift", "value").agg(F.count_distinct("stands").alias("n")).filter("n > 1").select("doc_id", "item_id", "shift").distinct()
 
 

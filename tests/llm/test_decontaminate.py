@@ -44,3 +44,11 @@ def test_each_item_takes_windows_of_its_own_size(make_docs, spark):
     aligned = "one two x four five x seven eight x ten eleven x thirteen fourteen x sixteen"
     docs = make_docs([aligned, "under a clear night sky we sat", "a clear night sky over town", long, "it was nine"])
     assert set(found(docs, bench)) == {(1, 2), (2, 2), (2, 3), (3, 0), (3, 1), (4, 1)}
+
+
+def test_parts_and_copies_in_any_case(make_docs, bench):
+    changed = ITEM.replace("120", "95").replace("London", "Paris").replace("Alice", "Bob")
+    part = changed[: changed.index("Bob")] + "nobody looks at 7 of the 31 clouds above"
+    longer = changed.replace("stops", "stops slowly")
+    got = found(make_docs([part, longer, ITEM.lower(), ITEM.upper(), "we saw a Short item here"]), bench)
+    assert {k: r.reworded for k, r in got.items()} == {(0, 0): 1, (1, 0): 1, (2, 0): 0, (3, 0): 0, (4, 1): 0}
