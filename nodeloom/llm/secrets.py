@@ -3,7 +3,9 @@
 Base kinds are assignments, access keys and long hex runs; the method adds well-known
 credential formats.  Each candidate value is hashed; the hashes are counted over the
 corpus by distinct repositories and owners.  A value that several owners hold is a widely
-copied example; one that looks random and that a single owner holds is live-looking.
+copied example; one that looks live and that a single owner holds is live-looking.  What
+looks live depends on the kind: a known format does by its shape, a private key by its
+body, by which it is also hashed, and an assigned value if it is no run of words.
 
 All of it is DataFrame functions.  Only spans and hashes leave the scan, never the text.
 Equal candidates are made distinct per repository before they are counted, so a value that
@@ -31,8 +33,14 @@ KINDS = (
     ("format", r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 8),
 )
 BASE = ("assign", "access", "hex")
-#: Owners from which a value is an example, and what a live-looking value must have.
+#: Behind a private key's header: lines with a colon, then the body as group 1.
+_KEY_BODY = r"""(?=(?:\s*+[A-Za-z-]++:[^\n]{0,200}+){0,8}+([A-Za-z0-9+/=\\\s"',]*+))"""
+#: Owners from which a value is an example, and from which length letters and digits suffice to look live.
 EXAMPLE_OWNERS, LIVE_LENGTH = 3, 16
+#: Different characters that a shorter assigned value and a private key's body must have.
+LEAST_VARIETY, LEAST_KEY_VARIETY = 5, 16
+#: Letter pairs common in words (fixed values); most of a random value's pairs are others.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke ui fr oo ag tt do up va ue sw rd ey ap au nk ck".split()
 PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|xxxx|1234567|abcdef"
 _SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 
@@ -41,10 +49,15 @@ def _spans(text: Column, kind: int) -> Column:
     """Leftmost non-overlapping matches of a kind with their code point ranges."""
     _, pattern, group, least = KINDS[kind]
     regex = F.lit(pattern)
+    value = F.regexp_extract_all(text, regex, F.lit(group))
+    if KINDS[kind][0] == "format":
+        body = F.regexp_extract_all(text, F.lit(pattern + _KEY_BODY), F.lit(1))
+        bare = lambda x: F.regexp_replace(x, r"""\\[nr]|[\s"',\\]""", "")
+        value = F.zip_with(value, body, lambda v, b: F.when(b.rlike("[A-Za-z0-9+/]{40}"), bare(b)).otherwise(v))
     found = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
         F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, regex, F.lit(group)).alias("value"),
+        value.alias("value"),
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
@@ -67,9 +80,18 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, by.alias("spans"))
 
 
-def live_looking(value: Column) -> Column:
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return (F.length(value) >= LIVE_LENGTH) & mixed & ~F.lower(value).rlike(PLACEHOLDERS)
+def live_looking(value: Column, kind: Column) -> Column:
+    is_kind = lambda name: kind == [k[0] for k in KINDS].index(name)
+    variety = F.size(F.array_distinct(F.split(value, "")))
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(F.lower(value), i, 2)), lambda p: p.rlike("^[a-z]{2}$"))
+    wordy = 2 * F.size(F.filter(pairs, lambda p: p.isin(PAIRS))) > F.size(pairs)
+    mixed = (F.length(value) >= LIVE_LENGTH) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    shaped = is_kind("access") | is_kind("format")
+    real = ~F.lower(value).rlike(PLACEHOLDERS) & (mixed | shaped | ((variety >= LEAST_VARIETY) & ~wordy))
+    header = is_kind("format") & value.startswith("-----BEGIN")  # without a body
+    # Of the formats only a key's body is all base64: the others have _, - or a dot.
+    key = is_kind("format") & value.rlike("^[A-Za-z0-9+/=]{40,}$")
+    return ~header & F.when(key, variety >= LEAST_KEY_VARIETY).otherwise(real)
 
 
 def ownership(scanned: DataFrame, repository: Column, owner: Column) -> DataFrame:
@@ -83,7 +105,7 @@ def judge(docs: DataFrame, keep: list[str], repository: Column, owner: Column) -
     """``keep`` columns, ``spans`` (without values), ``n_live`` and ``n_examples`` for each row."""
     with_row = docs.withColumn("_repo", F.coalesce(repository, F.lit("?"))).withColumn("_owner", F.coalesce(owner, F.lit("?")))
     scanned = scan(with_row, [*keep, "_repo", "_owner"]).withColumn("_row", F.monotonically_increasing_id())
-    hashed = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("secret"), live_looking(x["value"]).alias("random")))
+    hashed = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("secret"), live_looking(x["value"], x["kind"]).alias("random")))
     rows = materialize(scanned.select(*keep, "_repo", "_owner", "_row", hashed.alias("spans")))
     each = rows.select("_row", "_repo", "_owner", F.explode("spans").alias("x")).select("_row", "_repo", "_owner", "x.secret", "x.random")
     owners = each.select("secret", "_repo", "_owner").distinct().groupBy("secret").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repo").alias("repos"))
