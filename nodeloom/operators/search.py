@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_query, words
 
 K1, B = 1.2, 0.75
+#: Slices of a group that are pruned by themselves.
+SLICES = 64
 
 
 def match_all(docs: DataFrame, terms: Sequence[str], ident: str = "id", text: str = "text") -> DataFrame:
@@ -98,17 +100,28 @@ def relevance(distance: Column, similarity: Column, age_days: Column) -> Column:
 def within_budget(items: DataFrame, budget: int, group: str, ident: str = "id") -> DataFrame:
     """Greedy choice by falling score: an item that does not fit is skipped, later ones may still fit.
 
-    One array per ``group``; the items of a context are limited by its traversal.
+    Of the items of one size at most budget / size are taken, the first ones; the others are dropped before a
+    group becomes an array, first within slices of a group.  Items without tokens always fit and are added apart.
+    Tokens are not negative.
     """
-    entry = F.struct((-F.col("score")).alias("order"), F.col(ident).alias("id"), "tokens")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
+    rows = items.select(group, (-F.col("score")).alias("order"), F.col(ident).alias("id"), F.col("tokens"))
+    slim = rows.filter((F.col("tokens") > 0) & (F.col("tokens") <= budget)).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+    for part in ([group, "tokens", "slice"], [group, "tokens"]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("order", "id"))
+        slim = slim.withColumn("_r", rank).filter(F.col("_r") * F.col("tokens") <= budget).drop("_r")
+    entry = F.struct("order", "id", "tokens")
+    kind = slim.select(entry.alias("x")).schema["x"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("taken"))
 
     def step(done: Column, x: Column) -> Column:
         fits = done["used"] + x["tokens"] <= budget
-        return F.struct(F.when(fits, done["used"] + x["tokens"]).otherwise(done["used"]).alias("used"), F.when(fits, F.array_append(done["ids"], x["id"])).otherwise(done["ids"]).alias("ids"))
+        return F.struct(F.when(fits, done["used"] + x["tokens"]).otherwise(done["used"]).alias("used"), F.when(fits, F.array_append(done["taken"], x)).otherwise(done["taken"]).alias("taken"))
 
-    chosen = items.groupBy(group).agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, step).alias("c"))
-    return chosen.select(group, "c.used", F.posexplode("c.ids").alias("position", "id"))
+    chosen = slim.groupBy(group).agg(F.aggregate(F.array_sort(F.collect_list(entry)), start, step)["taken"].alias("c")).select(group, F.inline("c"))
+    every = chosen.unionByName(rows.filter((F.col("tokens") == 0) & F.lit(budget >= 0)))
+    position = F.row_number().over(Window.partitionBy(group).orderBy("order", "id", "tokens")) - 1
+    used = F.sum(F.col("tokens").cast("long")).over(Window.partitionBy(group))
+    return every.select(group, used.alias("used"), position.alias("position"), "id")
 
 
 def running_budget(items: DataFrame, budget: int, group: str, ident: str = "id") -> DataFrame:

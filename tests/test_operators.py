@@ -110,3 +110,29 @@ def test_text(spark):
     assert one(tx.number_prefix(F.lit("12abc"))) == 12.0 and one(tx.number_prefix(F.lit("abc"))) is None
     assert one(tx.mentions(F.lit('"a b" with Ann Lee @bob #tag @bob'))) == ["a b", "Ann Lee", "bob", "tag"]
     assert one(tx.enriched(F.array(F.lit("t")), F.array(F.struct(F.lit("F").alias("field"), F.lit("v" * 60).alias("value"))), F.lit("n"))) == "[Type: #t] [F: " + "v" * 50 + "…] n"
+
+
+def test_budget_prunes_before_it_collects(spark, monkeypatch):
+    import random
+
+    from nodeloom.operators.search import within_budget
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), f"i{i}", rng.randrange(50) / 50, rng.choice([0, 1, 2, 3, 7, 20, 45, 200])) for i in range(1500)]
+    out = within_budget(spark.createDataFrame(rows, "grp string, id string, score double, tokens long"), 100, "grp")
+    want = set()
+    for g in "ab":
+        used, ids = 0, []
+        for _, i, t in sorted((-s, i, t) for x, i, s, t in rows if x == g):
+            if used + t <= 100:
+                used += t
+                ids.append(i)
+        want |= {(g, used, k, i) for k, i in enumerate(ids)}
+    assert {tuple(r) for r in out.select("grp", "used", "position", "id").collect()} == want
+    # One hot group: what its array holds is bounded by the budget, not by its rows.
+    hot = spark.range(20_000).select(F.lit("g").alias("grp"), F.col("id").cast("string").alias("id"), F.rand(1).alias("score"), (F.col("id") % 50 + 1).alias("tokens"))
+    gathered = []
+    real = F.collect_list
+    monkeypatch.setattr(F, "collect_list", lambda c: gathered.append(c) or F.when(F.count("*") > 100 * 6, F.raise_error(F.lit("too many"))).otherwise(real(c)))
+    assert len(within_budget(hot, 100, "grp").collect()) > 2 and gathered
