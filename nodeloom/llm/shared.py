@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..storage import materialize
 
-__all__ = ["free_name", "materialize"]
+__all__ = ["free_name", "materialize", "runs"]
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -15,3 +19,23 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with equal integer keys, which stand together over any number of batches, as one batch each."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.concat_batches(held)
