@@ -9,9 +9,11 @@ decodes Rice residuals (any partition order, escapes included) and runs the line
 predictors.  Work is vectorised *across* frames: one step handles sample i of every frame
 of a chunk, so cost does not depend on how samples are spread over documents.
 
-Edge cases: a null or empty text is a payload of 64 zero bytes; equal texts give equal
-bytes; an empty table gives an empty result; a frame with a wrong checksum is
-counted in ``bad_frames``; other columns are ignored.
+Edge cases: a null or empty text is a payload of 64 zero bytes; equal texts and repeated rows
+give equal bytes; very long texts are chunks of their own; an empty table gives an empty
+result; a frame with a wrong checksum is counted in ``bad_frames`` and decodes to zeros; a
+stream whose marker, metadata or seek table is damaged or absent has no payload and counts
+one bad frame; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
 
 BLOCK, RATE, PAD, CHUNK = 576, 8000, 64, 1 << 21
 #: Predictors of the encoder: name, coefficients (nearest sample first), shift, bits per coefficient.
-PREDICTORS = (("fixed", (), 0, 0), ("fixed", (1,), 0, 0), ("fixed", (2, -1), 0, 0), ("lpc", (3, 2), 3, 5))
+PREDICTORS = (("fixed", (), 0, 0), ("fixed", (1,), 0, 0), ("fixed", (2, -1), 0, 0), ("lpc", (0, 0), 5, 7))  # lpc: fitted to each frame
 #: Coefficients of the format's fixed predictors, by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -87,6 +89,16 @@ def _frame_header(number: int, size: int) -> bytes:
     return _headers[key]
 
 
+def fit_lpc(s: np.ndarray, shift: int, precision: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two coefficients of each frame (column) by its autocorrelation, in steps of 2**-shift."""
+    x = s.astype(np.float64)
+    r0, r1, r2 = ((x[k:] * x[: len(x) - k]).sum(axis=0) for k in range(3))
+    det = np.maximum(r0 * r0 - r1 * r1, 1e-9)
+    most = (1 << (precision - 1)) - 1
+    whole = lambda a: np.clip(np.rint(np.ldexp(a, shift)), -most, most).astype(np.int32)
+    return whole(r1 * (r0 - r2) / det), whole((r0 * r2 - r1 * r1) / det)
+
+
 def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's bytes, padded with zeros to a positive multiple of 64."""
     size = np.diff(offsets)
@@ -111,8 +123,10 @@ def encode_chunk(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
     best = np.full(frames, np.iinfo(np.int64).max)
     folded, rice, which = np.zeros_like(s), np.zeros(frames, np.int64), np.zeros(frames, np.int64)
+    fitted = fit_lpc(np.where(inside, s, 0), *PREDICTORS[-1][2:])
     for i, (kind, coefs, shift, precision) in enumerate(PREDICTORS):
         order = len(coefs)
+        coefs = fitted if kind == "lpc" else coefs
         r = s.copy()
         if order:
             guess = sum(c * s[order - 1 - j : steps - 1 - j] for j, c in enumerate(coefs)) >> shift
@@ -158,7 +172,7 @@ def encode_chunk(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
             mine = coded & (which == i)
             put(mine, p, 4, precision - 1)
             put(mine, p + 4, 5, shift)
-            for j, c in enumerate(coefs):
+            for j, c in enumerate(fitted):
                 put(mine, p + 9 + precision * j, precision, c & ((1 << precision) - 1))
             p = p + np.where(mine, 9 + precision * len(coefs), 0)
     put(coded, p, 10, rice)  # method 0, partition order 0, the parameter
@@ -237,12 +251,14 @@ def decode_frames(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple
     code = codes >> 4
     n = np.select([code == 1, code == 6, code == 7, code >= 8, code >= 2], [np.full(len(p), 192), bits.read(p, 8) + 1, bits.read(p, 16) + 1, 256 << np.maximum(code - 8, 0), 576 << np.maximum(code - 2, 0)], 0)
     p = p + np.select([code == 6, code == 7], [8, 16], 0)
-    good = (bits.read(8 * first, 15) == 0x7FFC) & (CRC8(data, first, p >> 3) == bits.read(p, 8))
+    good = (bits.read(8 * first, 15) == 0x7FFC) & ((p >> 3) < end - 2)
+    good &= CRC8(data, first, np.minimum(p >> 3, end)) == bits.read(p, 8)
     good &= CRC16(data, first, end - 2) == bits.read(8 * (end - 2), 16)
     p = p + 8
     kind = bits.read(p, 8) >> 1
     p = p + 8
-    constant, verbatim, fixed, lpc = kind == 0, kind == 1, (kind >= 8) & (kind <= 12), kind >= 32
+    n = np.where(good, n, 0)  # a frame that fails a check has no samples
+    constant, verbatim, fixed, lpc = good & (kind == 0), good & (kind == 1), good & (kind >= 8) & (kind <= 12), good & (kind >= 32)
     order = np.where(fixed, kind - 8, np.where(lpc, kind - 31, 0))
     steps, frames = int(n.max(initial=0)), len(n)
     out = np.zeros((steps, frames), np.int64)
@@ -274,7 +290,7 @@ def decode_frames(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple
         p = p + np.where(is_lpc, 9 + precision * o, 0)
     wide, parts = 4 + bits.read(p, 2), bits.read(p + 2, 4)  # 5-bit parameters with method 1
     p = p + 6
-    span = size >> parts
+    span = np.maximum(size >> parts, 1)
     boundary, k, raw = o.copy(), np.zeros(len(rows), np.int64), np.full(len(rows), -1)
     live = len(rows)
     for i in range(steps):
@@ -311,41 +327,69 @@ def decode_frames(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple
     return out, n, good
 
 
-def decode_chunk(streams: list[bytes]) -> list[tuple[bytes, list[int], int, str]]:
-    """Of each stream: its payload, the sample offsets of its frames, the frames that fail a check, a feature text."""
-    firsts, ends, offsets, md5, base = [], [], [], [], 0
-    for b in streams:
-        at, points = 4, None
-        while True:  # metadata blocks
-            head, length = b[at], int.from_bytes(b[at + 1 : at + 4], "big")
-            body = b[at + 4 : at + 4 + length]
-            if head & 127 == 0:
-                md5.append(body[18:34])
-            elif head & 127 == 3:
-                points = np.frombuffer(body, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-            at += 4 + length
-            if head & 128:
-                break
-        if points is None:
-            raise ValueError("a stream without a seek table")
-        begin = points["offset"].astype(np.int64) + at + base
-        firsts.append(begin)
+_POINTS = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+
+
+def layout(b: bytes) -> tuple[int, np.ndarray, bytes, int] | None:
+    """Start of the frames, seek points, MD5 and number of samples; None if marker, metadata or seek table cannot be right."""
+    if b[:4] != b"fLaC":
+        return None
+    at, info, points, last = 4, b"", None, False
+    while not last:  # metadata blocks
+        head, length = b[at : at + 1], int.from_bytes(b[at + 1 : at + 4], "big")
+        body = b[at + 4 : at + 4 + length]
+        if not head or len(body) < length:
+            return None
+        if head[0] & 127 == 0:
+            info = body
+        elif head[0] & 127 == 3 and length % _POINTS.itemsize == 0:
+            points = np.frombuffer(body, _POINTS)
+        at, last = at + 4 + length, bool(head[0] & 128)
+    if len(info) != 34 or points is None or not len(points):
+        return None
+    offset, sample, n = (points[x].astype(np.float64) for x in ("offset", "sample", "n"))
+    edges = np.append(offset, len(b) - at)
+    if offset[0] or (np.diff(edges) < 8).any() or not np.array_equal(sample, np.cumsum(n) - n):
+        return None
+    return at, points, info[18:34], int.from_bytes(info[10:18], "big") & (1 << 36) - 1
+
+
+def decode_chunk(streams: list[bytes]) -> list[tuple[bytes | None, list[int], int, str | None]]:
+    """Of each stream: its payload, the sample offsets of its frames, the frames that fail a check, a feature text.
+
+    The samples of a frame that fails are zero, as many as the seek table has of it; a stream whose layout
+    cannot be read has no payload and counts one frame.
+    """
+    found = [layout(b) for b in streams]
+    firsts, ends, base = [], [], 0
+    for b, x in zip(streams, found, strict=True):
+        if x is not None:
+            begin = x[1]["offset"].astype(np.int64) + x[0] + base
+            firsts.append(begin)
+            ends.append(np.append(begin[1:], base + len(b)))
         base += len(b)
-        ends.append(np.append(begin[1:], base))
-        offsets.append(points["sample"].astype(np.int64))
-    count = [len(x) for x in firsts]
-    samples, n, good = decode_frames(np.frombuffer(b"".join(streams), np.uint8), np.concatenate(firsts), np.concatenate(ends))
-    keep = np.arange(len(samples))[:, None] < n
-    flat = samples.T[keep.T].astype(np.int8)
-    cut, f, out = np.concatenate([[0], np.cumsum(n)]), 0, []
-    for i, frames in enumerate(count):
-        mine = flat[cut[f] : cut[f + frames]]
-        bad = int((~good[f : f + frames]).sum())
-        bad = bad or int(hashlib.md5(mine.tobytes()).digest() != md5[i])
+    if firsts:
+        samples, n, good = decode_frames(np.frombuffer(b"".join(streams), np.uint8), np.concatenate(firsts), np.concatenate(ends))
+        flat = samples.T[(np.arange(len(samples))[:, None] < n).T].astype(np.int8)
+        cut = np.concatenate([[0], np.cumsum(n)])
+    f, out = 0, []
+    for x in found:
+        if x is None:
+            out.append((None, [], 1, None))
+            continue
+        _, points, md5, total = x
+        last = f + len(points)
+        want = points["n"].astype(np.int64)
+        right = good[f:last] & (n[f:last] == want)
+        if right.all():
+            mine = flat[cut[f] : cut[last]]
+        else:
+            mine = np.concatenate([flat[cut[k] : cut[k + 1]] if ok else np.zeros(size, np.int8) for k, ok, size in zip(range(f, last), right, want, strict=True)])
+        bad = int((~right).sum()) or int(hashlib.md5(mine.tobytes()).digest() != md5 or len(mine) != total)
         wide = mine.astype(np.int64)
         feature = f"samples={len(mine)};sum={int(wide.sum())};energy={int((wide * wide).sum())};crossings={int((np.diff(np.signbit(mine)) != 0).sum())};peak={int(np.abs(wide).max(initial=0))}"
-        out.append(((mine.view(np.uint8) ^ np.uint8(128)).tobytes(), offsets[i].tolist(), bad, feature))
-        f += frames
+        out.append(((mine.view(np.uint8) ^ np.uint8(128)).tobytes(), points["sample"].astype(np.int64).tolist(), bad, feature))
+        f = last
     return out
 
 
@@ -381,11 +425,16 @@ def decode(media: DataFrame, keep: list[str]) -> DataFrame:
     return media.select(*dict.fromkeys([*keep, "media"])).mapInArrow(run, _schema(media, keep) + "pcm binary, sample_offsets array<long>, bad_frames int, feature string")
 
 
+def blocks() -> Column:
+    """Of decoded rows: (sample_offset, pcm) of each frame, in order."""
+    following = lambda i: F.coalesce(F.get("sample_offsets", i + 1), F.length("pcm").cast("long"))
+    one = lambda at, i: F.struct(at.alias("sample_offset"), F.substring(F.col("pcm"), (at + 1).cast("int"), (following(i) - at).cast("int")).alias("pcm"))
+    return F.transform("sample_offsets", one)
+
+
 def pcm_blocks(decoded: DataFrame, keep: list[str]) -> DataFrame:
     """One row per frame: ``sample_offset`` and that block's ``pcm``, so that a reader can seek by sample."""
-    at = decoded.select(*keep, "pcm", "sample_offsets", F.posexplode("sample_offsets").alias("block", "sample_offset"))
-    following = F.coalesce(F.try_element_at("sample_offsets", F.col("block") + 2), F.length("pcm").cast("long"))
-    return at.select(*keep, "block", "sample_offset", F.substring(F.col("pcm"), (F.col("sample_offset") + 1).cast("int"), (following - F.col("sample_offset")).cast("int")).alias("pcm"))
+    return decoded.select(*keep, F.posexplode(blocks()).alias("block", "x")).select(*keep, "block", "x.sample_offset", "x.pcm")
 
 
 def _schema(df: DataFrame, keep: list[str]) -> str:
@@ -397,6 +446,6 @@ def op5_flac(spark, sf_dir: str) -> DataFrame:
     media = encode(docs, ["doc_id", "n_bytes"]).select("*", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
     return decode(media, keep).select(
-        "doc_id", "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("pcm"), -64, 64)).alias("tail_crc32"),
-        "media_bytes", "media_sha256", "feature", "bad_frames",
+        "doc_id", "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring(F.element_at(blocks(), -1)["pcm"], -64, 64)).alias("tail_crc32"),
+        "media_bytes", "media_sha256", "feature", "bad_frames", F.size("sample_offsets").alias("pcm_blocks"),
     )

@@ -10,11 +10,13 @@ Four kinds of evidence are added as logarithms, per language:
 
 Everything corpus-wide is a grouped aggregation with partial sums, so a host with a
 third of all pages meets in no single task.  The text models are fitted on at most about
-``max_docs`` documents of declared language.
+``max_docs`` documents of declared language, as many of each.
 
 Edge cases: null or empty pages have no text evidence and go by the rest; a missing
-declaration or host is a value of its own; repeated rows count each; without languages to
-learn from the result is empty; other columns are ignored.
+declaration or host is a value of its own; repeated rows count each; of equal posteriors the
+language first by name is taken; very long pages are read whole; without languages to
+learn from the result is empty, more than MAX_LANGUAGES are an error; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from .shared import materialize
 BUCKETS, MAX_DOCS, SEED = 1 << 16, 20_000, 5
 #: Languages at most, strength of the smoothing, weight of a trigram and the most that text may say.
 MAX_LANGUAGES, STRENGTH, TEMPER, TEXT_LIMIT = 200, 4.0, 0.2, 12.0
+_HASH = 1 << 53
 _MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
 _DECLARED = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})"""
 
@@ -69,12 +72,17 @@ class TextModels:
 def fit_text(docs: DataFrame, max_docs: int = MAX_DOCS) -> TextModels | None:
     """Text models from ``docs(doc_id, text, lang)``; languages are those with declared documents."""
     known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    found = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} declared languages: map them to fewer first")
+    sizes = {r.lang: r.n for r in found}
     if not sizes:
         return None
-    languages, total = sorted(sizes), sum(sizes.values())
-    share = int(1e6 * min(1.0, max_docs / total))
-    sample = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < share).filter(F.col("lang").isin(languages))
+    languages = sorted(sizes)
+    # Each language's share of the sample is the same; the hash has as many bits as a double is exact to.
+    quota = [(x, int(_HASH * min(1.0, max_docs / len(sizes) / n))) for x, n in sizes.items()]
+    below = F.create_map(*[F.lit(v) for pair in quota for v in pair])[F.col("lang")]
+    sample = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(_HASH)) < below)
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str, fold: F.Column, class
     total = known.count()
     if not total:
         return LinearModel()
-    spread = F.pmod(F.xxhash64(F.lit(params.seed), "doc_id"), F.lit(1_000_000))
-    sample = known.filter(spread < int(1e6 * min(1.0, params.max_rows / total)))
+    spread = F.pmod(F.xxhash64(F.lit(params.seed), "doc_id"), F.lit(1 << 53))  # exact for any number of labels
+    sample = known.filter(spread < int((1 << 53) * min(1.0, params.max_rows / total)))
     shards = max(1, round(min(total, params.max_rows) / params.rows_per_shard))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,3 +200,16 @@ def score(docs: DataFrame, model: LinearModel, *, classes: np.ndarray, params: F
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def validate(docs: DataFrame, labels: DataFrame, *, label: str, fold: F.Column, inner: F.Column, threshold: float, classes: np.ndarray, params: FtrlParams, swap: Swap | None = None) -> DataFrame:
+    """One row: log loss and counts of hits and errors on the labels of ``fold`` that meet ``inner``, fitted on its others.
+
+    Parameters are chosen by this, so that labels outside ``fold`` decide nothing.
+    """
+    model = fit(docs, labels, label=label, fold=fold & ~inner, classes=classes, params=params, swap=swap)
+    asked = labels.filter(fold & inner & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    p = F.least(F.greatest(F.col("score"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    rows = score(docs.join(asked, "doc_id", "left_semi"), model, classes=classes, params=params, keep=["doc_id"], swap=swap).join(asked, "doc_id")
+    hit, y = F.col("score") >= threshold, F.col("y") == 1
+    return rows.agg(F.avg(F.when(y, -F.log(p)).otherwise(-F.log(1 - p))).alias("loss"), F.count_if(hit & y).alias("tp"), F.count_if(~hit & y).alias("fn"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & ~y).alias("tn"))

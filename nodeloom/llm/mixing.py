@@ -10,7 +10,8 @@ there: a global shuffle in one exchange, without a sampling pass and without a h
 
 Edge cases: rows without source form a source of their own; a row without id draws by its
 text; repeated ids draw alike; a rate has no bound, but asking for more than MAX_RATE
-times the input is an error; an empty table gives an empty result; other columns go along.
+times the input is an error; an empty table gives an empty result; other columns go along,
+whatever their names; texts of any length are copied as they are.
 """
 
 from __future__ import annotations
@@ -59,10 +60,14 @@ def uniform(*parts: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", ident: str = "doc_id", size: float = 1.0, seed: int = SEED) -> DataFrame:
-    """``docs`` replicated to the target weights and shuffled; adds ``replica`` (from 1) and ``shuffle_key``."""
+    """``docs`` replicated to the target weights and shuffled; adds ``replica`` (from 1) and ``shuffle_key``.
+
+    Where ``docs`` has columns of these names, the added ones have underscores in front.
+    """
     if size > MAX_RATE:
         raise ValueError(f"a rate above {MAX_RATE} for the average document")
     key, parts, cdf, count = (free_name(docs, x) for x in ("_source", "_parts", "_cdf", "_count"))
+    replica, shuffle_key = free_name(docs, "replica"), free_name(docs, "shuffle_key")
     table = rates(docs, tempered_weights(docs, source) if weights is None else weights, source, size).select(F.col(source).alias(key), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
@@ -72,9 +77,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     more = F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda k: below(uniform(F.concat(F.lit(f"{seed}/"), k.cast("string")), name)))
     draw = F.when(F.col(parts) == 1, draw).otherwise(F.aggregate(more, draw, lambda a, b: a + b))
     drawn = docs.join(table, F.col(source).eqNullSafe(F.col(key))).withColumn(count, draw)
-    each = drawn.filter(F.col(count) > 0).drop(cdf, parts, key).withColumn("replica", F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count)
-    each = each.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}+"), name, F.col("replica")).cast("binary")))
-    return each.repartition("shuffle_key").sortWithinPartitions("shuffle_key", ident)
+    each = drawn.filter(F.col(count) > 0).drop(cdf, parts, key).withColumn(replica, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count)
+    each = each.withColumn(shuffle_key, F.md5(F.concat_ws(":", F.lit(f"{seed}+"), name, F.col(replica)).cast("binary")))
+    return each.repartition(shuffle_key).sortWithinPartitions(shuffle_key, ident)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 Edge cases: a null or empty text scores the bias alone; rows repeat in the result
 as they do in the input; an empty table gives an empty result; without labels every
-score is 0.5; columns beyond the named ones are ignored.
+score is 0.5; very long texts are read whole; columns beyond the named ones are ignored.
+
+Features and parameters have the least log loss by ``linear.validate`` on a quarter of the
+labels outside the held-out fold, fitted on the rest of them.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from .linear import FtrlParams, LinearModel, fit, score
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Runs of symbols are tokens too: markup debris and shouting show there.
 CLASSES = tk.WORDS_AND_SYMBOLS
-PARAMS = FtrlParams(runs=(4,))
+PARAMS = FtrlParams(runs=(4,), l1=1.0)
 
 
 def fold_of(folds: int = FOLDS) -> F.Column:

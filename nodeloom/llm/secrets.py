@@ -13,8 +13,8 @@ sits in a third of all rows meets in no single task.
 
 Edge cases: a null or empty text has no spans; a null repository or owner counts as one
 unknown; repeated rows are scanned and returned each, and do not raise an owner count;
-an empty table gives an empty result; other columns are ignored.  Texts with very many
-spans cost the square of their count in copying.
+an empty table gives an empty result; other columns are ignored, whatever their names; very
+long texts are scanned whole, and many spans cost little more than in proportion.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_name, materialize
 
 _ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 #: Kind, pattern, group of the value and the value's least length, in order of listing (fixed values).
@@ -42,6 +42,8 @@ LEAST_VARIETY, LEAST_KEY_VARIETY = 5, 16
 #: Letter pairs common in words (fixed values); most of a random value's pairs are others.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke ui fr oo ag tt do up va ue sw rd ey ap au nk ck".split()
 PLACEHOLDERS = "example|sample|dummy|placeholder|changeme|xxxx|1234567|abcdef"
+#: Matches that are placed one by one before they are moved as one.
+FOLD = 64
 _SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 
 
@@ -59,7 +61,7 @@ def _spans(text: Column, kind: int) -> Column:
         F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"),
         value.alias("value"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(done: Column, x: Column) -> Column:
         first = done["at"] + x["gap"]
@@ -67,8 +69,16 @@ def _spans(text: Column, kind: int) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), first.alias("start"), last.alias("end"), x["value"].alias("value"))
         return F.struct(last.alias("at"), F.array_append(done["out"], span).alias("out"))
 
-    # The last gap, behind the last hit, is dropped.
-    spans = F.aggregate(F.filter(found, lambda x: x["hit"].isNotNull()), start, step)["out"]
+    # An append copies its array, so runs of FOLD matches are placed by themselves and then moved behind one another.
+    hits = F.filter(found, lambda x: x["hit"].isNotNull())  # the last gap, behind the last hit, is dropped
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / FOLD).cast("int")), lambda i: F.aggregate(F.slice(hits, i * FOLD + 1, FOLD), begin, step))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+
+    def move(done: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + done["at"]).alias("start"), (x["end"] + done["at"]).alias("end"), x["value"].alias("value")))
+        return F.struct((done["at"] + part["at"]).alias("at"), F.array_append(done["out"], moved).alias("out"))
+
+    spans = F.flatten(F.aggregate(parts, start, move)["out"])
     return F.when(text.rlike(pattern), F.filter(spans, lambda x: F.length(x["value"]) >= least)).otherwise(F.array().cast(_SPAN))
 
 
@@ -94,28 +104,22 @@ def live_looking(value: Column, kind: Column) -> Column:
     return ~header & F.when(key, variety >= LEAST_KEY_VARIETY).otherwise(real)
 
 
-def ownership(scanned: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """(secret, repositories, owners) of each candidate hash of ``scanned(spans, ...)``."""
-    each = scanned.select(F.explode("spans").alias("x"), F.coalesce(repository, F.lit("?")).alias("repo"), F.coalesce(owner, F.lit("?")).alias("owner"))
-    held = each.select(F.sha2(F.col("x.value"), 256).alias("secret"), "repo", "owner").distinct()
-    return held.groupBy("secret").agg(F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners"))
-
-
 def judge(docs: DataFrame, keep: list[str], repository: Column, owner: Column) -> DataFrame:
     """``keep`` columns, ``spans`` (without values), ``n_live`` and ``n_examples`` for each row."""
-    with_row = docs.withColumn("_repo", F.coalesce(repository, F.lit("?"))).withColumn("_owner", F.coalesce(owner, F.lit("?")))
-    scanned = scan(with_row, [*keep, "_repo", "_owner"]).withColumn("_row", F.monotonically_increasing_id())
+    repo_name, owner_name, row_name = (free_name(docs, x) for x in ("_repo", "_owner", "_row"))
+    with_row = docs.withColumn(repo_name, F.coalesce(repository, F.lit("?"))).withColumn(owner_name, F.coalesce(owner, F.lit("?")))
+    scanned = scan(with_row, [*keep, repo_name, owner_name]).withColumn(row_name, F.monotonically_increasing_id())
     hashed = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("secret"), live_looking(x["value"], x["kind"]).alias("random")))
-    rows = materialize(scanned.select(*keep, "_repo", "_owner", "_row", hashed.alias("spans")))
-    each = rows.select("_row", "_repo", "_owner", F.explode("spans").alias("x")).select("_row", "_repo", "_owner", "x.secret", "x.random")
-    owners = each.select("secret", "_repo", "_owner").distinct().groupBy("secret").agg(F.count_distinct("_owner").alias("owners"), F.count_distinct("_repo").alias("repos"))
-    weighed = each.join(owners, "secret").groupBy("_row").agg(
+    rows = materialize(scanned.select(*keep, repo_name, owner_name, row_name, hashed.alias("spans")))
+    each = rows.select(F.col(row_name).alias("row"), F.col(repo_name).alias("repo"), F.col(owner_name).alias("owner"), F.explode("spans").alias("x")).select("row", "repo", "owner", "x.secret", "x.random")
+    owners = each.select("secret", "repo", "owner").distinct().groupBy("secret").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
+    weighed = each.join(owners, "secret").groupBy(F.col("row").alias(row_name)).agg(
         F.count(F.when((F.col("owners") == 1) & F.col("random"), 1)).alias("n_live"),
         F.count(F.when(F.col("owners") >= EXAMPLE_OWNERS, 1)).alias("n_examples"),
         F.max("repos").alias("most_repositories"),
     )
     zero = F.lit(0).cast("long")
-    return rows.join(weighed, "_row", "left").select(*keep, "spans", *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_examples", "most_repositories")])
+    return rows.join(weighed, row_name, "left").select(*keep, "spans", *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_examples", "most_repositories")])
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Each labelled text that names a group is paired with a copy in which the group's
 terms are swapped for those of another group; the fit penalises the squared change of
 the logit between the two, so that naming a group is no evidence by itself.
 
-Edge cases are those of the quality classifier: null and empty texts score the bias.
+Edge cases are those of the quality classifier: null and empty texts score the bias.  Parameters
+are chosen as there, within the labels outside the held-out fold.
 """
 
 from __future__ import annotations

@@ -43,6 +43,69 @@ def test_rates_have_no_bound(spark, make_docs):
     assert mx.mix(make_docs(["x"] * 30_000 + ["y"], sources=["a"] * 30_000 + ["b"]), size=5.0).filter("source = 'b'").count() > mx.MAX_RATE
 
 
+def test_clashing_names_stay(spark, make_docs):
+    docs = make_docs(["a", "b"]).selectExpr("*", "'mine' AS replica", "7 AS shuffle_key", "'x' AS _source")
+    got = mx.mix(docs, size=20.0)
+    assert got.columns == [*docs.columns, "_replica", "_shuffle_key"]
+    assert {(r.replica, r.shuffle_key, r["_source"]) for r in got.collect()} == {("mine", 7, "x")}
+
+
+def test_language_samples_whatever_the_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "der die das" if i % 50 else "the and of", "de" if i % 50 else "en") for i in range(1000)], "doc_id long, text string, lang string")
+    models = lg.fit_text(docs, max_docs=40)  # a rare language gets as many rows as a common one
+    assert models.languages == ["de", "en"] and models.weights.std(axis=1).min() > 0.01
+    assert int(lg._HASH * (20_000 / 4 / 10**12)) > 0
+    monkeypatch.setattr(lg, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 declared"):
+        lg.fit_text(docs)
+
+
+def by_hand(rows, models):
+    """The fused posteriors, page by page."""
+    import re
+
+    import numpy as np
+
+    n, s, out = len(models.languages), lg.STRENGTH, []
+    for ident, url, html in rows:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", url or "")
+        host = m[1].lower() if m else ""
+        domain = (re.search(r"([^.]+[.][^.]+)$", host) or [""])[0]
+        d = re.search(lg._DECLARED, html or "")
+        data = re.sub(lg._MARKUP, " ", html or "").encode()
+        e = models.evidence(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        q = np.exp(e) / np.exp(e).sum()
+        out.append(dict(id=ident, host=host, domain=domain, suffix=host.split(".")[-1], declared=d[1].lower() if d else "", e=e, q=q))
+    total = sum(r["q"] for r in out)
+    whole = (total + 1) / (total.sum() + n)
+    sums = lambda *by: {k: sum(r["q"] for r in out if tuple(r[b] for b in by) == k) for k in {tuple(r[b] for b in by) for r in out}}
+    c1, c2, c3, cd = sums("suffix"), sums("suffix", "domain"), sums("suffix", "domain", "host"), sums("declared")
+    p1 = {k: (c + s * whole) / (c.sum() + s) for k, c in c1.items()}
+    p2 = {k: (c + s * p1[k[:1]]) / (c.sum() + s) for k, c in c2.items()}
+    got = {}
+    for r in out:
+        at = (r["suffix"], r["domain"], r["host"])
+        c = c3[at]
+        own = np.log((np.maximum(c - r["q"], 0) + s * p2[at[:2]]) / (max(c.sum() - 1, 0) + s))
+        like = lambda c: np.log((c + s * whole) / (c.sum() + s) / whole)
+        f = r["e"] + own + like(cd[(r["declared"],)]) + like(c1[(r["suffix"],)])
+        w = np.exp(f - f.max())
+        got[r["id"]] = (r["host"], models.languages[int(w.argmax())], 1 / w.sum())
+    return got
+
+
+def test_language_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    models = lg.fit_text(spark.read.parquet(f"{sf}/documents.parquet"))
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    want = by_hand(pages, models)
+    rows = lg.op1_language(spark, sf).collect()
+    assert len(rows) == len(pages) and len(want) == len({p[0] for p in pages})
+    for r in rows:
+        host, lang, posterior = want[r.page_id]
+        assert (r.host, r.lang) == (host, lang) and abs(r.posterior - posterior) < 1e-6
+
+
 def test_language_fuses_evidence(spark):
     en, de = "the house and the garden of the people with their things ", "der garten und das haus mit den sachen von diesen leuten "
     docs = spark.createDataFrame([(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
