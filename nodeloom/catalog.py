@@ -2,13 +2,16 @@
 
 A ``Catalog`` holds nodes, their tags, multi-valued attributes (entity, attribute, value
 rows), typed links, the tag hierarchy and the attributes that tags declare.  Every view
-of ``star_catalog`` carries its tag as a literal, so a filter on the tag prunes the
-other branches of the union before anything is read.
+of ``star_catalog`` carries its tag as a literal, each attribute its name and each link its
+kind and the tags at its ends, so a filter on them prunes the other branches of the union
+before anything is read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from dataclasses import field as dataclass_field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +24,10 @@ class Catalog:
     """nodes(id, name, parent_id, created, updated, tag), tags(id, tag), fields(id, field, value, value_order, value_id),
     links(source, target, kind), tag_parents(child, parent), tag_fields(tag, field, field_order, kind).
 
-    primary: tags that exactly the nodes with this value of ``nodes.tag`` have; finding them
-    is a filter that prunes partitions, not a join.
+    Ids of nodes are unique.  primary: tags that exactly the nodes with this value of ``nodes.tag``
+    have; finding them is a filter that prunes partitions, not a join.  ends: whether links and fields also
+    have ``source_tag`` and ``target_tag``, the primary tags at their ends.  targets: attribute to the primary
+    tag of the nodes that it refers to, where that is known.
     """
 
     nodes: DataFrame
@@ -32,6 +37,8 @@ class Catalog:
     tag_parents: DataFrame
     tag_fields: DataFrame
     primary: frozenset[str] = frozenset()
+    ends: bool = False
+    targets: dict[str, str] = dataclass_field(default_factory=dict)
 
     def tagged(self, tag: str) -> DataFrame:
         """Nodes with a tag."""
@@ -57,6 +64,7 @@ def _ident(tag: str, *keys: str) -> Column:
 #: Tag hierarchy and declared attributes of the star-schema view (fixed values).
 TAG_PARENTS = [("order_F", "order"), ("order_O", "order"), ("order_P", "order"), ("order", "record"), ("event_click", "event"), ("event_error", "event"), ("event_purchase", "event"), ("event_signup", "event"), ("event_view", "event"), ("event", "record"), ("customer", "party"), ("supplier", "party")]
 TAG_FIELDS = [("record", "Created", 0, "date"), ("order", "Status", 0, "options"), ("order", "Priority", 1, "options"), ("order", "TotalPrice", 2, "number"), ("order", "OrderDate", 3, "date"), ("order", "Part", 4, "instance"), ("party", "Balance", 0, "number"), ("customer", "Segment", 0, "options"), ("customer", "Balance", 1, "number"), ("customer", "Nation", 2, "instance"), ("supplier", "Balance", 0, "number"), ("supplier", "Nation", 1, "instance"), ("part", "Brand", 0, "text"), ("part", "Type", 1, "text"), ("part", "Size", 2, "number"), ("event", "User", 0, "number"), ("event", "Value", 1, "number"), ("event", "K", 2, "number")]
+TARGETS = {"Part": "part", "Nation": "nation"}
 PRIMARY = frozenset("region nation customer supplier part order event document conv line".split())
 
 
@@ -87,26 +95,45 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     tags = tags.unionByName(orders.select(_ident("order", "o_orderkey").alias("id"), F.concat(F.lit("order_"), "o_orderstatus").alias("tag")))
     tags = tags.unionByName(events.select(_ident("event", "event_id").alias("id"), F.concat(F.lit("event_"), "event_type").alias("tag")))
 
-    def attributes(df: DataFrame, ident: Column, values: dict[str, Column], ids: tuple[str, ...] = ()) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(k).alias("field"), v.cast("string").alias("value"), (v if k in ids else none).alias("value_id")) for k, v in values.items()])
-        return df.select(ident.alias("id"), F.inline(each)).filter("value IS NOT NULL").select("id", "field", "value", F.lit(0).alias("value_order"), "value_id")
+    def attributes(df: DataFrame, tag: str, ident: Column, values: dict[str, Column]) -> list[DataFrame]:
+        """One branch per attribute."""
+
+        def one(name: str, value: Column) -> DataFrame:
+            target = TARGETS.get(name)
+            ref = (F.lit(None) if target is None else value).cast("string")
+            return df.select(ident.alias("id"), F.lit(name).alias("field"), value.cast("string").alias("value"), F.lit(0).alias("value_order"), ref.alias("value_id"), F.lit(tag).alias("source_tag"), F.lit(target).cast("string").alias("target_tag")).filter("value IS NOT NULL")
+
+        return [one(name, value) for name, value in values.items()]
 
     whole = lambda c: F.floor(c).cast("long")
     order_of = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    bought = lines.select(_ident("order", "l_orderkey").alias("id"), F.lit("Part").alias("field"), _ident("part", "l_partkey").alias("value"), (F.row_number().over(order_of) - 1).alias("value_order"), _ident("part", "l_partkey").alias("value_id"))
-    fields = attributes(orders, _ident("order", "o_orderkey"), {"Status": F.col("o_orderstatus"), "Priority": F.col("o_orderpriority"), "TotalPrice": whole("o_totalprice"), "OrderDate": F.date_format("o_orderdate", "yyyy-MM-dd")})
-    for other in (
+    part_id = _ident("part", "l_partkey")
+    bought = lines.select(_ident("order", "l_orderkey").alias("id"), F.lit("Part").alias("field"), part_id.alias("value"), (F.row_number().over(order_of) - 1).alias("value_order"), part_id.alias("value_id"), F.lit("order").alias("source_tag"), F.lit("part").alias("target_tag"))
+    branches = [
+        *attributes(orders, "order", _ident("order", "o_orderkey"), {"Status": F.col("o_orderstatus"), "Priority": F.col("o_orderpriority"), "TotalPrice": whole("o_totalprice"), "OrderDate": F.date_format("o_orderdate", "yyyy-MM-dd")}),
         bought,
-        attributes(t("customer"), _ident("customer", "c_custkey"), {"Segment": F.col("c_mktsegment"), "Balance": whole("c_acctbal"), "Nation": _ident("nation", "c_nationkey")}, ("Nation",)),
-        attributes(t("supplier"), _ident("supplier", "s_suppkey"), {"Balance": whole("s_acctbal"), "Nation": _ident("nation", "s_nationkey")}, ("Nation",)),
-        attributes(t("part"), _ident("part", "p_partkey"), {"Brand": F.col("p_brand"), "Type": F.col("p_type"), "Size": F.col("p_size")}),
-        attributes(events, _ident("event", "event_id"), {"User": F.col("user_id"), "Value": whole("value"), "K": F.get_json_object("props", "$.k")}),
-    ):
-        fields = fields.unionByName(other)
-    link = lambda a, b, kind: F.struct(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("kind"))
-    family = nodes.filter("parent_id IS NOT NULL").select(F.inline(F.array(link("parent_id", "id", "child"), link("id", "parent_id", "parent"))))
-    inline = lines.select(_ident("order", "l_orderkey").alias("source"), _ident("part", "l_partkey").alias("target"), F.lit("inline_ref").alias("kind")).distinct()
-    return Catalog(nodes, tags, fields, family.unionByName(inline), spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"), PRIMARY)
+        *attributes(t("customer"), "customer", _ident("customer", "c_custkey"), {"Segment": F.col("c_mktsegment"), "Balance": whole("c_acctbal"), "Nation": _ident("nation", "c_nationkey")}),
+        *attributes(t("supplier"), "supplier", _ident("supplier", "s_suppkey"), {"Balance": whole("s_acctbal"), "Nation": _ident("nation", "s_nationkey")}),
+        *attributes(t("part"), "part", _ident("part", "p_partkey"), {"Brand": F.col("p_brand"), "Type": F.col("p_type"), "Size": F.col("p_size")}),
+        *attributes(events, "event", _ident("event", "event_id"), {"User": F.col("user_id"), "Value": whole("value"), "K": F.get_json_object("props", "$.k")}),
+    ]
+    fields = reduce(DataFrame.unionByName, branches)
+
+    def link(df: DataFrame, a: Column, b: Column, kind: str, ends: tuple[str, str]) -> DataFrame:
+        return df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), F.lit(ends[0]).alias("source_tag"), F.lit(ends[1]).alias("target_tag"))
+
+    kin = [
+        (t("nation"), _ident("region", "n_regionkey"), _ident("nation", "n_nationkey"), ("region", "nation")),
+        (t("customer"), _ident("nation", "c_nationkey"), _ident("customer", "c_custkey"), ("nation", "customer")),
+        (t("supplier"), _ident("nation", "s_nationkey"), _ident("supplier", "s_suppkey"), ("nation", "supplier")),
+        (orders, _ident("customer", "o_custkey"), _ident("order", "o_orderkey"), ("customer", "order")),
+        (talk, _ident("conv", "conv_id"), _ident("line", "conv_id", "turn"), ("conv", "line")),
+    ]
+    family = [x for df, up, down, ends in kin for x in (link(df, up, down, "child", ends), link(df, down, up, "parent", ends[::-1]))]
+    family = [x.filter("source IS NOT NULL AND target IS NOT NULL") for x in family]
+    inline = link(lines, _ident("order", "l_orderkey"), part_id, "inline_ref", ("order", "part")).distinct()
+    links = reduce(DataFrame.unionByName, [*family, inline])
+    return Catalog(nodes, tags, fields, links, spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"), PRIMARY, True, TARGETS)
 
 
 def _star_sql() -> str:

@@ -12,12 +12,20 @@ from ..functions.text import number_prefix
 from ..storage import materialize
 
 
-def edges(cat: Catalog, kinds: Sequence[str] = ("inline_ref", "child", "parent", "field")) -> DataFrame:
-    """(source, target, kind): links, and attribute values that reference nodes."""
-    out = cat.links.select("source", "target", "kind")
+def edges(cat: Catalog, kinds: Sequence[str] = ("inline_ref", "child", "parent", "field"), between: tuple[str, str] | None = None) -> DataFrame:
+    """(source, target, kind): links, and attribute values that reference nodes.
+
+    between: primary tags at the ends, either way round; with a catalog that knows them, other edges are not read.
+    """
+    links, values = cat.links.filter(F.col("kind").isin(list(kinds))), cat.fields.filter("value_id IS NOT NULL")
+    if between is not None and cat.ends:
+        a, b = between
+        these = ((F.col("source_tag") == a) & (F.col("target_tag") == b)) | ((F.col("source_tag") == b) & (F.col("target_tag") == a))
+        links, values = links.filter(these), values.filter(these)
+    out = links.select("source", "target", "kind")
     if "field" in kinds:
-        out = out.unionByName(cat.fields.filter("value_id IS NOT NULL").select(F.col("id").alias("source"), F.col("value_id").alias("target"), F.lit("field").alias("kind")))
-    return out.filter(F.col("kind").isin(list(kinds)))
+        out = out.unionByName(values.select(F.col("id").alias("source"), F.col("value_id").alias("target"), F.lit("field").alias("kind")))
+    return out
 
 
 def traverse(cat: Catalog, start: DataFrame, direction: str = "both", kinds: Sequence[str] = ("inline_ref", "child", "parent", "field"), depth: int = 1) -> DataFrame:
@@ -54,10 +62,13 @@ def reference_graph(cat: Catalog, start: DataFrame) -> DataFrame:
     return out.unionByName(back).join(names, "other", "left").select("id", "other", "name", "kind", "direction")
 
 
-def connect(cat: Catalog, left: DataFrame, right: DataFrame, via: str | None = None) -> DataFrame:
-    """(id, other): nodes of ``left(id)`` and ``right(id)`` joined by a link either way, or by the attribute ``via`` only."""
+def connect(cat: Catalog, left: DataFrame, right: DataFrame, via: str | None = None, between: tuple[str, str] | None = None) -> DataFrame:
+    """(id, other): nodes of ``left(id)`` and ``right(id)`` joined by a link either way, or by the attribute ``via`` only.
+
+    between: the primary tags of both sides, which spares reading other edges.
+    """
     if via is None:
-        e = edges(cat).select("source", "target")
+        e = edges(cat, between=between).select("source", "target")
     else:
         e = cat.fields.filter((F.col("field") == via) & F.col("value_id").isNotNull()).select(F.col("id").alias("source"), F.col("value_id").alias("target"))
     both = both_ways(e, "source", "target").distinct()
@@ -90,10 +101,10 @@ def nearest_ancestor(cat: Catalog, start: DataFrame, tags: Sequence[str], most:
     parents = cat.nodes.select(F.col("id").alias("at"), "parent_id")
     level, found = start.select("id", F.col("id").alias("at")).distinct(), None
     for depth in range(most + 1):
-        marked = level.join(tagged, "at", "left")
+        marked = materialize(level.join(tagged, "at", "left").join(parents, "at", "left"))
         done = marked.filter("hit").select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
         found = done if found is None else found.unionByName(done)
-        level = materialize(marked.filter("hit IS NULL").select("id", "at").join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
+        level = marked.filter("hit IS NULL AND parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at"))
         if level.isEmpty():
             break
     return found

@@ -19,7 +19,7 @@ MOST_ROWS = 1000
 def find(cat: Catalog, tag: str | None, where: Sequence[Where | AnyOf] = (), as_of: datetime | None = None) -> DataFrame:
     """Nodes with the tag (None: all) that satisfy all predicates, each once, core columns."""
     nodes = (cat.nodes if tag is None else cat.tagged(tag)).select(*CORE)
-    return apply(cat, nodes, where, as_of).distinct()
+    return apply(cat, nodes, where, as_of)
 
 
 def find_family(cat: Catalog, tag: str, where: Sequence[Where | AnyOf] = (), as_of: datetime | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def find_family(cat: Catalog, tag: str, where: Sequence[Where | AnyOf] = (), as_
     family = descendants(cat).filter(F.col("tag") == tag).select(F.col("descendant").alias("tag"))
     names = family.unionByName(family.sparkSession.createDataFrame([(tag,)], "tag string")).distinct()
     ids = cat.tags.join(names, "tag", "left_semi").select("id")
-    return apply(cat, cat.nodes.select(*CORE).join(ids, "id", "left_semi"), where, as_of).distinct()
+    return apply(cat, cat.nodes.select(*CORE).join(ids, "id", "left_semi"), where, as_of)
 
 
 def order(cat: Catalog, rows: DataFrame, by: str = "created", descending: bool = True, numeric: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.text import normalize_name, value_type
+from ..storage import materialize
 
 MOST_LEVELS = 10
 
@@ -18,7 +19,7 @@ def ancestors(cat: Catalog, most: int = MOST_LEVELS) -> DataFrame:
     level, up = found, edges.toDF("_child", "_parent")
     for depth in range(2, most + 1):
         level = level.join(up, F.col("ancestor") == F.col("_child")).select("tag", F.col("_parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        level = level.join(found, ["tag", "ancestor"], "left_anti").filter("tag <> ancestor")
+        level = materialize(level.join(found, ["tag", "ancestor"], "left_anti").filter("tag <> ancestor"))
         if level.isEmpty():
             break
         found = found.unionByName(level)

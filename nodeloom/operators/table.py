@@ -17,9 +17,13 @@ def columns_of(cat: Catalog, tag: str) -> list[tuple[str, str]]:
     return [(r.field, r.kind) for r in rows]
 
 
-def resolve_references(cat: Catalog, values: DataFrame) -> DataFrame:
-    """Replaces ``value`` by the referenced node's name where ``kind`` is a reference; unknown ids become ``[deleted:id]``."""
-    names = cat.nodes.select(F.col("id").alias("_ref"), F.col("name").alias("_name"))
+def resolve_references(cat: Catalog, values: DataFrame, tags: Sequence[str] | None = None) -> DataFrame:
+    """Replaces ``value`` by the referenced node's name where ``kind`` is a reference; unknown ids become ``[deleted:id]``.
+
+    tags: the primary tags that references go to, where known; other nodes' names are not read.
+    """
+    nodes = cat.nodes if tags is None else cat.nodes.filter(F.col("tag").isin(tags))
+    names = nodes.select(F.col("id").alias("_ref"), F.col("name").alias("_name"))
     is_ref = (F.col("kind") == "instance") & F.col("value").rlike("^[A-Za-z0-9_:-]{5,}$")
     joined = values.withColumn("_key", F.when(is_ref, F.col("value"))).join(names, F.col("_key") == F.col("_ref"), "left")
     shown = F.when(is_ref, F.coalesce("_name", F.concat(F.lit("[deleted:"), "value", F.lit("]")))).otherwise(F.col("value"))
@@ -33,7 +37,9 @@ def export_table(cat: Catalog, tag: str, rows: DataFrame, only: Sequence[str] |
     kinds = F.create_map(*[F.lit(x) for f, k in columns for x in (f, k)])
     values = cat.fields.filter(F.col("field").isin(names)).join(rows.select("id"), "id", "left_semi").withColumn("kind", kinds[F.col("field")])
     if resolve:
-        values = resolve_references(cat, values)
+        refs = [f for f, k in columns if k == "instance"]
+        known = all(f in cat.targets for f in refs)
+        values = resolve_references(cat, values, sorted({cat.targets[f] for f in refs}) if known else None) if refs else values
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value_order", "value"))), lambda x: x["value"]), ", ")
     wide = values.groupBy("id").pivot("field", names).agg(ordered)
     return rows.select("id", "name").join(wide, "id", "left").select("id", "name", *[F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")).alias(n) for n in names])
