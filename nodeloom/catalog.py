@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
-from functools import reduce
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,13 @@ def both_ways(df: DataFrame, a: str, b: str, *rest: str) -> DataFrame:
     return df.select(F.inline(F.array(row(a, b), row(b, a))))
 
 
+def union(branches: list[DataFrame]) -> DataFrame:
+    """Union by position, paired like a tree: planning stays short however many branches there are."""
+    while len(branches) > 1:
+        branches = [a.union(b[0]) if b else a for a, *b in (branches[i : i + 2] for i in range(0, len(branches), 2))]
+    return branches[0]
+
+
 def millis(c: str | Column) -> Column:
     return F.unix_millis(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
 
@@ -69,7 +76,7 @@ PRIMARY = frozenset("region nation customer supplier part order event document c
 
 
 def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     none, undated = F.lit(None).cast("string"), F.lit(UNDATED_MS)
 
     def view(df: DataFrame, tag: str, ident: Column, name: Column, parent: Column = none, created: Column = undated, updated: Column | None = None) -> DataFrame:
@@ -88,9 +95,7 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         view(talk.select("conv_id").distinct(), "conv", _ident("conv", "conv_id"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))),
         view(talk, "line", _ident("line", "conv_id", "turn"), F.col("text"), _ident("conv", "conv_id")),
     ]
-    nodes = parts[0]
-    for p in parts[1:]:
-        nodes = nodes.unionByName(p)
+    nodes = union(parts)
     tags = nodes.select("id", "tag")
     tags = tags.unionByName(orders.select(_ident("order", "o_orderkey").alias("id"), F.concat(F.lit("order_"), "o_orderstatus").alias("tag")))
     tags = tags.unionByName(events.select(_ident("event", "event_id").alias("id"), F.concat(F.lit("event_"), "event_type").alias("tag")))
@@ -117,7 +122,7 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         *attributes(t("part"), "part", _ident("part", "p_partkey"), {"Brand": F.col("p_brand"), "Type": F.col("p_type"), "Size": F.col("p_size")}),
         *attributes(events, "event", _ident("event", "event_id"), {"User": F.col("user_id"), "Value": whole("value"), "K": F.get_json_object("props", "$.k")}),
     ]
-    fields = reduce(DataFrame.unionByName, branches)
+    fields = union(branches)
 
     def link(df: DataFrame, a: Column, b: Column, kind: str, ends: tuple[str, str]) -> DataFrame:
         return df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), F.lit(ends[0]).alias("source_tag"), F.lit(ends[1]).alias("target_tag"))
@@ -132,7 +137,7 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     family = [x for df, up, down, ends in kin for x in (link(df, up, down, "child", ends), link(df, down, up, "parent", ends[::-1]))]
     family = [x.filter("source IS NOT NULL AND target IS NOT NULL") for x in family]
     inline = link(lines, _ident("order", "l_orderkey"), part_id, "inline_ref", ("order", "part")).distinct()
-    links = reduce(DataFrame.unionByName, [*family, inline])
+    links = union([*family, inline])
     return Catalog(nodes, tags, fields, links, spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"), PRIMARY, True, TARGETS)
 
 

@@ -30,13 +30,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+_catalogs: dict[tuple[str, int, str], Catalog] = {}
+
+
+def catalog_of(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog of a folder, planned once per session: its tables do not change under the queries."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _catalogs:
+        _catalogs[key] = star_catalog(spark, sf_dir)
+    return _catalogs[key]
+
+
 def star(sql: str) -> Callable:
     """Registers a query over the catalog and its SQL (which sees the catalog's views)."""
 
     def register(f: Callable[[Catalog], DataFrame]) -> Callable[[Catalog], DataFrame]:
         # Of found nodes the update time is left out: only events have one.
         drop = "updated" if f.__name__.startswith(("uq_", "gq_find", "batch", "children")) else "-"
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(star_catalog(spark, sf_dir)).drop(drop)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(catalog_of(spark, sf_dir)).drop(drop)
         ORACLE_SQL[f.__name__] = f"{STAR_SQL}\n{sql}"
         return f
 
