@@ -49,3 +49,33 @@ def resolve_date(text: str, as_of: datetime) -> int:
         day = datetime.fromisoformat(text.replace("Z", "+00:00"))
         day = day if day.tzinfo else day.replace(tzinfo=timezone.utc)
     return int(day.timestamp() * 1000)
+
+
+def bucket_range(ms: Column, period: str) -> tuple[Column, Column]:
+    """First millisecond of the bucket and of the next one."""
+    t = F.timestamp_millis(ms)
+    unit, step = {"hour": ("hour", "interval 1 hour"), "day": ("day", "interval 1 day"), "week_iso": ("week", "interval 7 days"), "month": ("month", "interval 1 month"), "quarter": ("quarter", "interval 3 months"), "year": ("year", "interval 1 year")}[period]
+    start = F.date_trunc(unit, t)
+    return F.unix_millis(start), F.unix_millis(start + F.expr(step))
+
+
+def period_ms(text: str) -> int:
+    """Milliseconds of ``6h``, ``7d``, ``2w``, ``1m`` (30 days), ``1y`` (365 days)."""
+    m = re.fullmatch(r"(\d+)([hdwmy])", text)
+    if not m:
+        raise ValueError(f"{text!r} is no period")
+    return int(m[1]) * {"h": 3_600_000, "d": 86_400_000, "w": 604_800_000, "m": 2_592_000_000, "y": 31_536_000_000}[m[2]]
+
+
+def resolve_range(first: int | None, last: int | None, as_of_ms: int, days: int = 30) -> tuple[int, int, list[str]]:
+    """A range in order that ends by ``as_of_ms``, the last ``days`` by default, with what was mended."""
+    notes = []
+    last = as_of_ms if last is None else last
+    first = last - days * 86_400_000 if first is None else first
+    if first > last:
+        first, last = last, first
+        notes.append("the ends were swapped")
+    if last > as_of_ms:
+        last = as_of_ms
+        notes.append("the end lay in the future")
+    return min(first, last), last, notes

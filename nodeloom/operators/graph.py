@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, both_ways
-from ..functions.text import number_prefix
+from ..functions.text import NODE_SPAN, inline_dates, number_prefix, strip_html
 from ..storage import materialize
 
 
@@ -110,14 +110,62 @@ def nearest_ancestor(cat: Catalog, start: DataFrame, tags: Sequence[str], most:
     return found
 
 
-def in_trash(cat: Catalog, start: DataFrame, most: int = 50) -> DataFrame:
-    """(id) of the nodes with an ancestor, or an own id, that names the trash."""
+def in_trash(cat: Catalog, start: DataFrame, most: int = 50, mark: str = "TRASH") -> DataFrame:
+    """(id) of the nodes with an ancestor, or an own id, whose id contains the trash's mark."""
     parents = cat.nodes.select(F.col("id").alias("at"), "parent_id")
     level, found = start.select("id", F.col("id").alias("at")).distinct(), None
     for _ in range(most + 1):
-        hit = level.filter(F.col("at").contains("TRASH")).select("id")
+        hit = level.filter(F.col("at").contains(mark)).select("id")
         found = hit if found is None else found.unionByName(hit)
-        level = materialize(level.filter(~F.col("at").contains("TRASH")).join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
+        level = materialize(level.filter(~F.col("at").contains(mark)).join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
         if level.isEmpty():
             break
     return found.distinct()
+
+
+def nearest_named(cat: Catalog, start: DataFrame, most: int = 20) -> DataFrame:
+    """(id, ancestor, depth) of the nearest node above with a name that is not blank; the node itself does not count."""
+    up = cat.nodes.select(F.col("id").alias("at"), F.col("parent_id").alias("above"), (F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"))
+    level = start.join(cat.nodes.select("id", "parent_id"), "id").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at"))
+    found = None
+    for depth in range(1, most + 1):
+        met = materialize(level.join(up, "at"))
+        done = met.filter("named").select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
+        found = done if found is None else found.unionByName(done)
+        level = met.filter("NOT named AND above IS NOT NULL").select("id", F.col("above").alias("at"))
+        if level.isEmpty():
+            break
+    return found
+
+
+def name_paths(cat: Catalog, start: DataFrame, most: int = 50) -> DataFrame:
+    """(id, path): the names from the root down to each node, joined by `` > ``; nodes in a cycle have none."""
+    up = cat.nodes.select(F.col("id").alias("at"), F.col("parent_id").alias("above"), F.coalesce("name", F.lit("(unnamed)")).alias("step"))
+    level = start.select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("path")).distinct()
+    found = None
+    for _ in range(most + 1):
+        met = materialize(level.join(up, "at").select("id", "above", F.array_prepend("path", F.col("step")).alias("path")))
+        done = met.filter("above IS NULL").select("id", F.array_join("path", " > ").alias("path"))
+        found = done if found is None else found.unionByName(done)
+        level = met.filter("above IS NOT NULL").select("id", F.col("above").alias("at"), "path")
+        if level.isEmpty():
+            break
+    return found
+
+
+def connected_values(cat: Catalog, pairs: DataFrame, field: str, name: str) -> DataFrame:
+    """(id, name): per node the attribute's values of the nodes connected with it, in order."""
+    values = cat.fields.filter(F.col("field") == field).select(F.col("id").alias("other"), "value")
+    return pairs.join(values, "other").groupBy("id").agg(F.array_sort(F.collect_list("value")).alias(name))
+
+
+def resolve_inline(rows: DataFrame, names: DataFrame, ident: str, text: str) -> DataFrame:
+    """(ident, text) with inline references replaced: nodes by their ``names(id, name)``, unknown ones by nothing, dates by their text; then plain text."""
+    mark = "\x01"
+    cut = rows.select(ident, inline_dates(F.col(text)).alias("_t"))
+    cut = cut.withColumn("_ids", F.regexp_extract_all("_t", F.lit(NODE_SPAN), F.lit(1))).withColumn("_parts", F.split(F.regexp_replace("_t", NODE_SPAN, mark), mark, -1))
+    each = cut.select(ident, "_parts", F.posexplode_outer("_ids").alias("_i", "_ref"))
+    known = each.join(names.select(F.col("id").alias("_ref"), "name"), "_ref", "left")
+    found = known.groupBy(ident).agg(F.first("_parts").alias("_parts"), F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_i", F.lit(-1)).alias("i"), F.coalesce("name", F.lit("")).alias("n")))), lambda x: x["n"]).alias("_names"))
+    joined = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.coalesce(F.when(i < F.size("_parts") - 1, F.get("_names", i)), F.lit("")))), "")
+    return found.select(ident, F.trim(strip_html(joined)).alias(text))

@@ -93,3 +93,47 @@ def recent(cat: Catalog, limit: int = 50) -> DataFrame:
 
 def recently_updated(cat: Catalog, limit: int = 50) -> DataFrame:
     return page(cat.nodes.filter("updated IS NOT NULL").select("id", "name", "updated").orderBy(F.desc("updated"), "id"), limit)
+
+
+def run(cat: Catalog, tag: str | None, where: Sequence[Where | AnyOf] = (), as_of: datetime | None = None, by: str = "created", descending: bool = True, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of found nodes; those of a tag come with all their attributes, those of no tag without."""
+    rows = page(order(cat, find(cat, tag, where, as_of), by, descending), limit, offset)
+    return rows if tag is None else hydrate(cat, rows)
+
+
+def project_paths(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """``rows`` cut to dotted paths, nested as the paths are; names in ``fields`` go without case, what is missing is null."""
+    flat, nested = [], {}
+    for path in paths:
+        head, _, rest = path.partition(".")
+        if not rest:
+            flat.append(F.col(head) if head in rows.columns else F.lit(None).cast("string").alias(head))
+        else:
+            nested.setdefault(head, []).append(rest)
+    for head, names in nested.items():
+        if head == "fields":
+            parts = [F.coalesce(F.try_element_at("fields", F.lit(n)), _any_case(n)).alias(n) for n in names]
+        else:
+            known = {f.name for f in getattr(rows.schema[head].dataType, "fields", [])} if head in rows.columns else set()
+            parts = [F.col(f"{head}.{n}").alias(n) if n in known else F.lit(None).cast("string").alias(n) for n in names]
+        flat.append(F.struct(*parts).alias(head))
+    return rows.select(*flat)
+
+
+def created_between(rows: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Created from first to last, both included."""
+    rows = rows if first is None else rows.filter(F.col("created") >= first)
+    return rows if last is None else rows.filter(F.col("created") <= last)
+
+
+def updated_between(rows: DataFrame, after: int | None = None, before: int | None = None) -> DataFrame:
+    """Updated after and before, both excluded; without an update no."""
+    rows = rows.filter("updated IS NOT NULL")
+    rows = rows if after is None else rows.filter(F.col("updated") > after)
+    return rows if before is None else rows.filter(F.col("updated") < before)
+
+
+def cell(value: Column, kind: Column) -> Column:
+    """value, raw text and type of a table's cell; an empty value is null."""
+    raw = F.when(value != "", value)
+    return F.struct(F.when(kind == "number", number_prefix(raw).cast("string")).otherwise(raw).alias("value"), raw.alias("raw"), F.when(raw.isNotNull(), kind).alias("type"))

@@ -58,9 +58,10 @@ def tag_graph(cat: Catalog) -> DataFrame:
 
 
 def value_vote(cat: Catalog, sample: int = 10) -> DataFrame:
-    """(field, kind, votes): the type of most of an attribute's first values (by id and order), ties by name."""
+    """(field, kind, votes): the type that most of an attribute's first values show (by id and order), ties by name; values without one do not vote."""
     rank = F.row_number().over(Window.partitionBy("field").orderBy("id", "value_order"))
-    votes = cat.fields.withColumn("_r", rank).filter(F.col("_r") <= sample).groupBy("field", value_type(F.col("value")).alias("kind")).agg(F.count("*").alias("votes"))
+    kind = value_type(F.col("value"), F.col("value_id").isNotNull())
+    votes = cat.fields.withColumn("_r", rank).filter(F.col("_r") <= sample).groupBy("field", kind.alias("kind")).agg(F.count("*").alias("votes")).filter("kind IS NOT NULL")
     best = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("votes"), "kind"))
     return votes.withColumn("_b", best).filter("_b = 1").drop("_b")
 
@@ -133,3 +134,104 @@ def audit(cat: Catalog) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def paths_up(cat: Catalog, most: int = MOST_LEVELS) -> DataFrame:
+    """(tag, path): each way from a tag to a root of the hierarchy, as ``tag > parent > ... > root``."""
+    edges = cat.tag_parents.select("child", "parent").distinct()
+    roots = edges.select(F.col("parent").alias("at")).join(edges.select(F.col("child").alias("at")), "at", "left_anti").distinct()
+    level = edges.select(F.col("child").alias("tag"), F.col("parent").alias("at"), F.array("child", "parent").alias("path"))
+    found = None
+    for _ in range(most):
+        level = materialize(level)
+        done = level.join(roots, "at", "left_semi").select("tag", F.array_join("path", " > ").alias("path"))
+        found = done if found is None else found.unionByName(done)
+        on = level.join(edges, F.col("at") == F.col("child")).filter(~F.array_contains("path", F.col("parent")))
+        level = on.select("tag", F.col("parent").alias("at"), F.array_append("path", F.col("parent")).alias("path"))
+        if level.isEmpty():
+            break
+    return found
+
+
+def family(cat: Catalog, tag: str) -> DataFrame:
+    """(tag): the tag, all that inherit from it, and the direct parents of these."""
+    down = descendants(cat).filter(F.col("tag") == tag).select(F.col("descendant").alias("tag"))
+    down = down.unionByName(down.sparkSession.createDataFrame([(tag,)], "tag string"))
+    up = cat.tag_parents.join(down.select(F.col("tag").alias("child")), "child", "left_semi").select(F.col("parent").alias("tag"))
+    return down.unionByName(up).distinct()
+
+
+def below(cat: Catalog, tag: str) -> DataFrame:
+    """(tag, depth, fields): the tag and what inherits from it, with their own attributes in order."""
+    down = descendants(cat).filter(F.col("tag") == tag).select(F.col("descendant").alias("tag"), "depth")
+    down = down.unionByName(down.sparkSession.createDataFrame([(tag, 0)], "tag string, depth int"))
+    own = cat.tag_fields.groupBy("tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_order", "field"))), lambda x: x["field"]), ",").alias("fields"))
+    return down.join(own, "tag", "left").select("tag", "depth", F.coalesce("fields", F.lit("")).alias("fields"))
+
+
+def topological(cat: Catalog, most: int = MOST_LEVELS) -> DataFrame:
+    """(position, tag, level): parents before children; level is the longest way to a root, ties by name, cycles last."""
+    edges = cat.tag_parents.select("child", "parent").distinct()
+    every = tag_graph(cat).select("tag")
+    level = every.join(edges.select(F.col("child").alias("tag")), "tag", "left_anti").select("tag", F.lit(0).alias("level"))
+    found = level
+    for d in range(1, most + 1):
+        level = materialize(level.select(F.col("tag").alias("parent")).join(edges, "parent").select(F.col("child").alias("tag"), F.lit(d).alias("level")).distinct())
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    placed = every.join(found.groupBy("tag").agg(F.max("level").alias("level")), "tag", "left").fillna(most + 1, ["level"])
+    order = Window.partitionBy(F.lit(0)).orderBy("level", "tag")  # tags are a schema's worth of rows
+    return placed.select((F.row_number().over(order) - 1).alias("position"), "tag", "level")
+
+
+def merged_fields(cat: Catalog, tags: list[str]) -> DataFrame:
+    """(field, tag, kind): the attributes of several tags, of each name the first by the tags' order."""
+    place = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(place, "field_order"))
+    return cat.tag_fields.filter(F.col("tag").isin(tags)).withColumn("_r", rank).filter("_r = 1").select("field", "tag", "kind")
+
+
+def lookup(cat: Catalog, names: DataFrame) -> DataFrame:
+    """(name, tag): of the tags with a ``names(tag, name)`` the one with most parents, then most attributes, then by name."""
+    sized = names.join(tag_graph(cat), "tag")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("parents"), F.desc("fields"), "tag"))
+    return sized.withColumn("_r", rank).filter("_r = 1").select("name", "tag")
+
+
+def search_tags(cat: Catalog, text: str) -> DataFrame:
+    """Tags whose name, or normalised name, contains the text."""
+    every, key = tag_graph(cat).select("tag"), normalize_name(F.lit(text))
+    return every.filter(F.lower("tag").contains(text.lower()) | ((key != "") & normalize_name(F.col("tag")).contains(key)))
+
+
+def check_fields(cat: Catalog, pairs: DataFrame) -> DataFrame:
+    """``pairs(tag, field)`` with ``valid`` and the tag that declares the attribute."""
+    return pairs.join(all_fields(cat).select("tag", "field", "origin"), ["tag", "field"], "left").select("tag", "field", F.col("origin").isNotNull().alias("valid"), "origin")
+
+
+def resolve_values(cat: Catalog, asked: DataFrame) -> DataFrame:
+    """(query, id, rule) of ``asked(query, field, target)``, the first that hits of:
+
+    1 a node of the target tag by name, 2 by normalised name, 3 an option (a value in use) of the attribute by text,
+    4 by normalised text, 5 any node by name, 6 by normalised name; ties by id.  Options have their text as id.
+    """
+    key = lambda c: normalize_name(F.col(c))
+    a = asked.withColumn("key", key("query"))
+    nodes = cat.nodes.filter("name IS NOT NULL").select("id", F.col("tag").alias("_tag"), F.col("name").alias("_name"), key("name").alias("key"))
+    hits = a.join(nodes, "key").withColumn("same", F.col("query") == F.col("_name"))
+    rule = F.when(F.col("_tag") == F.col("target"), F.when(F.col("same"), 1).otherwise(2)).otherwise(F.when(F.col("same"), 5).otherwise(6))
+    options = cat.fields.join(asked.select("field").distinct(), "field", "left_semi").select(F.col("field").alias("_field"), F.col("value").alias("id")).distinct().withColumn("key", key("id"))
+    option = a.join(options, (a.key == options.key) & (a.field == options._field)).select("query", "id", F.when(F.col("query") == F.col("id"), 3).otherwise(4).alias("rule"))
+    every = hits.filter("key <> ''").select("query", "id", rule.alias("rule")).unionByName(option)
+    return every.groupBy("query").agg(F.min(F.struct("rule", "id")).alias("x")).select("query", "x.id", "x.rule")
+
+
+#: Severity of each detector's findings.
+SEVERITY = {"orphan": "info", "low_usage": "info", "duplicate_field": "warning", "type_mismatch": "error", "unused_field": "info", "low_fill": "warning", "missing_inheritance": "warning"}
+
+
+def severities(findings: DataFrame) -> DataFrame:
+    """One row: findings by severity."""
+    level = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])[F.col("detector")]
+    return findings.agg(F.count("*").alias("findings"), *[F.count_if(level == s).alias(s) for s in ("error", "warning", "info")])

@@ -139,3 +139,86 @@ def transcript_search(lines: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Matching lines with their speaker and the number of matches in the conversation."""
     hits = match_all(lines, terms)
     return hits.select("conv_id", "turn", "role", "text").join(hits.groupBy("conv_id").agg(F.count("*").alias("matches")), "conv_id")
+
+
+#: Queries that candidates may be looked up for at once; each name is compared with each of their words.
+MOST_QUERIES = 10_000
+
+
+def match_phrase(docs: DataFrame, phrase: str, text: str = "text") -> DataFrame:
+    """Rows whose words hold the phrase's words one after another."""
+    wanted = " ".join(w for w in "".join(c if c.isalnum() else " " for c in phrase.lower()).split())
+    joined = F.concat(F.lit(" "), F.array_join(words(F.coalesce(F.col(text), F.lit(""))), " "), F.lit(" "))
+    return docs.filter(joined.contains(f" {wanted} "))
+
+
+def postings(docs: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
+    """(term, ident, tf, len): the index that later searches read instead of the texts, counted within each row."""
+    w = words(F.coalesce(F.col(text), F.lit("")))
+    each = docs.select(F.col(ident), w.alias("w")).select(ident, F.size("w").alias("len"), F.explode("w").alias("term"))
+    return each.groupBy("term", ident, "len").agg(F.count("*").alias("tf"))
+
+
+def index_size(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: number of rows and their mean length in words."""
+    return docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(words(F.coalesce(F.col(text), F.lit(""))))).alias("avg_len"))
+
+
+def bm25_indexed(index: DataFrame, size: DataFrame, terms: Sequence[str], ident: str = "id", limit: int | None = 50) -> DataFrame:
+    """(ident, score) of the rows with every term, from ``postings``; only the terms' rows are read."""
+    terms = sorted({t.lower() for t in terms})
+    hits = index.filter(F.col("term").isin(terms))
+    df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(size)).withColumn("part", part)  # as many rows as terms, and one
+    out = scored.groupBy(ident).agg(F.count("*").alias("met"), F.round(F.sum("part"), 6).alias("score")).filter(F.col("met") == len(terms)).select(ident, "score")
+    return out.orderBy(F.desc("score"), ident).limit(limit) if limit else out
+
+
+def enrich_hits(hits: DataFrame, key: str, score: str, ident: str, limit: int) -> DataFrame:
+    """Hits whose name is no bare reference, the best of each key, the first ``limit`` of them."""
+    shown = hits.filter(~(F.col("name").contains("[[") & F.col("name").contains("]]")))
+    return keep_best(shown, key, score, ident).orderBy(F.desc(score), ident).limit(limit)
+
+
+def variants(queries: DataFrame) -> DataFrame:
+    """``queries(query)`` with each ``variant``: itself, ``Last, First`` turned round, two words the other way."""
+    part = F.transform(F.split("query", ","), F.trim)
+    two = F.split(F.trim("query"), r"\s+")
+    turned = F.when((F.size(part) == 2) & (part[0] != "") & (part[1] != ""), F.concat(part[1], F.lit(" "), part[0]))
+    swapped = F.when((F.size(two) == 2) & ~F.col("query").contains(","), F.concat(two[1], F.lit(", "), two[0]))
+    return queries.select("query", F.explode(F.array_distinct(F.array_compact(F.array("query", turned, swapped)))).alias("variant"))
+
+
+def candidates(queries: DataFrame, nodes: DataFrame, tag: str | None = None, limit: int = 100, short: bool = False) -> DataFrame:
+    """(query, id, name, confidence, how) of ``nodes(id, name, tags, entity)`` for ``queries(query)``, the best way to each node.
+
+    Exact names have 1.0.  Others must hold a word (two characters or more) of a variant of the query; of these the
+    ``limit`` closest by edit distance count, a tenth more with the asked tag, half as much for entities, 0.95 at most.
+    Queries under three characters have none unless a tag is given or ``short`` is set.
+    """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at once")
+    asked = variants(queries).withColumn("q", normalize_query(F.col("variant"))).filter("q <> ''")
+    own = normalize_query(F.col("query"))
+    asked = asked if short or tag else asked.filter(F.length(own) >= 3)
+    named = nodes.filter("name IS NOT NULL").withColumn("n", normalize_query(F.col("name")))
+    if tag is not None:
+        named = named.filter(F.exists("tags", lambda t: F.lower(t) == tag.lower()))
+    exact = asked.join(named, asked.q == named.n).select("query", "id", "name", F.lit(1.0).alias("confidence"), F.lit("exact").alias("how"))
+    word = asked.select("query", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("w")).filter("length(w) >= 2")
+    pairs = named.join(F.broadcast(word), F.lower("name").contains(F.col("w"))).select("query", "q", "id", "name", "entity").distinct()
+    distance = F.levenshtein("q", F.lower("name"))
+    close = 1 - distance / F.greatest(F.length("q"), F.length("name")) + (0.1 if tag else 0.0) + F.when(F.col("entity"), 0.05).otherwise(0.0)
+    rank = F.row_number().over(Window.partitionBy("query", "q").orderBy("distance", "id"))
+    fuzzy = pairs.withColumn("distance", distance).withColumn("_r", rank).filter(F.col("_r") <= limit)
+    fuzzy = fuzzy.select("query", "id", "name", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.0), close)), 6).alias("confidence"), F.lit("fuzzy").alias("how"))
+    best = F.max(F.struct("confidence", "how", "name")).alias("x")
+    return exact.unionByName(fuzzy).filter("confidence > 0").groupBy("query", "id").agg(best).select("query", "id", "x.name", "x.confidence", "x.how")
+
+
+def content_candidates(nodes: DataFrame, entity: Column, system: Sequence[str], least: int = 15) -> DataFrame:
+    """Nodes worth a vector: long enough a name or an entity, no date of zero time, no bare reference, no system kind (``tag``)."""
+    name = F.col("name")
+    return nodes.filter(name.isNotNull() & ((F.length(name) >= least) | entity) & ~name.startswith("1970-01-01") & ~(name.contains("[[") & name.contains("]]")) & ~F.col("tag").isin(list(system)))

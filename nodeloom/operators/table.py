@@ -65,3 +65,13 @@ def markdown(table: DataFrame, most: int = 5) -> DataFrame:
         return F.coalesce(F.when(cut != "", cut), F.lit("-"))
 
     return table.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in table.columns]), F.lit(" |")).alias("line"))
+
+
+def padded(table: DataFrame) -> DataFrame:
+    """(part, line): a header (part 0) and a line per row (part 1), columns padded to their widest cell; two passes, one row of widths."""
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))
+    widths = table.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(text(c))), F.lit(0))).alias(f"_w{i}") for i, c in enumerate(table.columns)])
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.expr(f"rpad(_c{i}, _w{i}, ' ')") for i in range(len(cells))]), F.lit(" |")).alias("line")
+    rows = table.select(*[text(c).alias(f"_c{i}") for i, c in enumerate(table.columns)]).join(F.broadcast(widths)).select(F.lit(1).alias("part"), line(table.columns))
+    head = widths.select(*[F.lit(c).alias(f"_c{i}") for i, c in enumerate(table.columns)], "*").select(F.lit(0).alias("part"), line(table.columns))
+    return head.unionByName(rows)

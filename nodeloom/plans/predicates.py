@@ -100,3 +100,30 @@ def _core(w: Where, as_of: datetime | None) -> Column:
         w = replace(w, value=resolve_date(w.value, as_of))
     test = compare(F.col(w.field), w.op, w.value, False)
     return ~test if w.negate else test
+
+
+#: Operators of structured conditions (fixed values).
+STRUCTURED = {"eq": "=", "neq": "!=", "contains": "~", "after": ">", "before": "<", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
+
+
+def structured(conditions: dict[str, object]) -> list[Where]:
+    """Predicates of ``{field: value or {operator: value}}``: all must hold.
+
+    A text ``~x`` asks for containment (``\\~x`` for the text itself), ``>x``, ``>=x``, ``<x`` and ``<=x`` for a comparison;
+    ``exists`` takes true or false.
+    """
+    out = []
+    for field, asked in conditions.items():
+        if not isinstance(asked, dict):
+            text = str(asked)
+            op = next((o for o in ("~", ">=", "<=", ">", "<") if text.startswith(o)), None) if isinstance(asked, str) else None
+            out.append(Where(field, op, text[len(op) :].strip()) if op else Where(field, "=", text[1:] if text.startswith("\\~") else asked))
+            continue
+        for op, value in asked.items():
+            if op == "exists":
+                out.append(Where(field, "exists", negate=not value))
+            elif op in STRUCTURED:
+                out.append(Where(field, STRUCTURED[op], value))
+            else:
+                raise ValueError(f"{op!r} is none of {[*STRUCTURED, 'exists']}")
+    return out

@@ -440,7 +440,7 @@ def gq_connected_where(c):
     return gr.connect(c, q.find(c, "customer"), q.find(c, "order", [Where("Status", "=", "F")]), between=("customer", "order"))
 
 
-@star("SELECT o.id, c.parent_id AS ancestor, 2 AS depth FROM nodes o JOIN nodes c ON c.id = o.parent_id WHERE o.tag = 'order' AND c.parent_id IN (SELECT id FROM nodes WHERE tag = 'nation')")
+@star("SELECT 'order:' || o_orderkey AS id, 'nation:' || c_nationkey AS ancestor, 2 AS depth FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def anc_nearest_tagged(c):
     return gr.nearest_ancestor(c, q.find(c, "order").select("id"), ["nation", "region"])
 
@@ -523,17 +523,23 @@ def audit_missing_inheritance(c):
     return sc.missing_inheritance(c, 2)
 
 
-_TYPE = r"""CASE WHEN regexp_matches({0}, '^\d{{4}}-\d{{2}}-\d{{2}}') THEN 'date' WHEN regexp_matches({0}, '^https?://') THEN 'url' WHEN regexp_matches({0}, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'email' WHEN regexp_matches({0}, '^[+-]?\d+(\.\d+)?$') THEN 'number' WHEN lower({0}) IN ('true', 'false', 'yes', 'no') THEN 'checkbox' WHEN regexp_matches({0}, '^[a-z]+:\d+$') THEN 'reference' ELSE 'text' END"""
+_TYPE = r"""CASE WHEN value_id IS NOT NULL THEN 'reference' WHEN value IN ('true', 'false') THEN 'checkbox' WHEN regexp_matches(value, '^\d{4}-\d{2}-\d{2}') OR regexp_matches(value, '^PARENT([+-]\d+)?$') OR contains(value, 'data-inlineref-date') THEN 'date' END"""
 
 
-@star(f"SELECT field, kind, votes FROM (SELECT field, {_TYPE.format('value')} AS kind, count(*) AS votes FROM (SELECT * FROM fields QUALIFY row_number() OVER (PARTITION BY field ORDER BY id, value_order) <= 10) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY field ORDER BY votes DESC, kind) = 1")
+@star(f"SELECT field, kind, votes FROM (SELECT field, {_TYPE} AS kind, count(*) AS votes FROM (SELECT * FROM fields QUALIFY row_number() OVER (PARTITION BY field ORDER BY id, value_order) <= 10) GROUP BY 1, 2) WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY field ORDER BY votes DESC, kind) = 1")
 def value_type_vote(c):
     return sc.value_vote(c)
 
 
-@star("SELECT DISTINCT field, CASE WHEN regexp_matches(lower(field), 'date|deadline|birthday|\\bdue\\b|created|updated') THEN 'date' WHEN regexp_matches(lower(field), 'url|link|website') THEN 'url' WHEN regexp_matches(lower(field), 'e-?mail') THEN 'email' WHEN regexp_matches(lower(field), 'price|count|amount|total|number|size|balance|value|quantity') THEN 'number' WHEN regexp_matches(lower(field), '^(is|has)[ _]|done|enabled') THEN 'checkbox' WHEN regexp_matches(lower(field), 'nation|owner|assignee|parent|part$') THEN 'reference' ELSE 'text' END AS kind FROM tag_fields")
+_NAMED = [*"Due Date|Start time|when|Expiry|Homepage URL|Link|Phone number|Item Count|Number|Amount due|Status|Type|Category|isActive|has children|Is done|issue|Enabled|Completed|hash|Owner".split("|")]
+
+
+@star(f"""SELECT field, CASE WHEN regexp_matches(f, 'date|time|scheduled|deadline|expir') OR f = 'when' THEN 'date' WHEN regexp_matches(f, 'url|link') THEN 'url' WHEN contains(f, 'phone') THEN 'text' WHEN regexp_matches(f, 'count|number|amount') THEN 'number'
+WHEN regexp_matches(f, 'status|type|category') THEN 'reference' WHEN regexp_matches(f, '^(is|has)($|[a-z\s_-])') OR regexp_matches(f, 'enabled|completed') THEN 'checkbox' ELSE 'text' END AS kind
+FROM (SELECT field, lower(field) AS f FROM (SELECT field FROM tag_fields UNION SELECT unnest({_NAMED})))""")
 def infer_types(c):
-    return c.tag_fields.select("field", tx.infer_type_by_name(F.col("field")).alias("kind")).distinct()
+    names = c.tag_fields.select("field").union(c.nodes.sparkSession.createDataFrame([(x,) for x in _NAMED], "field string")).distinct()
+    return names.select("field", tx.infer_type_by_name(F.col("field")).alias("kind"))
 
 
 @star(_found("part", columns=f"id, {_KEY.format('name')} AS key"))
@@ -640,8 +646,12 @@ def strip_html(t):
     return t("pages").select("page_id", F.md5(tx.strip_html(F.col("html")).cast("binary")).alias("digest"))
 
 
-@table("""SELECT doc_id, list_distinct_ordered AS mentions FROM (SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(l, lambda x, i: CASE WHEN list_position(l, x) = i THEN x END), lambda x: x IS NOT NULL), lambda x: x), '|') AS list_distinct_ordered
-FROM (SELECT doc_id, list_concat(regexp_extract_all(text, '"([^"]+)"', 1), regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1), regexp_extract_all(text, '@([a-zA-Z0-9_]+)', 1), regexp_extract_all(text, '#([a-zA-Z0-9_]+)', 1)) AS l FROM documents))""")
+_PHRASE = r"list_filter(list_transform(regexp_extract_all(text, '(?:^|\s)((?:[A-Z][a-zA-Z-]+(?:\s+|$)){2,4})', 1, 'm'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 4 AND regexp_extract(x, '^\S+') NOT IN ('The', 'This', 'That', 'These', 'Those', 'When', 'Where', 'Which', 'While', 'What', 'Should', 'Could', 'Would', 'About', 'Always', 'Never', 'Often', 'Sometimes'))"
+_QUOTED = r"""list_transform(regexp_extract_all(text, '["'']([A-Z][^"'']{2,50})["'']', 1), lambda x: trim(x))"""
+
+
+@table(f"""SELECT doc_id, array_to_string(list_filter(list_transform(l, lambda x, i: CASE WHEN list_position(l, x) = i THEN x END), lambda x: x IS NOT NULL), '|') AS mentions
+FROM (SELECT doc_id, list_concat({_QUOTED}, {_PHRASE}, regexp_extract_all(text, '@([a-zA-Z][a-zA-Z0-9_-]{{1,30}})', 1), regexp_extract_all(text, '#([a-zA-Z][a-zA-Z0-9_-]{{2,30}})', 1)) AS l FROM documents)""")
 def mentions(t):
     return t("documents").select("doc_id", F.array_join(tx.mentions(F.col("text")), "|").alias("mentions"))
 
@@ -705,8 +715,8 @@ def freshness(t):
     return inc.freshness(t("events").select(F.col("event_id").alias("id"), millis("ts").alias("at")), EVENTS_TO, 14)
 
 
-@star(f""", b AS (SELECT * FROM {_BOTH} WHERE id IN (SELECT id FROM nodes)), d AS (SELECT DISTINCT id, 1 AS distance FROM b WHERE src = 'order:7' AND id <> 'order:7')
-SELECT id, round(0.6 / (distance + 1) + 0.4 * exp(-((996710400000 - created) / 86400000) / 30), 6) AS score FROM d JOIN nodes USING (id)""")
+@star(""", d AS (SELECT DISTINCT id FROM (SELECT target AS id FROM links WHERE source = 'order:7' UNION ALL SELECT source FROM links WHERE target = 'order:7' UNION ALL SELECT value_id FROM fields WHERE id = 'order:7') WHERE id IS NOT NULL)
+SELECT id, round(0.6 / 2 + 0.4 * exp(-((996710400000 - created) / 86400000) / 30), 6) AS score FROM d JOIN nodes USING (id)""")
 def context_scored(c):
     near = gr.traverse(c, _start(c, "order:7"), "both").select("id", "distance").join(c.nodes.select("id", "created"), "id")
     age = (F.lit(996710400000) - F.col("created")) / 86400000
@@ -720,9 +730,17 @@ def enriched_text(c):
     return rows.select("id", tx.enriched(F.array(F.lit("part")), entries, F.col("name")).alias("text"))
 
 
-@table(None)
+_MIXED = "(('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 1000) / 1000"
+
+
+@table(f"""WITH RECURSIVE s AS (SELECT source, doc_id::varchar AS id, {_MIXED} AS score, ceil(length(text) / 4)::bigint AS tokens FROM documents),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS r FROM s WHERE tokens <= 4000),
+g AS (SELECT source, r, id, true AS fits, tokens AS used FROM k WHERE r = 1
+UNION ALL SELECT k.source, k.r, k.id, g.used + k.tokens <= 4000, g.used + CASE WHEN g.used + k.tokens <= 4000 THEN k.tokens ELSE 0 END FROM g JOIN k ON k.source = g.source AND k.r = g.r + 1)
+SELECT source, max(used) OVER (PARTITION BY source) AS used, (row_number() OVER (PARTITION BY source ORDER BY r) - 1)::int AS position, id FROM g WHERE fits""")
 def context_budget(t):
-    items = t("documents").select(F.col("source"), F.col("doc_id").cast("string").alias("id"), (F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000).alias("score"), F.ceil(F.col("n_chars") / 4).alias("tokens"))
+    score = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 1000 / 1000
+    items = t("documents").select("source", F.col("doc_id").cast("string").alias("id"), score.alias("score"), F.ceil(F.length("text") / 4).alias("tokens"))
     return se.within_budget(items, 4000, "source")
 
 

@@ -108,7 +108,8 @@ def test_text(spark):
     assert one(tx.decode_entities(F.lit("&amp;lt; &lt;b&gt;"))) == "&lt; <b>"
     assert one(tx.normalize_name(F.lit("Meeting - Notes_1!"))) == "meetingnotes1"
     assert one(tx.number_prefix(F.lit("12abc"))) == 12.0 and one(tx.number_prefix(F.lit("abc"))) is None
-    assert one(tx.mentions(F.lit('"a b" with Ann Lee @bob #tag @bob'))) == ["a b", "Ann Lee", "bob", "tag"]
+    assert one(tx.mentions(F.lit('"a b" and "Cat Dog" with Ann Lee @bob #tag @bob'))) == ["Cat Dog", "Ann Lee", "bob", "tag"]
+    assert one(tx.mentions(F.lit("The Plan of Jens-Christian Fischer @x_y-1 #ab"))) == ["Jens-Christian Fischer", "x_y-1"]
     assert one(tx.enriched(F.array(F.lit("t")), F.array(F.struct(F.lit("F").alias("field"), F.lit("v" * 60).alias("value"))), F.lit("n"))) == "[Type: #t] [F: " + "v" * 50 + "…] n"
 
 

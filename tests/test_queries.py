@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from nodeloom import queries as nq
+from nodeloom import registry as nq
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
