@@ -58,3 +58,25 @@ def freshness(items: DataFrame, as_of_ms: int, days: int = 30) -> DataFrame:
     """Age of ``items(id, at)`` in whole days, and whether it is beyond the limit; an unknown time is stale."""
     age = F.floor((F.lit(as_of_ms) - F.col("at")) / 86_400_000).cast("long")
     return items.select("id", age.alias("age_days"), F.coalesce(age > days, F.lit(True)).alias("stale"))
+
+
+def refresh(table: DataFrame, rebuilt: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``table`` with the rows of changed keys taken from ``rebuilt`` and those of deleted keys dropped.
+
+    changes: (key, change) of ``checksum_diff``.  Any table of an index is kept up by the owner of its rows:
+    nodes by id, tags and attributes by the node, links by their source.
+    """
+    gone = changes.select(F.col(changes.columns[0]).alias(key))
+    new = changes.filter("change <> 'deleted'").select(F.col(changes.columns[0]).alias(key))
+    return table.join(gone, key, "left_anti").unionByName(rebuilt.join(new, key, "left_semi").select(*table.columns))
+
+
+def rewrite_buckets(table: DataFrame, changes: DataFrame, key: str, path: str, buckets: int) -> None:
+    """Writes ``table`` into the buckets (by the key's hash) that hold a changed key; the files of the others stay.
+
+    ``table`` must not read ``path``: the replaced buckets' rows come from what was read before.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    touched = changes.select(bucket(F.col(changes.columns[0])).alias("bucket")).distinct()
+    rows = table.withColumn("bucket", bucket(F.col(key))).join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -15,14 +15,30 @@ from ..catalog import Catalog
 from ..functions.text import inline_references, value_type
 
 DOC = "id string, props struct<created:bigint,name:string,_ownerId:string,_docType:string,_done:string>, children array<string>, modifiedTs string"
-EXPORT = f"formatVersion bigint, docs array<struct<{DOC.replace(' string', ':string').replace('props struct', 'props:struct').replace('children array', 'children:array')}>>"
+_DOCS = f"array<struct<{DOC.replace(' string', ':string').replace('props struct', 'props:struct').replace('children array', 'children:array')}>>"
+EXPORT = f"formatVersion bigint, docs {_DOCS}, storeData struct<docs:{_DOCS}>"
 TAG_MARK, TAG_DEFINITION, FIELD_DEFINITION, MOST_VALUES = "SYS_A13", "SYS_T01", "SYS_T02", 50
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of one export or of a folder of exports, with their file; unreadable files give no rows."""
+    """Nodes of one export or of a folder of exports, also wrapped in ``storeData``, with their file; unreadable files give no rows.
+
+    A file is one JSON document and so one task; ``read_lines`` reads exports of any size.
+    """
     whole = spark.read.schema(EXPORT).json(path, multiLine=True, pathGlobFilter="*.json")
-    return whole.select(F.col("_metadata.file_path").alias("file"), F.inline("docs"))
+    return whole.select(F.col("_metadata.file_path").alias("file"), F.inline(F.coalesce("docs", "storeData.docs")))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes of exports with one node a line, which Spark splits; broken lines give no rows."""
+    rows = spark.read.schema(f"{DOC}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), "*").filter("id IS NOT NULL").drop("_corrupt")
+
+
+def confirmed(learnings: DataFrame, since: str | None = None) -> DataFrame:
+    """Learnings that were confirmed, after ``since`` where it is given."""
+    kept = learnings.filter("confirmed")
+    return kept if since is None else kept.filter(F.col("confirmed_at") > F.lit(since).cast("timestamp"))
 
 
 def latest_file(spark: SparkSession, folder: str) -> str | None:
@@ -56,7 +72,7 @@ def build(docs: DataFrame) -> Catalog:
     names = lambda a, b: tag_names.select(F.col("tag_id").alias(a), F.col("tag").alias(b))
     tag_parents = stated.join(names("parent_tag", "parent"), "parent_tag").join(names("tag_id", "child"), "tag_id").select("child", "parent").filter("child <> parent").distinct()
     fields = field_values(flat, tuples)
-    of_tag = fields.join(tags, "id").groupBy("tag", "field").agg(F.min("value_order").alias("field_order"), F.mode(value_type(F.col("value")), True).alias("kind"))
+    of_tag = fields.join(tags, "id").groupBy("tag", "field").agg(F.min("value_order").alias("field_order"), F.coalesce(F.mode(value_type(F.col("value")), True), F.lit("text")).alias("kind"))
     rank = F.row_number().over(Window.partitionBy("tag").orderBy("field_order", "field")) - 1
     inline = flat.select(F.col("id").alias("source"), F.explode(inline_references(F.coalesce("name", F.lit("")))).alias("target")).join(flat.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target", F.lit("inline_ref").alias("kind"))
     down = child.select(F.col("parent_id").alias("source"), F.col("id").alias("target"), F.lit("child").alias("kind")).join(flat.select(F.col("id").alias("target")), "target", "left_semi")
