@@ -70,7 +70,7 @@ def _ident(tag: str, *keys: str) -> Column:
 
 #: Tag hierarchy and declared attributes of the star-schema view (fixed values).
 TAG_PARENTS = [("order_F", "order"), ("order_O", "order"), ("order_P", "order"), ("order", "record"), ("event_click", "event"), ("event_error", "event"), ("event_purchase", "event"), ("event_signup", "event"), ("event_view", "event"), ("event", "record"), ("customer", "party"), ("supplier", "party")]
-TAG_FIELDS = [("record", "Created", 0, "date"), ("order", "Status", 0, "options"), ("order", "Priority", 1, "options"), ("order", "TotalPrice", 2, "number"), ("order", "OrderDate", 3, "date"), ("order", "Part", 4, "instance"), ("party", "Balance", 0, "number"), ("customer", "Segment", 0, "options"), ("customer", "Balance", 1, "number"), ("customer", "Nation", 2, "instance"), ("supplier", "Balance", 0, "number"), ("supplier", "Nation", 1, "instance"), ("part", "Brand", 0, "text"), ("part", "Type", 1, "text"), ("part", "Size", 2, "number"), ("event", "User", 0, "number"), ("event", "Value", 1, "number"), ("event", "K", 2, "number")]
+TAG_FIELDS = [("record", "Created", 0, "date"), ("order", "Status", 0, "options"), ("order", "Priority", 1, "options"), ("order", "TotalPrice", 2, "number"), ("order", "OrderDate", 3, "date"), ("order", "Part", 4, "instance"), ("party", "Balance", 0, "number"), ("customer", "Segment", 0, "options"), ("customer", "Balance", 1, "number"), ("customer", "Nation", 2, "instance"), ("supplier", "Balance", 0, "number"), ("supplier", "Nation", 1, "instance"), ("supplier", "Segment", 2, "text"), ("part", "Brand", 0, "text"), ("part", "Type", 1, "text"), ("part", "Size", 2, "number"), ("event", "User", 0, "number"), ("event", "Value", 1, "number"), ("event", "K", 2, "number")]
 TARGETS = {"Part": "part", "Nation": "nation"}
 PRIMARY = frozenset("region nation customer supplier part order event document conv line".split())
 

@@ -705,9 +705,9 @@ def delta_upsert(t):
     return inc.upsert(target, t("events").select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"])
 
 
-@table("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@table("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def stale_ids(t):
-    return inc.stale(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return inc.stale(t("customer").select("c_custkey"), t("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @table(f"SELECT event_id AS id, floor(({EVENTS_TO} - epoch_us(ts) // 1000) / 86400000)::bigint AS age_days, floor(({EVENTS_TO} - epoch_us(ts) // 1000) / 86400000) > 14 AS stale FROM events")
