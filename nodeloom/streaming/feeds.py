@@ -1,20 +1,24 @@
 """Change feeds: upserts into a versioned table, snapshot events, windowed counts.
 
-The target is a folder of versions; each micro-batch writes the next one and then marks
-it as done; readers take the highest version so marked.  A batch that is
-tried again writes the same version again, so nothing is applied twice.
+The target is a folder of buckets by the key's hash, each with versions; a micro-batch writes a
+version of the buckets that its keys fall into, and of no other, and then marks it as done;
+readers take of each bucket the highest version so marked.  A batch that is tried again
+writes the same version again, so nothing is applied twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.incremental import snapshot_diff, upsert
 
+#: Buckets of a target; a batch rewrites those that its keys fall into.
+BUCKETS = 64
+
 
 def read_changes(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     """Change files as they arrive; a broken record becomes a row of nulls with its text in ``_corrupt``."""
@@ -32,10 +36,21 @@ def versions(spark: SparkSession, target: str) -> list[int]:
         raise
 
 
-def read_current(spark: SparkSession, target: str, schema: str, below: int | None = None) -> DataFrame:
-    """The latest finished version (older than ``below``)."""
-    done = [v for v in versions(spark, target) if below is None or v < below]
-    return spark.read.schema(schema).parquet(f"{target}/v={done[-1]}") if done else spark.createDataFrame([], schema)
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+
+
+def read_current(spark: SparkSession, target: str, schema: str, below: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The latest finished version (older than ``below``) of each bucket (of ``buckets``)."""
+    done = {v for v in versions(spark, target) if below is None or v < below}
+    if not done:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(target)
+    at = lambda name: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("int").alias(name)
+    # A row per bucket: names of files only, their content is not read.
+    found = files.select(at("bucket"), at("v")).filter(F.col("v").isin(sorted(done))).groupBy("bucket").agg(F.max("v").alias("v")).collect()
+    paths = [f"{target}/data/bucket={r.bucket}/v={r.v}" for r in found if buckets is None or r.bucket in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def _finish(spark: SparkSession, target: str, version: int) -> None:
@@ -55,13 +70,16 @@ def sync(changes: DataFrame, target: str, schema: str, key: str, order: Sequence
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         good = batch.filter(F.col(key).isNotNull())
-        before = read_current(spark, target, schema, number)
         good.persist()
-        upsert(before, good.select(*before.columns), key, order).write.mode("overwrite").parquet(f"{target}/v={number}")
+        touched = [r.b for r in good.select(_bucket(key).alias("b")).distinct().collect()]  # BUCKETS at most
+        before = read_current(spark, target, schema, number, touched)
+        after = upsert(before, good.select(*before.columns), key, order).withColumn("bucket", _bucket(key)).withColumn("v", F.lit(number))
+        if touched:
+            after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(f"{target}/data")
         good.unpersist()
         _finish(spark, target, number)
         if on_events is not None:
-            on_events(snapshot_diff(before, spark.read.schema(schema).parquet(f"{target}/v={number}")), number)
+            on_events(snapshot_diff(before, read_current(spark, target, schema, number + 1, touched)), number)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

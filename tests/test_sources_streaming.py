@@ -82,6 +82,36 @@ def test_change_feed(spark, tmp_path):
     assert got == {(0, "create", "a", "y"), (0, "create", "b", ""), (1, "modify", "b", "z"), (1, "create", "c", "")}
 
 
+def test_a_batch_rewrites_its_own_buckets_only(spark, tmp_path):
+    changes, target = tmp_path / "in", str(tmp_path / "t")
+    row = lambda i, at: {"id": i, "name": f"n{at}", "updated": at, "tags": []}
+
+    def run():
+        feeds.sync(feeds.read_changes(spark, str(changes), SCHEMA), target, SCHEMA, "id", ["updated"], str(tmp_path / "c")).awaitTermination()
+        return {r.id: r.name for r in feeds.read_current(spark, target, SCHEMA).collect()}
+
+    write_changes(changes, 0, ["{broken"])
+    assert run() == {}
+    write_changes(changes, 1, [row(f"k{i}", 1) for i in range(300)])
+    assert len(run()) == 300
+    write_changes(changes, 2, [row("k7", 2)])
+    assert {k: v for k, v in run().items() if v == "n2"} == {"k7": "n2"} and len(run()) == 300
+    files = [p for p in (tmp_path / "t").rglob("*.parquet")]
+    assert len({p.parent for p in files if "v=2" in str(p)}) == 1 < len({p.parent for p in files if "v=1" in str(p)})
+
+
+def test_lines_and_wrapped_exports(spark, tmp_path):
+    doc = {"id": "a", "props": {"name": "one", "created": 1}, "children": ["b"]}
+    (tmp_path / "w@2025-01-01.json").write_text(json.dumps({"storeData": {"docs": [doc]}}))
+    (tmp_path / "p@2025-01-02.json").write_text(json.dumps({"formatVersion": 1, "docs": [{**doc, "id": "c"}]}))
+    assert {r.id for r in ex.read_docs(spark, str(tmp_path)).collect()} == {"a", "c"}
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "x.jsonl").write_text(json.dumps(doc) + "\n{broken\n" + json.dumps({**doc, "id": "d"}))
+    got = ex.read_lines(spark, str(tmp_path / "lines"))
+    assert {r.id for r in got.collect()} == {"a", "d"}
+    assert ex.build(got).nodes.count() == 2
+
+
 def test_windowed_stream_equals_batch(spark, tmp_path):
     table = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     table.repartition(3).write.parquet(str(tmp_path / "in"))
