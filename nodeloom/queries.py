@@ -534,7 +534,7 @@ def value_type_vote(c):
 _NAMED = [*"Due Date|Start time|when|Expiry|Homepage URL|Link|Phone number|Item Count|Number|Amount due|Status|Type|Category|isActive|has children|Is done|issue|Enabled|Completed|hash|Owner".split("|")]
 
 
-@star(f"""SELECT field, CASE WHEN regexp_matches(f, 'date|time|scheduled|deadline|expir') OR f = 'when' THEN 'date' WHEN regexp_matches(f, 'url|link') THEN 'url' WHEN contains(f, 'phone') THEN 'text' WHEN regexp_matches(f, 'count|number|amount') THEN 'number'
+@star(rf"""SELECT field, CASE WHEN regexp_matches(f, 'date|time|scheduled|deadline|expir') OR f = 'when' THEN 'date' WHEN regexp_matches(f, 'url|link') THEN 'url' WHEN contains(f, 'phone') THEN 'text' WHEN regexp_matches(f, 'count|number|amount') THEN 'number'
 WHEN regexp_matches(f, 'status|type|category') THEN 'reference' WHEN regexp_matches(f, '^(is|has)($|[a-z\s_-])') OR regexp_matches(f, 'enabled|completed') THEN 'checkbox' ELSE 'text' END AS kind
 FROM (SELECT field, lower(field) AS f FROM (SELECT field FROM tag_fields UNION SELECT unnest({_NAMED})))""")
 def infer_types(c):
