@@ -161,9 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str, fold: F.Column, class
                 yield pa.RecordBatch.from_arrays([key.slice(first, last - first), y.slice(first, last - first), pa.array(binary[0], pa.binary()), pa.array(other, pa.binary())], names=["shard", "y", "own", "swapped"])
 
     def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("own", kind="stable")  # the same result however the rows arrived
-        read = lambda x: None if x is None else np.frombuffer(x, np.int32)
-        own, swapped = [read(x) for x in rows["own"]], [read(x) for x in rows["swapped"]]
+        # The same result however the rows arrived.
+        rows = rows.assign(swapped=[x or b"" for x in rows["swapped"]]).sort_values(["own", "y", "swapped"], kind="stable")
+        own = [np.frombuffer(x, np.int32) for x in rows["own"]]
+        swapped = [np.frombuffer(x, np.int32) if x else None for x in rows["swapped"]]
         space = np.unique(np.concatenate([x for x in own + swapped if x is not None]))
         found = [(np.searchsorted(space, a), None if b is None else np.searchsorted(space, b), int(y)) for a, b, y in zip(own, swapped, rows["y"], strict=True)]
         w = ftrl(found, len(space), params)
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str, fold: F.Column, class
     got = found.groupBy("shard").applyInPandas(train, "bucket int, w double, n long").toPandas()
     if got.empty:
         return LinearModel()
+    got = got.sort_values(["bucket", "w", "n"], kind="stable")  # sums do not depend on which shard was first
     n = got.loc[got.bucket == -1, "n"].sum()
     mean = (got.w * got.n).groupby(got.bucket).sum() / n
     rest = mean[mean.index >= 0].sort_index()

@@ -157,3 +157,11 @@ def test_validation_learns_from_inner_rows_only(spark, make_docs):
     labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(200)], "doc_id long, quality int")
     got = linear.validate(docs, labels, label="quality", fold=F.col("doc_id") < 180, inner=F.col("doc_id") % 5 == 0, threshold=0.3, classes=tk.WORDS, params=replace(ql.PARAMS, l1=0.5)).first()
     assert (got.tp, got.fn, got.fp, got.tn) == (18, 0, 0, 18) and got.loss < 0.3
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark, make_docs):
+    docs = make_docs(["same words here", "same words here", "other words there", "Muslims say so"] * 30)
+    labels = spark.createDataFrame([(i, i % 3 % 2, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    for fit in (ql.fit_quality, tx.fit_toxicity):
+        a, b = (fit(d, labels) for d in (docs.coalesce(1).orderBy(F.desc("doc_id")), docs.repartition(5, "text", "doc_id")))
+        assert a.bias == b.bias and np.array_equal(a.buckets, b.buckets) and np.array_equal(a.weights, b.weights)
