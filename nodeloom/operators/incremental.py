@@ -1,12 +1,18 @@
-"""Snapshots: differences, checksums and upserts."""
+"""Snapshots: differences, checksums and upserts; upkeep of a stored index."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog import Catalog
+from ..sources.store import Store, Table
+from ..storage import materialize
+from . import fulltext
+
 
 def checksum(columns: Sequence[str]) -> Column:
     """Digest of the columns' texts; null and empty differ."""
@@ -40,9 +46,8 @@ def last_per_key(changes: DataFrame, key: str, order: Sequence[str]) -> DataFram
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Target rows without a change, and the latest change of each key."""
-    last = last_per_key(changes, key, order)
-    return target.join(last.select(key), key, "left_anti").unionByName(last.select(*target.columns))
+    """The latest row of each key, of the target and of the changes: a change that is older than the target's row does nothing."""
+    return last_per_key(target.unionByName(changes.select(*target.columns)), key, order)
 
 
 def replace_groups(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -60,23 +65,65 @@ def freshness(items: DataFrame, as_of_ms: int, days: int = 30) -> DataFrame:
     return items.select("id", age.alias("age_days"), F.coalesce(age > days, F.lit(True)).alias("stale"))
 
 
-def refresh(table: DataFrame, rebuilt: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``table`` with the rows of changed keys taken from ``rebuilt`` and those of deleted keys dropped.
+#: Tables of a stored index: columns, and the column with the owner of a row.
+INDEX: dict[str, tuple[str, str]] = {
+    "nodes": ("id string, name string, parent_id string, created long, updated long, tag string", "id"),
+    "tags": ("id string, tag string", "id"),
+    "fields": ("id string, field string, value string, value_order int, value_id string", "id"),
+    "links": ("source string, target string, kind string", "source"),
+}
+DIGESTS = "owner string, part string, digest string"
 
-    changes: (key, change) of ``checksum_diff``.  Any table of an index is kept up by the owner of its rows:
-    nodes by id, tags and attributes by the node, links by their source.
-    """
-    gone = changes.select(F.col(changes.columns[0]).alias(key))
-    new = changes.filter("change <> 'deleted'").select(F.col(changes.columns[0]).alias(key))
-    return table.join(gone, key, "left_anti").unionByName(rebuilt.join(new, key, "left_semi").select(*table.columns))
+
+def index_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    """The store of an index: each table by the owner of its rows, and per owner and table a digest of these rows."""
+    tables = {name: Table(schema, (owner,), buckets) for name, (schema, owner) in INDEX.items()}
+    return Store(spark, path, tables | {"digests": Table(DIGESTS, ("owner",), buckets)} | fulltext.tables(buckets))
+
+
+def owner_digests(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(owner, part, digest) of all rows of each owner in each table, whatever their order; rows that are there twice count twice."""
+    parts = []
+    for name, table in tables.items():
+        schema, owner = INDEX[name]
+        columns = Table(schema, (owner,)).columns
+        row, low = F.xxhash64(*columns), F.lit(0xFFFFFFFF)
+        both = F.concat_ws(":", F.count("*"), F.bit_xor(row), F.sum(row.bitwiseAND(low)), F.sum(F.xxhash64(F.lit(1), *columns).bitwiseAND(low)))
+        parts.append(table.groupBy(F.col(owner).alias("owner")).agg(both.alias("digest")).select("owner", F.lit(name).alias("part"), "digest"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def rewrite_buckets(table: DataFrame, changes: DataFrame, key: str, path: str, buckets: int) -> None:
-    """Writes ``table`` into the buckets (by the key's hash) that hold a changed key; the files of the others stay.
+def update_index(store: Store, cat: Catalog, searchable: bool = True) -> DataFrame:
+    """Brings all tables of the index to the state of ``cat``, in one commit; (owner, part, change) of what differed.
 
-    ``table`` must not read ``path``: the replaced buckets' rows come from what was read before.
+    One comparison of digests finds the owners whose rows differ, in any table, for whatever reason (an attribute changes
+    when the text of its value does).  Only their buckets are read and written.  With ``searchable`` the
+    postings of names follow the same changes.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    touched = changes.select(bucket(F.col(changes.columns[0])).alias("bucket")).distinct()
-    rows = table.withColumn("bucket", bucket(F.col(key))).join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    tables = {name: materialize(getattr(cat, name).select(*Table(schema, (owner,)).columns)) for name, (schema, owner) in INDEX.items()}
+    new = materialize(owner_digests(tables))
+    both = store.read("digests").withColumnRenamed("digest", "old").join(new, ["owner", "part"], "full_outer")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("digest").isNull(), "deleted").when(F.col("old") != F.col("digest"), "modified")
+    changes = materialize(both.select("owner", "part", kind.alias("change"), "digest").filter("change IS NOT NULL"))
+    found = changes.drop("digest")
+    if changes.isEmpty():
+        return found
+    replaced = {}
+    for name, table in tables.items():
+        owner = INDEX[name][1]
+        of = changes.filter(F.col("part") == name).select(F.col("owner").alias(owner))
+        replaced[name] = (of, table.join(of, owner, "left_semi"), [owner])
+    keys = changes.select("owner", "part")
+    replaced["digests"] = (keys, changes.filter("digest IS NOT NULL").select("owner", "part", "digest"), ["owner", "part"])
+    if searchable:
+        names = changes.filter("part = 'nodes'").select(F.col("owner").alias("id"))
+        replaced |= fulltext.replacements(store, names, replaced["nodes"][1].select("id", F.col("name").alias("text"), "created", "updated"))
+    store.replace((store.versions() or [-1])[-1] + 1, replaced)
+    return found
+
+
+def stored_catalog(store: Store) -> Catalog:
+    """The index's tables as a catalog; declared attributes and the hierarchy of tags are not kept in it."""
+    spark = store.spark
+    none = spark.createDataFrame([], "child string, parent string"), spark.createDataFrame([], "tag string, field string, field_order int, kind string")
+    return Catalog(*[store.read(name) for name in INDEX], *none)

@@ -752,6 +752,13 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def _batches(spark: SparkSession, sf_dir: str, folder: str, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events as a feed of four batches, dealt out regardless of their times."""
+    dealt = rows(spark.read.parquet(f"{sf_dir}/events.parquet")).repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(1000)))
+    dealt.write.parquet(f"{folder}/feed")
+    return spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+
+
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per hour and type, counted by a stream."""
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -763,16 +770,31 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest event of each user, upserted by a stream into a versioned table."""
+    """The latest event of each user, by a stream whose batches are out of order; users whose latest event is an error are deleted."""
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     schema = "user_id long, event_id long, ts timestamp, event_type string"
-    changes = _feed(spark, sf_dir).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    feeds.sync(changes, f"{folder}/table", schema, "user_id", ["ts", "event_id"], f"{folder}/checkpoint").awaitTermination()
+    changes = _batches(spark, sf_dir, folder, lambda e: e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("event_type") == "error").alias("gone")))
+    feeds.sync(changes, f"{folder}/table", schema, "user_id", ["ts", "event_id"], f"{folder}/checkpoint", deleted="gone").awaitTermination()
     return feeds.read_current(spark, f"{folder}/table", schema).select("user_id", "event_id", F.unix_millis("ts").alias("ts_ms"), "event_type")
 
 
-QUERIES |= {"stream_events": stream_events, "stream_delta": stream_delta}
+def stream_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as nodes whose latest event gives name, tag and attributes, by a feed of batches out of order."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    value = lambda name, c: F.struct(F.lit(name).alias("field"), c.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    node = lambda e: e.select("event_id", F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("name"), none.alias("parent_id"), F.lit(0).cast("long").alias("created"), (F.unix_millis(F.col("ts").cast("timestamp")) * 1000000 + F.col("event_id")).alias("updated"), F.array(F.lit("user"), "event_type").alias("tags"), F.array(value("Value", F.floor("value")), value("Event", F.col("event_id"))).alias("fields"), (F.col("event_type") == "error").alias("deleted"))
+    feeds.sync_nodes(_batches(spark, sf_dir, folder, node), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    store = feeds.node_store(spark, f"{folder}/table")
+    values = store.read("fields").groupBy("id").pivot("field", ["Value", "Event"]).agg(F.first("value"))
+    return feeds.snapshot(spark, f"{folder}/table").join(values, "id").select("id", "name", F.array_join("tags", ",").alias("tags"), F.col("Value").alias("value"), F.col("Event").alias("event"))
+
+
+_LAST_EVENT = "SELECT user_id, event_id, epoch_us(ts) // 1000 AS ts_ms, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+QUERIES |= {"stream_events": stream_events, "stream_delta": stream_delta, "stream_nodes": stream_nodes}
 ORACLE_SQL |= {
     "stream_events": "SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "stream_delta": "SELECT user_id, event_id, epoch_us(ts) // 1000 AS ts_ms, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stream_delta": f"SELECT user_id, event_id, ts_ms, event_type FROM ({_LAST_EVENT}) WHERE event_type <> 'error'",
+    "stream_nodes": f"SELECT 'user:' || user_id AS id, event_type AS name, CASE WHEN event_type < 'user' THEN event_type || ',user' ELSE 'user,' || event_type END AS tags, floor(value)::bigint::varchar AS value, event_id::varchar AS event FROM ({_LAST_EVENT}) WHERE event_type <> 'error'",
 }

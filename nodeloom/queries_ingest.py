@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import STAR_SQL
+from .operators import fulltext as ft
 from .operators import incremental as inc
-from .queries import _NEW_ORDERS, _ORDER, ORACLE_SQL, QUERIES, _two_versions, table
+from .queries import _WORDS, EVENTS_FROM, ORACLE_SQL, QUERIES, _bm25_sql, catalog_of
 from .sources import export_json as ex
+from .sources.store import Store
 from .storage import materialize, shared_dir
 
 
@@ -67,18 +71,132 @@ ORACLE_SQL |= {
 }
 
 
-def _attributes(orders: DataFrame) -> DataFrame:
-    return orders.select("o_orderkey", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in ("o_custkey", "o_orderstatus")])))
+_stores: dict[tuple[str, int, str, str], Store] = {}
 
 
-@table(f"WITH new AS ({_NEW_ORDERS}) SELECT o_orderkey, 'o_custkey' AS field, o_custkey::varchar AS value FROM new UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus FROM new")
-def incremental_index(t):
-    """The attribute table of the new version, of which only changed owners' rows are computed anew, in buckets of which only touched ones are written."""
-    old, new = _two_versions(t)
-    changes = materialize(inc.checksum_diff(old, new, "o_orderkey", _ORDER.split(", ")))
-    spark = old.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    before = _attributes(old)
-    inc.rewrite_buckets(before, old.select("o_orderkey"), "o_orderkey", path, 16)
-    inc.rewrite_buckets(inc.refresh(before, _attributes(new), changes, "o_orderkey"), changes, "o_orderkey", path, 16)
-    return spark.read.parquet(path).select("o_orderkey", "field", "value")
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], Store]) -> Store:
+    """The store that ``build(path)`` fills, once per session and folder of tables; later calls read it."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _stores:
+        _stores[key] = build(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    return _stores[key]
+
+
+# An index of an export, brought from one version of the customers to the next
+
+
+_NEW_CUSTOMERS = "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'ROBOTS' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 13 = 0 THEN c_name || ' Ltd' ELSE c_name END AS c_name FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey + 1000000000, c_mktsegment, c_name FROM customer WHERE c_custkey % 11 = 0"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment", "c_name")
+    key = F.col("c_custkey")
+    new = old.filter(key % 5 != 0).withColumns({"c_mktsegment": F.when(key % 7 == 0, "ROBOTS").otherwise(F.col("c_mktsegment")), "c_name": F.when(key % 13 == 0, F.concat("c_name", F.lit(" Ltd"))).otherwise(F.col("c_name"))})
+    return old, new.unionByName(old.filter(key % 11 == 0).withColumn("c_custkey", key + 1000000000))
+
+
+def _kept_up(spark: SparkSession, sf_dir: str) -> Store:
+    """The index of the first version, brought to the second."""
+
+    def build(path: str) -> Store:
+        store = inc.index_store(spark, path, 16)
+        for version in _customers(spark, sf_dir):
+            inc.update_index(store, ex.build(materialize(export_of(version))))
+        return store
+
+    return stored(spark, sf_dir, "export", build)
+
+
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attribute table after the upkeep: rows of changed owners only were written, those of deleted ones are gone."""
+    return _kept_up(spark, sf_dir).read("fields").select("id", "field", "value", "value_order", "value_id")
+
+
+def incremental_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_up(spark, sf_dir).read("tags")
+
+
+def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_up(spark, sf_dir).read("links").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def incremental_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a word, from the postings after the upkeep."""
+    return ft.search(_kept_up(spark, sf_dir), "Ltd customer", None)
+
+
+def incremental_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners that differ between the versions, by table and kind of change, from one comparison."""
+    store = inc.index_store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 16)
+    old, new = _customers(spark, sf_dir)
+    inc.update_index(store, ex.build(materialize(export_of(old))), searchable=False)
+    found = inc.update_index(store, ex.build(materialize(export_of(new))), searchable=False)
+    return found.groupBy("part", "change").agg(F.count("*").alias("n"))
+
+
+_EXPORTED = f"WITH new AS ({_NEW_CUSTOMERS}), docs(id, name) AS (SELECT 'c:' || c_custkey, c_name FROM new UNION ALL SELECT 'v:' || c_custkey, c_mktsegment FROM new UNION ALL SELECT unnest(['m:' || c_custkey, 'g:' || c_custkey, 'f:' || c_custkey]), NULL FROM new UNION ALL VALUES ('T', 'customer'), ('MT', NULL), ('XT', NULL), ('L', 'Segment'))"
+
+
+QUERIES |= {f.__name__: f for f in (incremental_index, incremental_tags, incremental_links, incremental_search, incremental_changes)}
+ORACLE_SQL |= {
+    "incremental_index": f"WITH new AS ({_NEW_CUSTOMERS}) SELECT 'c:' || c_custkey AS id, 'Segment' AS field, c_mktsegment AS value, 0 AS value_order, 'v:' || c_custkey AS value_id FROM new",
+    "incremental_tags": f"WITH new AS ({_NEW_CUSTOMERS}) SELECT 'c:' || c_custkey AS id, 'customer' AS tag FROM new",
+    "incremental_links": f"WITH c AS (SELECT 5 * count(*) + 1 AS n FROM ({_NEW_CUSTOMERS})) SELECT 'child' AS kind, n FROM c UNION ALL SELECT 'parent', n FROM c",
+    "incremental_search": f"{_EXPORTED}, r AS (SELECT id, w, len(w)::double AS len FROM (SELECT id, coalesce({_WORDS.format('name')}, []) AS w FROM docs)), s AS (SELECT count(*)::double AS n, avg(len) AS avg_len, sum(list_contains(w, 'ltd')::int)::double AS d0, sum(list_contains(w, 'customer')::int)::double AS d1 FROM r) SELECT id, round((ln((n - d0 + 0.5) / (d0 + 0.5) + 1) + ln((n - d1 + 0.5) / (d1 + 0.5) + 1)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / avg_len)), 6) AS score FROM r, s WHERE list_has_all(w, ['ltd', 'customer'])",
+    "incremental_changes": """WITH o AS (SELECT c_custkey AS k FROM customer), x AS (SELECT k, k % 5 = 0 AS gone, k % 7 = 0 AS robots, k % 13 = 0 AS named, k % 11 = 0 AS copied FROM o)
+SELECT part, change, sum(n)::bigint AS n FROM (SELECT unnest(['nodes', 'tags', 'fields', 'links']) AS part, 'added' AS change, unnest([5, 1, 1, 5]) * count(*) AS n FROM x WHERE copied UNION ALL SELECT unnest(['nodes', 'tags', 'fields', 'links']), 'deleted', unnest([5, 1, 1, 5]) * count(*) FROM x WHERE gone
+UNION ALL SELECT 'nodes', 'modified', count(*) FILTER (robots) + count(*) FILTER (named) FROM x WHERE NOT gone UNION ALL SELECT 'fields', 'modified', count(*) FROM x WHERE NOT gone AND robots
+UNION ALL SELECT 'links', 'modified', 2) WHERE n > 0 GROUP BY ALL""",
+}
+
+
+# Stored full-text indexes: built once, then searches read the buckets of their words
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> Store:
+    def build(path: str) -> Store:
+        store = Store(spark, path, ft.tables(64))
+        none = F.lit(None).cast("long")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), "text", none.alias("created"), none.alias("updated"))
+        ft.update(store, docs, docs)
+        return store
+
+    return stored(spark, sf_dir, "documents", build)
+
+
+def fts_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with both words, best first, from the stored index."""
+    hits = ft.search(_documents(spark, sf_dir), "und der", None).select(F.col("id").cast("long").alias("doc_id"), "score")
+    return hits.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+def _names(spark: SparkSession, sf_dir: str) -> Store:
+    def build(path: str) -> Store:
+        store = Store(spark, path, ft.tables(16))
+        rows = catalog_of(spark, sf_dir).nodes.filter("tag IN ('order', 'event', 'part', 'customer')").select("id", F.col("name").alias("text"), "created", "updated")
+        ft.update(store, rows, rows)
+        return store
+
+    return stored(spark, sf_dir, "names", build)
+
+
+def fts_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a word, of nodes created within bounds."""
+    return ft.search(_names(spark, sf_dir), "order", 50, created_after=883612800000, created_before=915148800000)
+
+
+def fts_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a word, of nodes updated within bounds."""
+    return ft.search(_names(spark, sf_dir), "Purchase", None, updated_after=EVENTS_FROM + 86400000, updated_before=EVENTS_FROM + 10 * 86400000)
+
+
+def _searched(word: str, test: str, more: str = "") -> str:
+    return f"{STAR_SQL}, r AS (SELECT id, created, updated, w, len(w)::double AS len, len(list_filter(w, lambda x: x = '{word}')) AS tf FROM (SELECT *, coalesce({_WORDS.format('name')}, []) AS w FROM nodes WHERE tag IN ('order', 'event', 'part', 'customer'))), s AS (SELECT count(*)::double AS n, avg(len) AS avg_len, sum((tf > 0)::int)::double AS df FROM r) SELECT id, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)), 6) AS score FROM r, s WHERE tf > 0 AND {test}{more}"
+
+
+QUERIES |= {f.__name__: f for f in (fts_indexed, fts_created, fts_updated)}
+ORACLE_SQL |= {
+    "fts_indexed": _bm25_sql(["der", "und"]),
+    "fts_created": _searched("order", "created > 883612800000 AND created < 915148800000", " ORDER BY score DESC, id LIMIT 50"),
+    "fts_updated": _searched("purchase", f"updated > {EVENTS_FROM + 86400000} AND updated < {EVENTS_FROM + 10 * 86400000}"),
+}

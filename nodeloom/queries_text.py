@@ -12,7 +12,7 @@ from .operators import query as q
 from .operators import search as se
 from .operators import table as tb
 from .plans.predicates import structured
-from .queries import _JOINED, _VIA, _WORDS, EVENTS_FROM, NUMBER, ORDERS_AS_OF, _bm25_sql, _found, _ids, _pairs, _value, star, table
+from .queries import _JOINED, _VIA, _WORDS, EVENTS_FROM, NUMBER, ORDERS_AS_OF, _found, _ids, _pairs, _value, star, table
 
 # Filters and projections
 
@@ -125,12 +125,6 @@ def fts_phrase(t):
     return se.match_phrase(t("documents"), "of The").select("doc_id")
 
 
-@table(_bm25_sql(["der", "und"]))
-def fts_indexed(t):
-    docs = t("documents")
-    return se.bm25_indexed(se.postings(docs, "doc_id"), se.index_size(docs), ["und", "der"], "doc_id")
-
-
 @star(r"SELECT DISTINCT id, value FROM fields WHERE field = 'Priority' AND list_has_all(regexp_extract_all(lower(value), '[\p{L}\p{N}]+'), ['not', 'specified'])")
 def fts_field_in(c):
     return se.match_all(c.fields.filter("field = 'Priority'"), ["not", "specified"], "id", "value").select("id", "value").distinct()

@@ -1,20 +1,25 @@
-"""Change feeds: upserts into a versioned table, snapshot events, windowed counts.
+"""Change feeds: upserts and deletions into a versioned table or index, snapshot events, windowed counts.
 
-The target is a folder of buckets by the key's hash, each with versions; a micro-batch writes a
-version of the buckets that its keys fall into, and of no other, and then marks it as done;
-readers take of each bucket the highest version so marked.  A batch that is tried again
-writes the same version again, so nothing is applied twice.
+The target is a ``Store``: a micro-batch rewrites the buckets that its keys fall into, and no other, as a version with the
+batch's number; a batch that is tried again writes the same version again, so nothing is applied twice.  One feed, with one
+checkpoint, writes a target.
+
+Of each key the latest row by the feed's order stays, over all batches: a change that comes late does not undo a
+newer one, whichever batch had that.  Deleted keys stay as rows with a mark for the same reason; readers do not see them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import snapshot_diff, upsert
+from ..catalog import Catalog
+from ..operators.incremental import last_per_key, snapshot_diff
+from ..sources import export_json
+from ..sources.store import Store, Table
 
 #: Buckets of a target; a batch rewrites those that its keys fall into.
 BUCKETS = 64
@@ -25,65 +30,116 @@ def read_changes(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def versions(spark: SparkSession, target: str) -> list[int]:
-    """Finished versions, ascending."""
-    try:
-        marks = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "DONE-*").load(target)
-        return sorted(int(r.path.rsplit("DONE-", 1)[1]) for r in marks.select("path").collect())
-    except Exception as e:  # no target yet
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
-
-
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+def _free(name: str, taken: Sequence[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
-def read_current(spark: SparkSession, target: str, schema: str, below: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
-    """The latest finished version (older than ``below``) of each bucket (of ``buckets``)."""
-    done = {v for v in versions(spark, target) if below is None or v < below}
-    if not done:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(target)
-    at = lambda name: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast("int").alias(name)
-    # A row per bucket: names of files only, their content is not read.
-    found = files.select(at("bucket"), at("v")).filter(F.col("v").isin(sorted(done))).groupBy("bucket").agg(F.max("v").alias("v")).collect()
-    paths = [f"{target}/data/bucket={r.bucket}/v={r.v}" for r in found if buckets is None or r.bucket in buckets]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def target_store(spark: SparkSession, target: str, schema: str, key: str | None = None) -> tuple[Store, str]:
+    """The store of a target with these columns, and the name of the column that marks deleted keys."""
+    columns = Table(schema, ()).columns
+    gone = _free("is_deleted", columns)
+    return Store(spark, target, {"rows": Table(f"{schema}, {gone} boolean", (key or columns[0],), BUCKETS)}), gone
 
 
-def _finish(spark: SparkSession, target: str, version: int) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{target}/marks/DONE-{version}")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    out.write(1)  # empty files are not listed by readers
-    out.close()
+def read_current(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The rows of the newest version."""
+    store, gone = target_store(spark, target, schema)
+    return store.read("rows").filter(f"NOT {gone}").drop(gone)
 
 
-def sync(changes: DataFrame, target: str, schema: str, key: str, order: Sequence[str], checkpoint: str, on_events: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def sync(changes: DataFrame, target: str, schema: str, key: str, order: Sequence[str], checkpoint: str, on_events: Callable[[DataFrame, int], None] | None = None, deleted: str | None = None) -> StreamingQuery:
     """Upserts a stream into the target, latest change per key by ``order``; ends when the feed is read.
 
+    deleted: a boolean column of the feed that marks deletions; of changes equal in order a deletion wins, then the larger row.
     ``on_events`` gets each batch's snapshot events (for targets with id, name, updated and tags).
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        good = batch.filter(F.col(key).isNotNull())
+        store, gone = target_store(batch.sparkSession, target, schema, key)
+        mark = F.lit(False) if deleted is None else F.coalesce(F.col(deleted), F.lit(False))
+        columns = Table(schema, ()).columns
+        good = batch.filter(F.col(key).isNotNull()).select(*columns, mark.alias(gone))
         good.persist()
-        touched = [r.b for r in good.select(_bucket(key).alias("b")).distinct().collect()]  # BUCKETS at most
-        before = read_current(spark, target, schema, number, touched)
-        after = upsert(before, good.select(*before.columns), key, order).withColumn("bucket", _bucket(key)).withColumn("v", F.lit(number))
-        if touched:
-            after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(f"{target}/data")
+        touched = store.touched("rows", good)
+        before = store.read("rows", number, touched)
+        store.commit(number, {"rows": (last_per_key(before.unionByName(good), key, [*order, gone]), touched)})
         good.unpersist()
-        _finish(spark, target, number)
         if on_events is not None:
-            on_events(snapshot_diff(before, read_current(spark, target, schema, number + 1, touched)), number)
+            live = lambda df: df.filter(f"NOT {gone}").drop(gone)
+            on_events(snapshot_diff(live(before), live(store.read("rows", number + 1, touched))), number)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Columns of a feed of nodes.
+NODE_CHANGE = "id string, name string, parent_id string, created long, updated long, tags array<string>, fields array<struct<field:string,value:string>>, deleted boolean"
+
+
+def node_store(spark: SparkSession, target: str) -> Store:
+    return Store(
+        spark,
+        target,
+        {
+            "nodes": Table("id string, name string, parent_id string, created long, updated long, rank string, is_deleted boolean", ("id",), BUCKETS),
+            "tags": Table("id string, tag string", ("id",), BUCKETS),
+            "fields": Table("id string, field string, value string, value_order int, value_id string", ("id",), BUCKETS),
+            "progress": Table("part string, at long, changes long", ("part",), 1),
+        },
+    )
+
+
+def sync_nodes(changes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Upserts a feed of nodes (NODE_CHANGE): a change that is the latest of its node replaces the node, its tags and its attributes, in one commit.
+
+    ``progress`` has the latest time that was applied and the number of changes; batches that change nothing leave it alone.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        store = node_store(batch.sparkSession, target)
+        columns = Table(NODE_CHANGE, ()).columns
+        good = batch.filter("id IS NOT NULL").select(*columns).withColumn("is_deleted", F.coalesce("deleted", F.lit(False)))
+        # Changes of the same time are ordered by their content, so that batches do not matter.
+        good = good.withColumn("rank", F.concat(F.when(F.col("is_deleted"), "1").otherwise("0"), F.md5(F.to_json(F.struct(*columns)).cast("binary"))))
+        last = last_per_key(good, "id", ["updated", "rank"])
+        held = store.read("nodes", number, store.touched("nodes", last)).select("id", F.struct("updated", "rank").alias("held"))
+        won = last.join(held, "id", "left").filter(F.col("held").isNull() | (F.struct("updated", "rank") > F.col("held"))).drop("held").persist()
+        done = won.agg(F.count("*").alias("n"), F.max("updated").alias("at")).first()
+        if done.n:
+            ids, live = won.select("id"), won.filter("NOT is_deleted")
+            tags = live.select("id", F.explode(F.array_distinct("tags")).alias("tag"))
+            fields = live.select("id", F.posexplode("fields").alias("place", "x")).select("id", "x.field", "x.value", "place")
+            order = F.row_number().over(Window.partitionBy("id", "field").orderBy("place")) - 1
+            fields = fields.filter("trim(coalesce(value, '')) <> ''").select("id", "field", "value", order.alias("value_order"), F.lit(None).cast("string").alias("value_id"))
+            was = store.read("progress", number).first()
+            progress = batch.sparkSession.createDataFrame([("feed", max(done.at or 0, was.at if was else 0), done.n + (was.changes if was else 0))], store.tables["progress"].schema)
+            store.replace(number, {"nodes": (ids, won, ["id"]), "tags": (ids, tags, ["id"]), "fields": (ids, fields, ["id"]), "progress": (progress.select("part"), progress, ["part"])})
+        won.unpersist()
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def snapshot(spark: SparkSession, target: str) -> DataFrame:
+    """(id, name, updated, tags) of the nodes of a target of ``sync_nodes``, as ``snapshot_diff`` compares them."""
+    store = node_store(spark, target)
+    tags = store.read("tags").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    nodes = store.read("nodes").filter("NOT is_deleted").select("id", "name", "updated")
+    return nodes.join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def on_new_export(spark: SparkSession, folder: str, apply: Callable[[Catalog, int], None], checkpoint: str) -> StreamingQuery:
+    """Calls ``apply`` with the catalog of the newest export in ``folder`` when files arrive; of several that arrive together only the newest is read."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        newest = export_json.latest_file(batch.sparkSession, folder)
+        if newest is not None and not batch.isEmpty():
+            apply(export_json.build(export_json.read_docs(batch.sparkSession, newest)), number)
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*@????-??-??.json").load(folder)
+    return files.select("path").writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, time: str, by: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts per window and key of a stream or table; rows later than ``late`` are left out of streams."""
     return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
