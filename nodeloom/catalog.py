@@ -9,6 +9,7 @@ before anything is read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
 from functools import cache
@@ -26,8 +27,8 @@ class Catalog:
 
     Ids of nodes are unique.  primary: tags that exactly the nodes with this value of ``nodes.tag``
     have; finding them is a filter that prunes partitions, not a join.  ends: whether links and fields also
-    have ``source_tag`` and ``target_tag``, the primary tags at their ends.  targets: attribute to the primary
-    tag of the nodes that it refers to, where that is known.
+    have ``source_tag`` and ``target_tag``, the primary tags at their ends, and tags ``source_tag``.  targets: attribute to
+    the primary tag of the nodes that it refers to, where that is known.  tag_of: the primary tag that an id tells, if ids do.
     """
 
     nodes: DataFrame
@@ -39,6 +40,7 @@ class Catalog:
     primary: frozenset[str] = frozenset()
     ends: bool = False
     targets: dict[str, str] = dataclass_field(default_factory=dict)
+    tag_of: Callable[[Column], Column] | None = None
 
     def tagged(self, tag: str) -> DataFrame:
         """Nodes with a tag."""
@@ -46,6 +48,19 @@ class Catalog:
             return self.nodes.filter(F.col("tag") == tag)
         return self.nodes.join(self.tags.filter(F.col("tag") == tag).select("id"), "id", "left_semi")
 
+    def kinds_of(self, ids: DataFrame) -> list[str] | None:
+        """The primary tags of ``ids(id)``, where ids tell them: a few names, for which ``ids`` is read once."""
+        if not self.ends or self.tag_of is None:
+            return None
+        return sorted(r.t for r in ids.select(self.tag_of(F.col("id")).alias("t")).distinct().collect() if r.t is not None)
+
+    def of(self, table: DataFrame, tag: str | list[str] | None, column: str = "source_tag") -> DataFrame:
+        """Rows of ``fields``, ``links``, ``tags`` or ``nodes`` that begin at nodes with a primary tag: other branches are not read.  None: all."""
+        tags = [tag] if isinstance(tag, str) else tag
+        if tags is None or not self.ends or not set(tags) <= self.primary:
+            return table
+        return table.filter(F.col(column).isin(tags))
+
 
 def both_ways(df: DataFrame, a: str, b: str, *rest: str) -> DataFrame:
     """Each row and its mirror image, from one scan."""
@@ -96,9 +111,9 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         view(talk, "line", _ident("line", "conv_id", "turn"), F.col("text"), _ident("conv", "conv_id")),
     ]
     nodes = union(parts)
-    tags = nodes.select("id", "tag")
-    tags = tags.unionByName(orders.select(_ident("order", "o_orderkey").alias("id"), F.concat(F.lit("order_"), "o_orderstatus").alias("tag")))
-    tags = tags.unionByName(events.select(_ident("event", "event_id").alias("id"), F.concat(F.lit("event_"), "event_type").alias("tag")))
+    tags = nodes.select("id", "tag", F.col("tag").alias("source_tag"))
+    tags = tags.unionByName(orders.select(_ident("order", "o_orderkey").alias("id"), F.concat(F.lit("order_"), "o_orderstatus").alias("tag"), F.lit("order").alias("source_tag")))
+    tags = tags.unionByName(events.select(_ident("event", "event_id").alias("id"), F.concat(F.lit("event_"), "event_type").alias("tag"), F.lit("event").alias("source_tag")))
 
     def attributes(df: DataFrame, tag: str, ident: Column, values: dict[str, Column]) -> list[DataFrame]:
         """One branch per attribute."""
@@ -138,7 +153,7 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     family = [x.filter("source IS NOT NULL AND target IS NOT NULL") for x in family]
     inline = link(lines, _ident("order", "l_orderkey"), part_id, "inline_ref", ("order", "part")).distinct()
     links = union([*family, inline])
-    return Catalog(nodes, tags, fields, links, spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"), PRIMARY, True, TARGETS)
+    return Catalog(nodes, tags, fields, links, spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"), PRIMARY, True, TARGETS, lambda c: F.substring_index(c, ":", 1))
 
 
 def _star_sql() -> str:

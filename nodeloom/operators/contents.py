@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..storage import materialize
 from .graph import traverse
 from .search import relevance, within_budget
 
@@ -20,14 +21,21 @@ def meaningful(value: Column) -> Column:
     return value.rlike(r"^\d{4}-\d{2}-\d{2}") | value.startswith("[[") | ~value.rlike("^[a-zA-Z0-9_-]{12,}$")
 
 
-def node_contents(cat: Catalog, rows: DataFrame) -> DataFrame:
-    """``rows(id, name)`` with ``fields`` (array of field and value, by name), ``tags`` and ``children`` (ids in order)."""
+def node_contents(cat: Catalog, rows: DataFrame, tag: str | None = None) -> DataFrame:
+    """``rows(id, name)`` with ``fields`` (array of field and value, by name), ``tags`` and ``children`` (ids in order).
+
+    tag: a primary tag that all rows have; attributes, tags and links of other nodes are not read.
+    """
     ids = rows.select("id")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value_order", "value"))), lambda x: x["value"]), ", ")
-    values = cat.fields.join(ids, "id", "left_semi").filter(meaningful(F.col("value"))).groupBy("id", "field").agg(joined.alias("value"))
+    values = cat.of(cat.fields, tag).join(ids, "id", "left_semi").filter(meaningful(F.col("value"))).groupBy("id", "field").agg(joined.alias("value"))
     fields = values.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("fields"))
-    tags = cat.tags.join(ids, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    below = cat.nodes.select(F.col("parent_id"), F.col("id").alias("child")).join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    tags = cat.of(cat.tags, tag).join(ids, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    if tag is not None and cat.ends and tag in cat.primary:
+        below = cat.of(cat.links, tag).filter("kind = 'child'").select(F.col("source").alias("parent_id"), F.col("target").alias("child"))
+    else:
+        below = cat.nodes.select(F.col("parent_id"), F.col("id").alias("child"))
+    below = below.join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
     children = below.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list("child")).alias("children"))
     out = rows.select("id", F.coalesce("name", F.lit("(unnamed)")).alias("name"))
     for table in (fields, tags, children):
@@ -63,16 +71,20 @@ def context(cat: Catalog, seeds: DataFrame, as_of_ms: int, budget: int, depth: i
 
     A node reached from several seeds counts from the nearest.
     """
-    near = traverse(cat, seeds, "both", kinds, depth).groupBy("id").agg(F.min("distance").alias("distance"))
-    tags = cat.tags.groupBy("id").agg(F.collect_set("tag").alias("tags"))
-    rows = near.join(cat.nodes.select("id", "name", "created"), "id").join(tags, "id", "left")
+    near = materialize(traverse(cat, seeds, "both", kinds, depth).groupBy("id").agg(F.min("distance").alias("distance")))
+    of = cat.kinds_of(near)
+    tags = cat.of(cat.tags, of).join(near, "id", "left_semi").groupBy("id").agg(F.collect_set("tag").alias("tags"))
+    rows = near.join(cat.of(cat.nodes, of, "tag").select("id", "name", "created"), "id")
+    rows = rows.join(tags, "id", "left") if wanted else rows
     age = (F.lit(as_of_ms) - F.col("created")) / 86_400_000
     score = F.round(relevance(F.col("distance"), F.lit(None).cast("double"), age), 6)
     rows = rows.select("id", "distance", F.round(boost(score, F.col("tags"), wanted), 6).alias("score") if wanted else score.alias("score"), F.ceil(F.length(F.coalesce("name", F.lit(""))) / 4).alias("tokens"))
+    rows = materialize(rows)
     taken = within_budget(rows.withColumn("all", F.lit(0)), budget, "all")
     return rows.join(taken.select("id", "position"), "id").select("position", "id", "distance", "score", "tokens")
 
 
 def ranked(counts: DataFrame, by: str, name: str) -> DataFrame:
     """Adds ``rank`` (from 1) by falling ``by``, ties by name; counts of names are few."""
+    # One partition: counts of names are a schema's worth of rows.
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(by), name)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from .graph import climb
 
 
 def is_entity(override: Column, flags: Column, owner: Column, tagged: Column) -> Column:
@@ -16,17 +16,9 @@ def is_entity(override: Column, flags: Column, owner: Column, tagged: Column) ->
 
 def nearest_entity(nodes: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
     """(id, ancestor, depth): nearest entity up the parents of ``nodes(id, parent_id, entity)``, not the node itself."""
-    up = nodes.select(F.col("id").alias("at"), F.col("parent_id").alias("above"), "entity")
-    level = start.join(nodes.select("id", "parent_id"), "id").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at"))
-    found = None
-    for depth in range(1, most + 1):
-        met = materialize(level.join(up, "at"))
-        done = met.filter("entity").select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
-        found = done if found is None else found.unionByName(done)
-        level = met.filter("NOT entity AND above IS NOT NULL").select("id", F.col("above").alias("at"))
-        if level.isEmpty():
-            break
-    return found
+    hits = nodes.filter("entity").select(F.col("id").alias("parent_id"), F.lit(True).alias("hit"))
+    up = nodes.select("id", "parent_id").join(hits, "parent_id", "left")
+    return climb(up, most).join(start.select("id").distinct(), "id", "left_semi")
 
 
 def entity_counts(nodes: DataFrame) -> DataFrame:

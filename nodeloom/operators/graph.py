@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, both_ways
@@ -28,26 +28,47 @@ def edges(cat: Catalog, kinds: Sequence[str] = ("inline_ref", "child", "parent",
     return out
 
 
-def traverse(cat: Catalog, start: DataFrame, direction: str = "both", kinds: Sequence[str] = ("inline_ref", "child", "parent", "field"), depth: int = 1) -> DataFrame:
+def _steps(cat: Catalog, level: DataFrame, direction: str, kinds: Sequence[str]) -> DataFrame:
+    """(origin, to, path, kind, direction) one step on from ``level(origin, id, path)``; only edges at its nodes' tags are read."""
+    tags, out = cat.kinds_of(level), []
+    for name, a, b in (("out", "source", "target"), ("in", "target", "source")):
+        if direction not in (name, "both"):
+            continue
+        links = cat.of(cat.links, tags, f"{a}_tag").filter(F.col("kind").isin(list(kinds))).select(F.col(a).alias("at"), F.col(b).alias("to"), "kind")
+        if "field" in kinds:
+            ends = {"source": "id", "target": "value_id"}
+            values = cat.of(cat.fields, tags, f"{a}_tag").filter("value_id IS NOT NULL")
+            links = links.unionByName(values.select(F.col(ends[a]).alias("at"), F.col(ends[b]).alias("to"), F.lit("field").alias("kind")))
+        out.append(level.select("origin", "id", "path").join(links, F.col("id") == F.col("at")).select("origin", "to", "path", "kind", F.lit(name).alias("direction")))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def traverse(cat: Catalog, start: DataFrame, direction: str = "both", kinds: Sequence[str] = ("inline_ref", "child", "parent", "field"), depth: int = 1, limit: int | None = None) -> DataFrame:
     """(origin, id, kind, direction, distance, path) of the nodes within ``depth`` steps of each ``start(id)``.
 
     Breadth first; of several ways to a node on its first level the smallest path is kept, so
     one row per node goes on, however many ways lead there.  Unknown targets are left out.
+    limit: nodes per origin, nearest first and then by path; what lies beyond is not gone through.
+    Each level is written, joined with the edges at it and, once per node, with the nodes that exist.
     """
     if depth < 1:
         raise ValueError("depth is at least 1")
-    e = edges(cat, kinds).distinct()
-    way = lambda a, b, name: F.struct(F.col(a).alias("at"), F.col(b).alias("to"), "kind", F.lit(name).alias("direction"))
-    ways = {"out": way("source", "target", "out"), "in": way("target", "source", "in")}
-    steps = e.select(F.inline(F.array(*(ways.values() if direction == "both" else [ways[direction]]))))
-    steps = steps.join(cat.nodes.select(F.col("id").alias("to")), "to", "left_semi")
-    seen = start.select(F.col("id").alias("origin"), "id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("direction"), F.lit(0).alias("distance"), F.col("id").alias("path")).distinct()
+    if limit is not None and limit < 1:
+        raise ValueError("limit is at least 1")
+    none = F.lit(None).cast("string")
+    seen = materialize(start.select(F.col("id").alias("origin"), "id", none.alias("kind"), none.alias("direction"), F.lit(0).alias("distance"), F.col("id").alias("path")).distinct())
     level = seen
     for distance in range(1, depth + 1):
-        ahead = level.select("origin", "id", "path").join(steps, F.col("id") == F.col("at"))
         first = F.min(F.struct(F.concat("path", F.lit(" > "), "to").alias("path"), "kind", "direction")).alias("best")
-        new = ahead.groupBy("origin", "to").agg(first).select("origin", F.col("to").alias("id"), "best.kind", "best.direction", F.lit(distance).alias("distance"), "best.path")
-        level = new.join(seen.select("origin", "id"), ["origin", "id"], "left_anti")
+        new = _steps(cat, level, direction, kinds).groupBy("origin", "to").agg(first)
+        new = new.select("origin", F.col("to").alias("id"), "best.kind", "best.direction", F.lit(distance).alias("distance"), "best.path")
+        new = materialize(new.join(seen.select("origin", "id"), ["origin", "id"], "left_anti"))
+        known = cat.of(cat.nodes, cat.kinds_of(new), "tag").select("id")
+        level = new.join(known, "id", "left_semi").select(*seen.columns)
+        if limit is not None:
+            had = seen.groupBy("origin").agg((F.count("*") - 1).alias("_had"))
+            rank = F.row_number().over(Window.partitionBy("origin").orderBy("path"))
+            level = level.withColumn("_r", rank).filter(F.col("_r") <= limit).join(had, "origin").filter(F.col("_r") + F.col("_had") <= limit).select(*seen.columns)
         if distance < depth:
             level = materialize(level)
         seen = seen.unionByName(level)
@@ -95,62 +116,78 @@ def connected_measures(cat: Catalog, pairs: DataFrame, field: str) -> DataFrame:
     return others.join(numbers, "id", "left").agg(F.count_distinct("id").alias("n"), F.sum("x").alias("total"), F.round(F.avg("x"), 6).alias("mean"))
 
 
+def climb(up: DataFrame, most: int) -> DataFrame:
+    """(id, ancestor, depth): the first ancestor of each node that is a hit, at most ``most`` steps above.
+
+    ``up(id, parent_id, hit)``: hit says whether the parent is one.  Pointers double: a round joins each node that is still open with
+    the node that it points at and takes over its pointer or its find, so the rounds are the logarithm of the
+    depth.  Ways that end without a hit, at an unknown node or in a cycle, give no row.
+    """
+    hit = F.coalesce("hit", F.lit(False))
+    state = up.filter("parent_id IS NOT NULL").select("id", F.when(~hit, F.col("parent_id")).alias("at"), F.when(hit, F.col("parent_id")).alias("ancestor"), F.lit(1).alias("depth"))
+    reach = 1
+    while True:
+        state = materialize(state)
+        if reach >= most or state.filter("at IS NOT NULL").isEmpty():
+            return state.filter(F.col("ancestor").isNotNull() & (F.col("depth") <= most)).select("id", "ancestor", "depth")
+        far = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("ancestor").alias("_ancestor"), F.col("depth").alias("_depth"))
+        went = state.filter("at IS NOT NULL").join(far, "at").select("id", F.col("_at").alias("at"), F.col("_ancestor").alias("ancestor"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        state, reach = state.filter("ancestor IS NOT NULL").unionByName(went), 2 * reach
+
+
+def _above(cat: Catalog, hits: DataFrame) -> DataFrame:
+    """What ``climb`` needs for all nodes below others, of ``hits(parent_id)``."""
+    return cat.nodes.filter("parent_id IS NOT NULL").select("id", "parent_id").join(hits.withColumn("hit", F.lit(True)), "parent_id", "left").select("id", "parent_id", "hit")
+
+
 def nearest_ancestor(cat: Catalog, start: DataFrame, tags: Sequence[str], most: int = 20) -> DataFrame:
     """(id, ancestor, depth) of the nearest node up the parents with one of the tags; the node itself counts."""
-    tagged = cat.tags.filter(F.col("tag").isin(list(tags))).select(F.col("id").alias("at")).distinct().withColumn("hit", F.lit(True))
-    parents = cat.nodes.select(F.col("id").alias("at"), "parent_id")
-    level, found = start.select("id", F.col("id").alias("at")).distinct(), None
-    for depth in range(most + 1):
-        marked = materialize(level.join(tagged, "at", "left").join(parents, "at", "left"))
-        done = marked.filter("hit").select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
-        found = done if found is None else found.unionByName(done)
-        level = marked.filter("hit IS NULL AND parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at"))
-        if level.isEmpty():
-            break
-    return found
+    hits = cat.tags.filter(F.col("tag").isin(list(tags))).select("id").distinct()
+    ids = start.select("id").distinct()
+    own = ids.join(hits, "id", "left_semi").select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    above = climb(_above(cat, hits.select(F.col("id").alias("parent_id"))), most).join(ids.join(hits, "id", "left_anti"), "id", "left_semi")
+    return own.unionByName(above)
 
 
 def in_trash(cat: Catalog, start: DataFrame, most: int = 50, mark: str = "TRASH") -> DataFrame:
     """(id) of the nodes with an ancestor, or an own id, whose id contains the trash's mark."""
-    parents = cat.nodes.select(F.col("id").alias("at"), "parent_id")
-    level, found = start.select("id", F.col("id").alias("at")).distinct(), None
-    for _ in range(most + 1):
-        hit = level.filter(F.col("at").contains(mark)).select("id")
-        found = hit if found is None else found.unionByName(hit)
-        level = materialize(level.filter(~F.col("at").contains(mark)).join(parents, "at").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at")))
-        if level.isEmpty():
-            break
-    return found.distinct()
+    up = cat.nodes.filter("parent_id IS NOT NULL").select("id", "parent_id", F.col("parent_id").contains(mark).alias("hit"))
+    ids = start.select("id").distinct()
+    return ids.filter(F.col("id").contains(mark)).unionByName(climb(up, most).select("id").join(ids.filter(~F.col("id").contains(mark)), "id", "left_semi"))
+
+
+def owner_in_trash(docs: DataFrame, most: int = 20, mark: str = "TRASH") -> DataFrame:
+    """(id) of ``docs(id, owner)`` with an owner, an owner's owner and so on whose id contains the mark, at most ``most`` owners above."""
+    return climb(docs.select("id", F.col("owner").alias("parent_id"), F.col("owner").contains(mark).alias("hit")), most).select("id")
+
+
+def below_trash(docs: DataFrame, most: int = 50, ending: str = "_TRASH") -> DataFrame:
+    """(id) of ``docs(id, parent_id, owner)`` of which the node, or one of its parents, has an owner whose id ends with ``ending``."""
+    owned = docs.filter(F.col("owner").endswith(ending)).select("id").distinct()
+    up = docs.select("id", "parent_id").join(owned.select(F.col("id").alias("parent_id"), F.lit(True).alias("hit")), "parent_id", "left")
+    return owned.unionByName(climb(up.join(owned, "id", "left_anti"), most).select("id"))
 
 
 def nearest_named(cat: Catalog, start: DataFrame, most: int = 20) -> DataFrame:
     """(id, ancestor, depth) of the nearest node above with a name that is not blank; the node itself does not count."""
-    up = cat.nodes.select(F.col("id").alias("at"), F.col("parent_id").alias("above"), (F.trim(F.coalesce("name", F.lit(""))) != "").alias("named"))
-    level = start.join(cat.nodes.select("id", "parent_id"), "id").filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("at"))
-    found = None
-    for depth in range(1, most + 1):
-        met = materialize(level.join(up, "at"))
-        done = met.filter("named").select("id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
-        found = done if found is None else found.unionByName(done)
-        level = met.filter("NOT named AND above IS NOT NULL").select("id", F.col("above").alias("at"))
-        if level.isEmpty():
-            break
-    return found
+    named = cat.nodes.filter(F.trim(F.coalesce("name", F.lit(""))) != "").select(F.col("id").alias("parent_id"))
+    return climb(_above(cat, named), most).join(start.select("id").distinct(), "id", "left_semi")
 
 
 def name_paths(cat: Catalog, start: DataFrame, most: int = 50) -> DataFrame:
-    """(id, path): the names from the root down to each node, joined by `` > ``; nodes in a cycle have none."""
-    up = cat.nodes.select(F.col("id").alias("at"), F.col("parent_id").alias("above"), F.coalesce("name", F.lit("(unnamed)")).alias("step"))
-    level = start.select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("path")).distinct()
-    found = None
-    for _ in range(most + 1):
-        met = materialize(level.join(up, "at").select("id", "above", F.array_prepend("path", F.col("step")).alias("path")))
-        done = met.filter("above IS NULL").select("id", F.array_join("path", " > ").alias("path"))
-        found = done if found is None else found.unionByName(done)
-        level = met.filter("above IS NOT NULL").select("id", F.col("above").alias("at"), "path")
-        if level.isEmpty():
-            break
-    return found
+    """(id, path): the names from the root down to each node, joined by `` > ``; nodes in a cycle, or deeper than ``most``, have none.
+
+    Pointers double as in ``climb``; a node's pointer comes with the names from below it down to the node.
+    """
+    state = cat.nodes.select("id", F.col("parent_id").alias("at"), F.coalesce("name", F.lit("(unnamed)")).alias("path"), F.lit(1).alias("n"))
+    ids, reach = start.select("id").distinct(), 1
+    while True:
+        state = materialize(state)
+        if reach > most or state.filter("at IS NOT NULL").isEmpty():
+            return state.filter(F.col("at").isNull() & (F.col("n") <= most + 1)).join(ids, "id", "left_semi").select("id", "path")
+        far = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("path").alias("_path"), F.col("n").alias("_n"))
+        went = state.filter("at IS NOT NULL").join(far, "at").select("id", F.col("_at").alias("at"), F.concat("_path", F.lit(" > "), "path").alias("path"), (F.col("n") + F.col("_n")).alias("n"))
+        state, reach = state.filter("at IS NULL").unionByName(went), 2 * reach
 
 
 def connected_values(cat: Catalog, pairs: DataFrame, field: str, name: str) -> DataFrame:

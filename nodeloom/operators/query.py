@@ -52,9 +52,13 @@ def has_more(rows: DataFrame, limit: int, offset: int = 0) -> bool:
     return not rows.offset(offset + limit).limit(1).isEmpty()
 
 
-def hydrate(cat: Catalog, rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Adds ``fields``: map of attribute to its values, joined in their order."""
-    values = cat.fields if names is None else cat.fields.filter(F.lower("field").isin([n.lower() for n in names]))
+def hydrate(cat: Catalog, rows: DataFrame, names: Sequence[str] | None = None, tag: str | None = None) -> DataFrame:
+    """Adds ``fields``: map of attribute to its values, joined in their order.
+
+    tag: a primary tag that all rows have; attributes of other nodes are not read.
+    """
+    values = cat.of(cat.fields, tag)
+    values = values if names is None else values.filter(F.lower("field").isin([n.lower() for n in names]))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value_order", "value"))), lambda x: x["value"]), ", ")
     wanted = values.join(rows.select("id"), "id", "left_semi").groupBy("id", "field").agg(ordered.alias("value"))
     maps = wanted.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
@@ -98,7 +102,7 @@ def recently_updated(cat: Catalog, limit: int = 50) -> DataFrame:
 def run(cat: Catalog, tag: str | None, where: Sequence[Where | AnyOf] = (), as_of: datetime | None = None, by: str = "created", descending: bool = True, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of found nodes; those of a tag come with all their attributes, those of no tag without."""
     rows = page(order(cat, find(cat, tag, where, as_of), by, descending), limit, offset)
-    return rows if tag is None else hydrate(cat, rows)
+    return rows if tag is None else hydrate(cat, rows, tag=tag)
 
 
 def project_paths(rows: DataFrame, paths: Sequence[str]) -> DataFrame:

@@ -35,7 +35,7 @@ def export_table(cat: Catalog, tag: str, rows: DataFrame, only: Sequence[str] |
     columns = [(f, k) for f, k in columns_of(cat, tag) if only is None or f.lower() in {o.lower() for o in only}]
     names = [f for f, _ in columns]
     kinds = F.create_map(*[F.lit(x) for f, k in columns for x in (f, k)])
-    values = cat.fields.filter(F.col("field").isin(names)).join(rows.select("id"), "id", "left_semi").withColumn("kind", kinds[F.col("field")])
+    values = cat.of(cat.fields, tag).filter(F.col("field").isin(names)).join(rows.select("id"), "id", "left_semi").withColumn("kind", kinds[F.col("field")])
     if resolve:
         refs = [f for f, k in columns if k == "instance"]
         known = all(f in cat.targets for f in refs)

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import STAR_SQL, Catalog, millis, star_catalog
@@ -19,7 +19,7 @@ from .operators import schema as sc
 from .operators import search as se
 from .operators import table as tb
 from .plans.predicates import AnyOf, Where
-from .storage import shared_dir
+from .storage import materialize, shared_dir
 from .streaming import feeds
 
 ORDERS_AS_OF = datetime(2001, 8, 2, tzinfo=timezone.utc)
@@ -41,14 +41,14 @@ def catalog_of(spark: SparkSession, sf_dir: str) -> Catalog:
     return _catalogs[key]
 
 
-def star(sql: str) -> Callable:
-    """Registers a query over the catalog and its SQL (which sees the catalog's views)."""
+def star(sql: str, views: bool = True) -> Callable:
+    """Registers a query over the catalog and its SQL, which sees the catalog's views, or else the tables only."""
 
     def register(f: Callable[[Catalog], DataFrame]) -> Callable[[Catalog], DataFrame]:
         # Of found nodes the update time is left out: only events have one.
         drop = "updated" if f.__name__.startswith(("uq_", "gq_find", "batch", "children")) else "-"
         QUERIES[f.__name__] = lambda spark, sf_dir: f(catalog_of(spark, sf_dir)).drop(drop)
-        ORACLE_SQL[f.__name__] = f"{STAR_SQL}\n{sql}"
+        ORACLE_SQL[f.__name__] = f"{STAR_SQL}\n{sql}" if views else sql
         return f
 
     return register
@@ -175,13 +175,13 @@ _JOINED = "SELECT id, field, string_agg(value, ', ' ORDER BY value_order, value)
 
 @star(f"SELECT n.id, coalesce(string_agg(v.field || '=' || v.value, ';' ORDER BY v.field), '') AS fields FROM ({_found('order')}) n LEFT JOIN ({_JOINED}) v USING (id) GROUP BY n.id")
 def uq_hydrate(c):
-    rows = q.hydrate(c, q.find(c, "order"))
+    rows = q.hydrate(c, q.find(c, "order"), tag="order")
     return rows.select("id", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
 
 
 @star(f"SELECT n.id, n.name, s.value AS status, b.value AS \"Missing\" FROM ({_found('order')}) n LEFT JOIN ({_JOINED}) s ON s.id = n.id AND s.field = 'Status' LEFT JOIN ({_JOINED}) b ON b.id = n.id AND b.field = 'Missing'")
 def uq_select_fields(c):
-    return q.project(q.hydrate(c, q.find(c, "order"), ["Status"]), ["id", "name", "status", "Missing"])
+    return q.project(q.hydrate(c, q.find(c, "order"), ["Status"], "order"), ["id", "name", "status", "Missing"])
 
 
 @star(f"SELECT p.position, p.id, n.name, n.parent_id, coalesce(n.created, 0) AS created FROM (VALUES (0, 'order:7'), (1, 'nation:3'), (2, 'order:7'), (3, 'none:1')) p(position, id) LEFT JOIN nodes n USING (id)")
@@ -445,6 +445,25 @@ def anc_nearest_tagged(c):
     return gr.nearest_ancestor(c, q.find(c, "order").select("id"), ["nation", "region"])
 
 
+@table("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
+u AS (SELECT *, max(CASE WHEN o_orderpriority = '1-URGENT' THEN r END) OVER (PARTITION BY o_custkey ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM o)
+SELECT u.o_orderkey AS id, o.o_orderkey AS ancestor, (u.r - u.near)::int AS depth FROM u JOIN o ON o.o_custkey = u.o_custkey AND o.r = u.near""")
+def anc_chain(t):
+    """The last urgent order before each order of a customer, up chains of any length."""
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    last = lambda c: F.lag(c).over(before)
+    up = t("orders").select(F.col("o_orderkey").alias("id"), last("o_orderkey").alias("parent_id"), (last("o_orderpriority") == "1-URGENT").alias("hit"))
+    return gr.climb(up, 1 << 20)
+
+
+@star("""WITH a AS (SELECT 'nation:3 > ' || id AS path, id FROM (SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 3)),
+b AS (SELECT path || ' > order:' || o_orderkey AS path, 'order:' || o_orderkey AS id FROM a JOIN orders ON a.id = 'customer:' || o_custkey)
+SELECT 'nation:3' AS origin, id, distance FROM (SELECT id, 1 AS distance, path FROM a UNION ALL SELECT id, 2, path FROM b) ORDER BY distance, path LIMIT 40""", views=False)
+def rel_limited(c):
+    """The first 40 nodes below one, nearest first."""
+    return gr.traverse(c, _start(c, "nation:3"), "out", ("child",), 2, 40).select("origin", "id", "distance")
+
+
 _UP = """, up AS (SELECT child AS tag, parent AS ancestor, 1 AS depth FROM tag_parents UNION ALL SELECT up.tag, p.parent, depth + 1 FROM up JOIN tag_parents p ON p.child = up.ancestor WHERE depth < 10),
 anc AS (SELECT tag, ancestor, min(depth) AS depth FROM up WHERE tag <> ancestor GROUP BY ALL)"""
 
@@ -583,8 +602,6 @@ def transcript_list(t):
 
 @table("SELECT conv_id, turn, role, length(text)::int AS chars, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::bigint AS so_far FROM conversations")
 def transcript_lines(t):
-    from pyspark.sql import Window
-
     chars = F.length("text")
     return t("conversations").select("conv_id", "turn", "role", chars.alias("chars"), F.sum(chars).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
 
@@ -715,17 +732,18 @@ def freshness(t):
     return inc.freshness(t("events").select(F.col("event_id").alias("id"), millis("ts").alias("at")), EVENTS_TO, 14)
 
 
-@star(""", d AS (SELECT DISTINCT id FROM (SELECT target AS id FROM links WHERE source = 'order:7' UNION ALL SELECT source FROM links WHERE target = 'order:7' UNION ALL SELECT value_id FROM fields WHERE id = 'order:7') WHERE id IS NOT NULL)
-SELECT id, round(0.6 / 2 + 0.4 * exp(-((996710400000 - created) / 86400000) / 30), 6) AS score FROM d JOIN nodes USING (id)""")
+@star("""SELECT id, round(0.6 / 2 + 0.4 * exp(-((996710400000 - 1704067200000) / 86400000) / 30), 6) AS score FROM (SELECT 'customer:' || o_custkey AS id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = 7
+UNION SELECT 'part:' || l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 7)""", views=False)
 def context_scored(c):
-    near = gr.traverse(c, _start(c, "order:7"), "both").select("id", "distance").join(c.nodes.select("id", "created"), "id")
+    near = materialize(gr.traverse(c, _start(c, "order:7"), "both").select("id", "distance"))
+    near = near.join(c.of(c.nodes, c.kinds_of(near), "tag").select("id", "created"), "id")
     age = (F.lit(996710400000) - F.col("created")) / 86400000
     return near.select("id", F.round(se.relevance(F.col("distance"), F.lit(None).cast("double"), age), 6).alias("score"))
 
 
 @star(f"SELECT n.id, concat_ws(' ', '[Type: #part]', '[Brand: ' || b.value || ']', '[Size: ' || s.value || ']', n.name) AS text FROM ({_found('part')}) n LEFT JOIN fields b ON b.id = n.id AND b.field = 'Brand' LEFT JOIN fields s ON s.id = n.id AND s.field = 'Size'")
 def enriched_text(c):
-    rows = q.hydrate(c, q.find(c, "part"), ["Brand", "Size"])
+    rows = q.hydrate(c, q.find(c, "part"), ["Brand", "Size"], "part")
     entries = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))
     return rows.select("id", tx.enriched(F.array(F.lit("part")), entries, F.col("name")).alias("text"))
 

@@ -120,7 +120,7 @@ _MEANT = r"(regexp_matches(value, '^\d{4}-\d{2}-\d{2}') OR starts_with(value, '[
 @star(f"""SELECT n.id, n.name, coalesce((SELECT string_agg(field || '=' || value, ';' ORDER BY field) FROM (SELECT field, string_agg(value, ', ' ORDER BY value_order, value) AS value FROM fields f WHERE f.id = n.id AND {_MEANT} GROUP BY field)), '') AS fields,
 (SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM tags t WHERE t.id = n.id) AS tags, coalesce((SELECT string_agg(x.id, ',' ORDER BY x.id) FROM nodes x WHERE x.parent_id = n.id), '') AS children FROM nodes n WHERE n.tag = 'customer'""")
 def node_contents(c):
-    rows = co.node_contents(c, q.find(c, "customer"))
+    rows = co.node_contents(c, q.find(c, "customer"), "customer")
     return rows.select("id", "name", F.array_join(F.transform("fields", lambda x: F.concat(x["field"], F.lit("="), x["value"])), ";").alias("fields"), F.array_join("tags", ",").alias("tags"), F.array_join("children", ",").alias("children"))
 
 
@@ -145,13 +145,13 @@ def smart_depth(c):
 # Ancestors and entities
 
 
-@star("SELECT n.id, r.name || ' > ' || x.name || ' > ' || n.name AS path FROM nodes n JOIN nodes x ON x.id = n.parent_id JOIN nodes r ON r.id = x.parent_id WHERE n.tag IN ('customer', 'supplier')")
+@star("SELECT 'customer:' || c_custkey AS id, r_name || ' > ' || n_name || ' > ' || c_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'supplier:' || s_suppkey, r_name || ' > ' || n_name || ' > ' || s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey", views=False)
 def anc_names(c):
     start = c.nodes.filter("tag IN ('customer', 'supplier')").select("id")
     return gr.name_paths(c, start)
 
 
-@star("SELECT n.id, p.id AS ancestor, 1 AS depth FROM nodes n JOIN nodes p ON p.id = n.parent_id WHERE n.tag IN ('line', 'nation') AND trim(coalesce(p.name, '')) <> ''")
+@star("SELECT 'line:' || conv_id || ':' || turn AS id, 'conv:' || conv_id AS ancestor, 1 AS depth FROM conversations UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || r_regionkey, 1 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE trim(r_name) <> ''", views=False)
 def anc_nearest_named(c):
     return gr.nearest_named(c, c.nodes.filter("tag IN ('line', 'nation')").select("id"))
 
@@ -162,7 +162,8 @@ def ancestor_groups(c):
     return found.groupBy("ancestor").agg(F.count("*").alias("n"))
 
 
-@star("SELECT id FROM nodes WHERE contains(id, 'nation:3') OR contains(parent_id, 'nation:3') OR parent_id IN (SELECT id FROM nodes WHERE tag = 'customer' AND contains(parent_id, 'nation:3'))")
+@star("""WITH n AS (SELECT n_nationkey AS k FROM nation WHERE contains('nation:' || n_nationkey, 'nation:3')), c AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT k FROM n))
+SELECT 'nation:' || k AS id FROM n UNION ALL SELECT 'customer:' || k FROM c UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey IN (SELECT k FROM n) UNION ALL SELECT 'order:' || o_orderkey FROM orders WHERE o_custkey IN (SELECT k FROM c)""", views=False)
 def trash_ancestors(c):
     return gr.in_trash(c, c.nodes.filter("tag IN ('nation', 'customer', 'supplier', 'order')").select("id"), mark="nation:3")
 

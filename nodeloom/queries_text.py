@@ -40,7 +40,7 @@ def uq_auto_hydrate(c):
 
 @star("SELECT n.id, n.name, s.value AS segment, NULL::varchar AS missing FROM nodes n LEFT JOIN fields s ON s.id = n.id AND s.field = 'Segment' WHERE n.tag = 'customer'")
 def select_paths(c):
-    rows = q.project_paths(q.hydrate(c, q.find(c, "customer"), ["Segment"]), ["id", "name", "fields.segment", "fields.none"])
+    rows = q.project_paths(q.hydrate(c, q.find(c, "customer"), ["Segment"], "customer"), ["id", "name", "fields.segment", "fields.none"])
     return rows.select("id", "name", "fields.segment", F.col("fields.none").alias("missing"))
 
 
@@ -111,7 +111,7 @@ def formats(t):
 
 @star(f"SELECT n.id, 'Customer: ' || n.name || ' (in ' || p.name || ') ' || coalesce((SELECT string_agg(field || ': ' || value, ', ' ORDER BY field) FROM ({_JOINED}) v WHERE v.id = n.id), '') AS text FROM nodes n JOIN nodes p ON p.id = n.parent_id WHERE n.tag = 'customer'")
 def context_texts(c):
-    rows = q.hydrate(c, q.find(c, "customer"))
+    rows = q.hydrate(c, q.find(c, "customer"), tag="customer")
     above = c.nodes.filter("tag = 'nation'").select(F.col("id").alias("parent_id"), F.col("name").alias("ancestor"))
     fields = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
     return rows.join(above, "parent_id").select("id", tx.context_text(F.col("name"), F.col("ancestor"), F.lit("customer"), fields).alias("text"))

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.text import inline_references, value_type
+from ..operators.graph import climb
 
 DOC = "id string, props struct<created:bigint,name:string,_ownerId:string,_docType:string,_done:string>, children array<string>, modifiedTs string"
 _DOCS = f"array<struct<{DOC.replace(' string', ':string').replace('props struct', 'props:struct').replace('children array', 'children:array')}>>"
 EXPORT = f"formatVersion bigint, docs {_DOCS}, storeData struct<docs:{_DOCS}>"
 TAG_MARK, TAG_DEFINITION, FIELD_DEFINITION, MOST_VALUES = "SYS_A13", "SYS_T01", "SYS_T02", 50
+#: Tuples within tuples beyond this depth are taken for a cycle.
+MOST_NESTED = 1 << 16
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -83,10 +86,9 @@ def build(docs: DataFrame) -> Catalog:
 
 
 def field_values(flat: DataFrame, tuples: DataFrame) -> DataFrame:
-    """(id, field, value, value_order, value_id) of the tuples ``[attribute, value...]``; a tuple below a tuple belongs to the node above both."""
+    """(id, field, value, value_order, value_id) of the tuples ``[attribute, value...]``; tuples below tuples, at any depth, belong to the node above all."""
     plain = tuples.filter(~F.array_contains("children", TAG_MARK) & F.size("children").between(2, MOST_VALUES))
-    outer = tuples.select(F.col("tuple_id").alias("_outer"), F.col("owner").alias("_above"))
-    placed = plain.join(outer, plain.owner == F.col("_outer"), "left").select("tuple_id", F.coalesce("_above", "owner").alias("id"), "children")
+    placed = plain.join(tuple_owner(tuples), "tuple_id").select("tuple_id", "id", "children")
     label = flat.select(F.col("id").alias("label_id"), F.col("name").alias("field"))
     each = placed.withColumn("label_id", F.get("children", F.lit(0))).join(label, "label_id").select("id", "tuple_id", "field", F.posexplode(F.slice("children", 2, MOST_VALUES)).alias("position", "value_id"))
     value = flat.select(F.col("id").alias("value_id"), F.col("name").alias("value"))
@@ -95,6 +97,14 @@ def field_values(flat: DataFrame, tuples: DataFrame) -> DataFrame:
     return kept.select("id", "field", "value", order.alias("value_order"), "value_id")
 
 
+def tuple_owner(tuples: DataFrame) -> DataFrame:
+    """(tuple_id, id): the nearest owner of each of ``tuples(tuple_id, owner)`` that is no tuple itself."""
+    outer = tuples.select(F.col("tuple_id").alias("owner"), F.lit(False).alias("hit")).distinct()
+    up = tuples.select(F.col("tuple_id").alias("id"), "owner").join(outer, "owner", "left")
+    found = climb(up.select("id", F.col("owner").alias("parent_id"), F.coalesce("hit", F.lit(True)).alias("hit")), MOST_NESTED)
+    return found.select(F.col("id").alias("tuple_id"), F.col("ancestor").alias("id"))
+
+
 def option_values(cat: Catalog, name: str = "Values") -> DataFrame:
     """(id, option): the distinct options that an attribute's definition lists."""
     return cat.fields.filter(F.col("field") == name).select("id", F.col("value").alias("option")).distinct()
