@@ -83,9 +83,9 @@ def _ident(tag: str, *keys: str) -> Column:
     return F.concat(F.lit(f"{tag}:"), *[x for i, k in enumerate(keys) for x in ([F.lit(":")] if i else []) + [F.col(k).cast("string")]])
 
 
-#: Tag hierarchy and declared attributes of the star-schema view (fixed values).
-TAG_PARENTS = [("order_F", "order"), ("order_O", "order"), ("order_P", "order"), ("order", "record"), ("event_click", "event"), ("event_error", "event"), ("event_purchase", "event"), ("event_signup", "event"), ("event_view", "event"), ("event", "record"), ("customer", "party"), ("supplier", "party")]
-TAG_FIELDS = [("record", "Created", 0, "date"), ("order", "Status", 0, "options"), ("order", "Priority", 1, "options"), ("order", "TotalPrice", 2, "number"), ("order", "OrderDate", 3, "date"), ("order", "Part", 4, "instance"), ("party", "Balance", 0, "number"), ("customer", "Segment", 0, "options"), ("customer", "Balance", 1, "number"), ("customer", "Nation", 2, "instance"), ("supplier", "Balance", 0, "number"), ("supplier", "Nation", 1, "instance"), ("supplier", "Segment", 2, "text"), ("part", "Brand", 0, "text"), ("part", "Type", 1, "text"), ("part", "Size", 2, "number"), ("event", "User", 0, "number"), ("event", "Value", 1, "number"), ("event", "K", 2, "number")]
+#: Upper tags and declared attributes of the star-schema view (fixed values); tags of each status and type of event, and events' attributes by the keys of their properties, come from the tables.
+TAG_PARENTS = [("order", "record"), ("event", "record"), ("customer", "party"), ("supplier", "party")]
+TAG_FIELDS = [("record", "Created", 0, "date"), ("order", "Status", 0, "options"), ("order", "Priority", 1, "options"), ("order", "TotalPrice", 2, "number"), ("order", "OrderDate", 3, "date"), ("order", "Part", 4, "instance"), ("party", "Balance", 0, "number"), ("customer", "Segment", 0, "options"), ("customer", "Balance", 1, "number"), ("customer", "Nation", 2, "instance"), ("supplier", "Balance", 0, "number"), ("supplier", "Nation", 1, "instance"), ("supplier", "Segment", 2, "text"), ("part", "Brand", 0, "text"), ("part", "Type", 1, "text"), ("part", "Size", 2, "number"), ("event", "User", 0, "number"), ("event", "Value", 1, "number")]
 TARGETS = {"Part": "part", "Nation": "nation"}
 PRIMARY = frozenset("region nation customer supplier part order event document conv line".split())
 
@@ -153,7 +153,11 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     family = [x.filter("source IS NOT NULL AND target IS NOT NULL") for x in family]
     inline = link(lines, _ident("order", "l_orderkey"), part_id, "inline_ref", ("order", "part")).distinct()
     links = union([*family, inline])
-    return Catalog(nodes, tags, fields, links, spark.createDataFrame(TAG_PARENTS, "child string, parent string"), spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string"), PRIMARY, True, TARGETS, lambda c: F.substring_index(c, ":", 1))
+    below = lambda df, column, tag: df.select(F.concat(F.lit(f"{tag}_"), column).alias("child"), F.lit(tag).alias("parent")).distinct()
+    tag_parents = union([spark.createDataFrame(TAG_PARENTS, "child string, parent string"), below(orders, "o_orderstatus", "order"), below(events, "event_type", "event")])
+    keys = events.select(F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("k")).distinct()
+    tag_fields = spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string").union(keys.select(F.lit("event"), F.upper("k"), F.lit(2), F.lit("number")))
+    return Catalog(nodes, tags, fields, links, tag_parents, tag_fields, PRIMARY, True, TARGETS, lambda c: F.substring_index(c, ":", 1))
 
 
 def _star_sql() -> str:
@@ -182,8 +186,8 @@ UNION ALL {f("'part:' || p_partkey", 'part', [('Brand', 'p_brand', 'NULL'), ('Ty
 UNION ALL {f("'event:' || event_id", 'events', [('User', 'user_id', 'NULL'), ('Value', 'floor(value)::bigint', 'NULL'), ('K', "props::json ->> '$.k'", 'NULL')])}),
 links AS (SELECT parent_id AS source, id AS target, 'child' AS kind FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT id, parent_id, 'parent' FROM nodes WHERE parent_id IS NOT NULL
 UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 'inline_ref' FROM lineitem),
-tag_parents(child, parent) AS (VALUES {rows(TAG_PARENTS)}),
-tag_fields(tag, field, field_order, kind) AS (VALUES {rows(TAG_FIELDS)})"""
+tag_parents(child, parent) AS (VALUES {rows(TAG_PARENTS)} UNION ALL SELECT DISTINCT 'order_' || o_orderstatus, 'order' FROM orders UNION ALL SELECT DISTINCT 'event_' || event_type, 'event' FROM events),
+tag_fields(tag, field, field_order, kind) AS (VALUES {rows(TAG_FIELDS)} UNION ALL SELECT DISTINCT 'event', upper(k), 2, 'number' FROM (SELECT unnest(json_keys(props)) AS k FROM events))"""
 
 
 STAR_SQL = _star_sql()

@@ -14,7 +14,7 @@ MOST_LEVELS = 10
 
 def ancestors(cat: Catalog, most: int = MOST_LEVELS) -> DataFrame:
     """(tag, ancestor, depth): the least number of steps, over multiple inheritance; cycles end at the cap."""
-    edges = cat.tag_parents.select("child", "parent").distinct()
+    edges = materialize(cat.tag_parents.select("child", "parent").distinct())
     found = edges.select(F.col("child").alias("tag"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     level, up = found, edges.toDF("_child", "_parent")
     for depth in range(2, most + 1):
@@ -34,13 +34,21 @@ def deepest(cat: Catalog) -> DataFrame:
     return ancestors(cat, 20).agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"))
 
 
-def all_fields(cat: Catalog) -> DataFrame:
-    """(tag, field, origin, depth, field_order, kind): own attributes, then inherited, the nearest declaration of each name."""
+def all_fields(cat: Catalog, system: DataFrame | None = None) -> DataFrame:
+    """(tag, field, origin, depth, field_order, kind): own attributes, then inherited, the nearest declaration of each name, then system attributes.
+
+    system: ``(tag, field, kind)`` of the system attributes that tags define, which are inherited too; depth and order 999.
+    """
     own = cat.tag_fields.select("tag", "field", F.col("tag").alias("origin"), F.lit(0).alias("depth"), "field_order", "kind")
     up = ancestors(cat).select("tag", F.col("ancestor").alias("origin"), "depth")
     inherited = up.join(cat.tag_fields.withColumnRenamed("tag", "origin"), "origin").select("tag", "field", "origin", "depth", "field_order", "kind")
+    every = own.unionByName(inherited)
+    if system is not None:
+        last = lambda df: df.select("tag", "field", "origin", F.lit(999).alias("depth"), F.lit(999).alias("field_order"), "kind")
+        defined = system.select("tag", F.col("tag").alias("origin"), "field", "kind")
+        every = every.unionByName(last(defined)).unionByName(last(up.join(defined.drop("tag"), "origin")))
     rank = F.row_number().over(Window.partitionBy("tag", "field").orderBy("depth", "field_order", "origin"))
-    return own.unionByName(inherited).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return every.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def tag_graph(cat: Catalog) -> DataFrame:
@@ -138,7 +146,7 @@ def audit(cat: Catalog) -> DataFrame:
 
 def paths_up(cat: Catalog, most: int = MOST_LEVELS) -> DataFrame:
     """(tag, path): each way from a tag to a root of the hierarchy, as ``tag > parent > ... > root``."""
-    edges = cat.tag_parents.select("child", "parent").distinct()
+    edges = materialize(cat.tag_parents.select("child", "parent").distinct())
     roots = edges.select(F.col("parent").alias("at")).join(edges.select(F.col("child").alias("at")), "at", "left_anti").distinct()
     level = edges.select(F.col("child").alias("tag"), F.col("parent").alias("at"), F.array("child", "parent").alias("path"))
     found = None
@@ -171,8 +179,8 @@ def below(cat: Catalog, tag: str) -> DataFrame:
 
 def topological(cat: Catalog, most: int = MOST_LEVELS) -> DataFrame:
     """(position, tag, level): parents before children; level is the longest way to a root, ties by name, cycles last."""
-    edges = cat.tag_parents.select("child", "parent").distinct()
-    every = tag_graph(cat).select("tag")
+    edges = materialize(cat.tag_parents.select("child", "parent").distinct())
+    every = materialize(tag_graph(cat).select("tag"))
     level = every.join(edges.select(F.col("child").alias("tag")), "tag", "left_anti").select("tag", F.lit(0).alias("level"))
     found = level
     for d in range(1, most + 1):

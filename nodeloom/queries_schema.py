@@ -32,9 +32,9 @@ def tag_order(c):
     return sc.topological(c)
 
 
-@star("SELECT field, tag, kind FROM tag_fields WHERE tag IN ('supplier', 'customer', 'party') QUALIFY row_number() OVER (PARTITION BY field ORDER BY CASE tag WHEN 'supplier' THEN 1 WHEN 'customer' THEN 2 ELSE 3 END, field_order) = 1")
+@star("SELECT field, tag, kind FROM tag_fields WHERE tag IN ('supplier', 'event', 'order', 'party') QUALIFY row_number() OVER (PARTITION BY field ORDER BY CASE tag WHEN 'supplier' THEN 1 WHEN 'event' THEN 2 WHEN 'order' THEN 3 ELSE 4 END, field_order) = 1")
 def merged_fields(c):
-    return sc.merged_fields(c, ["supplier", "customer", "party"])
+    return sc.merged_fields(c, ["supplier", "event", "order", "party"])
 
 
 @star(f"{_USES} SELECT split_part(tag, '_', 1) AS name, tag FROM uses QUALIFY row_number() OVER (PARTITION BY split_part(tag, '_', 1) ORDER BY parents DESC, fields DESC, tag) = 1")

@@ -3,7 +3,8 @@
 Structural nodes follow conventions of the export format (fixed values): a tuple node whose
 children begin with the marker ``SYS_A13`` states tags; under a tag's or attribute's own
 metanode the second child ``SYS_T01`` defines a tag and ``SYS_T02`` an attribute; any
-other tuple is ``[attribute, value...]``.  Everything is a join on ids or owners.
+other tuple is ``[attribute, value...]``, where the attribute is a node or one of SYSTEM_FIELDS.  Everything is a join
+on ids or owners.  What tags and attributes declare is in ``export_schema``, transcripts are in ``export_transcripts``.
 """
 
 from __future__ import annotations
@@ -14,11 +15,18 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..functions.text import inline_references, value_type
 from ..operators.graph import climb
+from ..storage import materialize
 
-DOC = "id string, props struct<created:bigint,name:string,_ownerId:string,_docType:string,_done:string>, children array<string>, modifiedTs string"
+DOC = "id string, props struct<created:bigint,name:string,_ownerId:string,_docType:string,_done:string,_sourceId:string,description:string,_color:string>, children array<string>, modifiedTs string"
 _DOCS = f"array<struct<{DOC.replace(' string', ':string').replace('props struct', 'props:struct').replace('children array', 'children:array')}>>"
 EXPORT = f"formatVersion bigint, docs {_DOCS}, storeData struct<docs:{_DOCS}>"
 TAG_MARK, TAG_DEFINITION, FIELD_DEFINITION, MOST_VALUES = "SYS_A13", "SYS_T01", "SYS_T02", 50
+#: Attributes that have a mark instead of a node (fixed values).
+SYSTEM_FIELDS = {
+    "SYS_A13": "Tag", "SYS_A61": "Due date", "SYS_A90": "Date", "SYS_A142": "Attendees", "SYS_T01": "Supertag", "SYS_T02": "Field", "SYS_T03": "Option value",
+    "SYS_A15": "Search expression", "SYS_A144": "Search title", "SYS_A130": "Entity type", "SYS_A150": "Speaker", "SYS_A199": "Transcript",
+    "SYS_A252": "Transcript speaker", "SYS_A253": "Start time", "SYS_A254": "End time", "SYS_A12": "System reference", "SYS_A16": "Default value", "SYS_A20": "Field reference",
+}
 #: Tuples within tuples beyond this depth are taken for a cycle.
 MOST_NESTED = 1 << 16
 
@@ -57,18 +65,27 @@ def live(docs: DataFrame) -> DataFrame:
     return docs.filter(~trash).join(below, "id", "left_anti")
 
 
+def flatten(docs: DataFrame) -> DataFrame:
+    """(id, name, created, owner, kind, source, description, color, children, updated) of docs(id, props, children, modifiedTs); what an export leaves out is null."""
+    known = {f.name for f in docs.schema["props"].dataType.fields}
+    prop = lambda key, name: (F.col(f"props.{key}") if key in known else F.lit(None).cast("string")).alias(name)
+    updated = F.regexp_extract("modifiedTs", r"(\d+)", 1).try_cast("bigint").alias("updated")
+    return docs.select("id", prop("name", "name"), prop("created", "created"), prop("_ownerId", "owner"), prop("_docType", "kind"), prop("_sourceId", "source"), prop("description", "description"), prop("_color", "color"), "children", updated)
+
+
 def build(docs: DataFrame) -> Catalog:
     """The catalog of an export's docs(id, props, children, modifiedTs)."""
-    docs = live(docs)
-    flat = docs.select("id", F.col("props.name").alias("name"), F.col("props.created").alias("created"), F.col("props._ownerId").alias("owner"), F.col("props._docType").alias("kind"), "children", F.regexp_extract("modifiedTs", r"(\d+)", 1).try_cast("bigint").alias("updated"))
+    flat = flatten(live(docs))
+    docs = flat
     child = docs.select(F.col("id").alias("parent_id"), F.posexplode("children").alias("position", "id"))
     parent = child.groupBy("id").agg(F.max_by("parent_id", F.struct("parent_id", "position")).alias("parent_id"))
-    tuples = flat.filter("kind = 'tuple'").select(F.col("id").alias("tuple_id"), "owner", "children")
+    tuples = flat.filter("kind = 'tuple'").select(F.col("id").alias("tuple_id"), "owner", "children", (F.coalesce(F.col("name") == "Values", F.lit(False)) | F.coalesce(F.col("source") == "SYS_A02", F.lit(False))).alias("of_schema"))
     marked = tuples.filter(F.array_contains("children", TAG_MARK))
     owners = flat.select(F.col("id").alias("_id"), F.col("owner").alias("data_id"))
     on_data = marked.join(owners, marked.owner == owners._id).select("tuple_id", "data_id", "children")
     defined = lambda mark: on_data.filter(F.array_contains("children", mark)).select(F.col("data_id").alias("id")).distinct()
-    tag_names = flat.join(defined(TAG_DEFINITION), "id", "left_semi").select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
+    tag_ids = defined(TAG_DEFINITION).unionByName(flat.filter("kind = 'tagDef'").select("id")).distinct()
+    tag_names = flat.join(tag_ids, "id", "left_semi").select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
     applied = on_data.filter(~F.array_contains("children", TAG_DEFINITION) & ~F.array_contains("children", FIELD_DEFINITION)).select(F.col("data_id").alias("id"), F.explode("children").alias("tag_id"))
     tags = applied.join(tag_names, "tag_id").select("id", "tag").distinct()
     stated = on_data.filter(F.array_contains("children", TAG_DEFINITION)).select(F.col("data_id").alias("tag_id"), F.explode("children").alias("parent_tag"))
@@ -86,11 +103,16 @@ def build(docs: DataFrame) -> Catalog:
 
 
 def field_values(flat: DataFrame, tuples: DataFrame) -> DataFrame:
-    """(id, field, value, value_order, value_id) of the tuples ``[attribute, value...]``; tuples below tuples, at any depth, belong to the node above all."""
-    plain = tuples.filter(~F.array_contains("children", TAG_MARK) & F.size("children").between(2, MOST_VALUES))
+    """(id, field, value, value_order, value_id) of the tuples ``[attribute, value...]``; tuples below tuples, at any depth, belong to the node above all.
+
+    Tuples that list an attribute's options or state its type hold no values.
+    """
+    plain = tuples.filter(~F.col("of_schema") & ~F.array_contains("children", TAG_MARK) & F.size("children").between(2, MOST_VALUES))
     placed = plain.join(tuple_owner(tuples), "tuple_id").select("tuple_id", "id", "children")
-    label = flat.select(F.col("id").alias("label_id"), F.col("name").alias("field"))
-    each = placed.withColumn("label_id", F.get("children", F.lit(0))).join(label, "label_id").select("id", "tuple_id", "field", F.posexplode(F.slice("children", 2, MOST_VALUES)).alias("position", "value_id"))
+    label = flat.select(F.col("id").alias("label_id"), F.col("name").alias("label"))
+    system = F.create_map(*[F.lit(x) for pair in SYSTEM_FIELDS.items() for x in pair])
+    named = placed.withColumn("label_id", F.get("children", F.lit(0))).join(label, "label_id", "left").withColumn("field", F.coalesce("label", system[F.col("label_id")]))
+    each = named.filter("field IS NOT NULL").select("id", "tuple_id", "field", F.posexplode(F.slice("children", 2, MOST_VALUES)).alias("position", "value_id"))
     value = flat.select(F.col("id").alias("value_id"), F.col("name").alias("value"))
     order = F.row_number().over(Window.partitionBy("id", "field").orderBy("tuple_id", "position")) - 1
     kept = each.join(value, "value_id").filter("trim(coalesce(value, '')) <> ''")
@@ -105,9 +127,23 @@ def tuple_owner(tuples: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("tuple_id"), F.col("ancestor").alias("id"))
 
 
-def option_values(cat: Catalog, name: str = "Values") -> DataFrame:
-    """(id, option): the distinct options that an attribute's definition lists."""
-    return cat.fields.filter(F.col("field") == name).select("id", F.col("value").alias("option")).distinct()
+def nested_text(flat: DataFrame, ids: DataFrame, depth: int = 2) -> DataFrame:
+    """(id, text) of ``ids(id)``: a node's name and below it the names of its children, in order, line by line to ``depth`` levels; nodes without any are left out.
+
+    ``flat(id, name, children)``.  First the nodes below are found, level by level, then the texts are joined from the lowest level up.
+    """
+    down = flat.select(F.col("id").alias("above"), F.posexplode("children").alias("place", "id"))
+    levels = [ids.select("id").distinct()]
+    for _ in range(depth):
+        levels.append(materialize(down.join(levels[-1].select(F.col("id").alias("above")), "above", "left_semi").select("id").distinct()))
+    names = flat.select("id", F.when(F.col("name") != "", F.col("name")).alias("name"))
+    text = names.join(levels[-1], "id", "left_semi").select("id", F.col("name").alias("text"))
+    for level in reversed(levels[:-1]):
+        each = down.join(level.select(F.col("id").alias("above")), "above", "left_semi").join(text.filter("text <> ''"), "id")
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+        below = each.groupBy(F.col("above").alias("id")).agg(F.array_join(parts, "\n").alias("below"))
+        text = materialize(names.join(level, "id", "left_semi").join(below, "id", "left").select("id", F.concat_ws("\n", "name", "below").alias("text")))
+    return text.filter("text <> ''")
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
