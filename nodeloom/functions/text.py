@@ -130,8 +130,9 @@ def tokens(c: Column) -> Column:
 
 
 def hit_key(name: Column, tags: Column) -> Column:
-    """Key by which hits count as the same: name without case and blanks, and the tags in order."""
-    return F.concat_ws("|", F.lower(F.trim(F.regexp_replace(name, r"\s+", " "))), F.array_join(F.array_sort(tags), ","))
+    """Key by which hits count as the same: the name without case, leading bullet and brackets, and the tags in order."""
+    plain = F.regexp_replace(F.regexp_replace(name, r"^\s*-?\s*", ""), r"\[\[|\]\]", "")
+    return F.concat_ws("|", F.lower(F.trim(plain)), F.array_join(F.array_sort(tags), ","))
 
 
 def context_text(name: Column, ancestor: Column, tag: Column, fields: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_query, words
+from ..functions.text import hit_key, normalize_query, words
+from ..storage import materialize
 
 K1, B = 1.2, 0.75
 #: Slices of a group that are pruned by themselves.
@@ -141,8 +142,8 @@ def transcript_search(lines: DataFrame, terms: Sequence[str]) -> DataFrame:
     return hits.select("conv_id", "turn", "role", "text").join(hits.groupBy("conv_id").agg(F.count("*").alias("matches")), "conv_id")
 
 
-#: Queries that candidates may be looked up for at once; each name is compared with each of their words.
-MOST_QUERIES = 10_000
+#: Keys (a word and a gram) that may be broadcast; beyond, the join is a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def match_phrase(docs: DataFrame, phrase: str, text: str = "text") -> DataFrame:
@@ -176,6 +177,30 @@ def bm25_indexed(index: DataFrame, size: DataFrame, terms: Sequence[str], ident:
     return out.orderBy(F.desc("score"), ident).limit(limit) if limit else out
 
 
+def least_score(text: str | None) -> float | None:
+    """A least similarity from text: a whole number above 1 is a percentage; 0 to 1 at the ends; None if it is no number."""
+    try:
+        value = float(text.strip().rstrip("%"))
+    except (AttributeError, ValueError):
+        return None
+    return max(0.0, min(1.0, value / 100 if value > 1 and "." not in text else value))
+
+
+def semantic_search(hits: DataFrame, nodes: DataFrame, limit: int = 20, least: float | None = None, tag: str | None = None, trash: DataFrame | None = None) -> DataFrame:
+    """(id, name, similarity, tags) of the best ``hits(id, similarity)`` among ``nodes(id, name, tags)``.
+
+    Before the cut: hits below ``least``, without a name, without the asked tag, in ``trash(id)`` and bare references are dropped,
+    and of hits with one name and the same tags the best stays.
+    """
+    rows = hits if least is None or least <= 0 else hits.filter(F.col("similarity") >= least)
+    rows = rows.join(nodes, "id").filter("trim(coalesce(name, '')) <> ''")
+    rows = rows if tag is None else rows.filter(F.array_contains("tags", tag))
+    rows = rows if trash is None else rows.join(trash.select("id").distinct(), "id", "left_anti")
+    rows = rows.filter(~(F.col("name").contains("[[") & F.col("name").contains("]]")))
+    best = rows.groupBy(hit_key(F.col("name"), F.col("tags")).alias("_key")).agg(F.min(F.struct((-F.col("similarity")).alias("far"), "id", "name", "tags")).alias("x"))
+    return best.select("x.id", "x.name", (-F.col("x.far")).alias("similarity"), "x.tags").orderBy(F.desc("similarity"), "id").limit(limit)
+
+
 def enrich_hits(hits: DataFrame, key: str, score: str, ident: str, limit: int) -> DataFrame:
     """Hits whose name is no bare reference, the best of each key, the first ``limit`` of them."""
     shown = hits.filter(~(F.col("name").contains("[[") & F.col("name").contains("]]")))
@@ -191,31 +216,58 @@ def variants(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(F.array_distinct(F.array_compact(F.array("query", turned, swapped)))).alias("variant"))
 
 
-def candidates(queries: DataFrame, nodes: DataFrame, tag: str | None = None, limit: int = 100, short: bool = False) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(text, i, F.lit(size))))
+
+
+def containing(words_: DataFrame, names: DataFrame) -> DataFrame:
+    """(w, id) of ``names(id, l)`` whose text holds a word of ``words_(w)``, of two characters or more, anywhere.
+
+    A text that holds a word holds all its runs of three characters (the word itself, if it has two), so one of them, the one that
+    the fewest texts hold, finds all; the text decides.  Of the texts' runs only those that words have are shuffled.
+    """
+    w = words_.select("w").filter("length(w) >= 2").distinct()
+    parts = w.select("w", F.explode(F.when(F.length("w") == 2, F.array("w")).otherwise(_grams(F.col("w"), 3))).alias("g"))
+    grams = materialize(parts.select("g").distinct())
+    few = F.broadcast(grams) if grams.count() <= BROADCAST_KEYS else grams
+    every = names.select("id", F.explode(F.array_union(_grams(F.col("l"), 2), _grams(F.col("l"), 3))).alias("g"))
+    held = materialize(every.join(few, "g", "left_semi"))
+    rare = held.groupBy("g").agg(F.count("*").alias("n"))
+    key = parts.join(rare, "g", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).filter("x.n > 0").select("w", "x.g")
+    met = held.join(key, "g").select("w", "id").join(names.select("id", "l"), "id")
+    return met.filter(F.col("l").contains(F.col("w"))).select("w", "id")
+
+
+def candidates(queries: DataFrame, nodes: DataFrame, tag: str | None = None, limit: int = 100, short: bool = False, semantic: DataFrame | None = None) -> DataFrame:
     """(query, id, name, confidence, how) of ``nodes(id, name, tags, entity)`` for ``queries(query)``, the best way to each node.
 
     Exact names have 1.0.  Others must hold a word (two characters or more) of a variant of the query; of these the
     ``limit`` closest by edit distance count, a tenth more with the asked tag, half as much for entities, 0.95 at most.
-    Queries under three characters have none unless a tag is given or ``short`` is set.
+    semantic: ``(query, id, similarity)`` of vectors, which count by ``semantic_confidence``.
+    Queries under three characters have none unless a tag is given or ``short`` is set.  Any number of queries may be asked.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
     asked = variants(queries).withColumn("q", normalize_query(F.col("variant"))).filter("q <> ''")
     own = normalize_query(F.col("query"))
     asked = asked if short or tag else asked.filter(F.length(own) >= 3)
-    named = nodes.filter("name IS NOT NULL").withColumn("n", normalize_query(F.col("name")))
+    named = nodes.filter("name IS NOT NULL").withColumn("n", normalize_query(F.col("name"))).withColumn("l", F.lower("name"))
     if tag is not None:
         named = named.filter(F.exists("tags", lambda t: F.lower(t) == tag.lower()))
     exact = asked.join(named, asked.q == named.n).select("query", "id", "name", F.lit(1.0).alias("confidence"), F.lit("exact").alias("how"))
-    word = asked.select("query", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("w")).filter("length(w) >= 2")
-    pairs = named.join(F.broadcast(word), F.lower("name").contains(F.col("w"))).select("query", "q", "id", "name", "entity").distinct()
-    distance = F.levenshtein("q", F.lower("name"))
+    word = materialize(asked.select("query", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("w")).filter("length(w) >= 2"))
+    pairs = word.join(containing(word, named), "w").select("query", "q", "id").distinct().join(named.select("id", "name", "l", "entity"), "id")
+    distance = F.levenshtein("q", "l")
     close = 1 - distance / F.greatest(F.length("q"), F.length("name")) + (0.1 if tag else 0.0) + F.when(F.col("entity"), 0.05).otherwise(0.0)
     rank = F.row_number().over(Window.partitionBy("query", "q").orderBy("distance", "id"))
     fuzzy = pairs.withColumn("distance", distance).withColumn("_r", rank).filter(F.col("_r") <= limit)
     fuzzy = fuzzy.select("query", "id", "name", F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.0), close)), 6).alias("confidence"), F.lit("fuzzy").alias("how"))
+    every = exact.unionByName(fuzzy)
+    if semantic is not None:
+        meant = semantic.join(named.select("id", "name"), "id").select("query", "id", "name", F.round(semantic_confidence(F.col("similarity")), 6).alias("confidence"), F.lit("semantic").alias("how"))
+        every = every.unionByName(meant)
     best = F.max(F.struct("confidence", "how", "name")).alias("x")
-    return exact.unionByName(fuzzy).filter("confidence > 0").groupBy("query", "id").agg(best).select("query", "id", "x.name", "x.confidence", "x.how")
+    return every.filter("confidence > 0").groupBy("query", "id").agg(best).select("query", "id", "x.name", "x.confidence", "x.how")
 
 
 def content_candidates(nodes: DataFrame, entity: Column, system: Sequence[str], least: int = 15) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .catalog import STAR_SQL
 from .operators import fulltext as ft
 from .operators import incremental as inc
-from .queries import _WORDS, EVENTS_FROM, ORACLE_SQL, QUERIES, _bm25_sql, catalog_of
+from .operators import vectors as vx
+from .queries import _VECTORS, _WORDS, EVENTS_FROM, ORACLE_SQL, QUERIES, QUERY_VECTOR, _bm25_sql, catalog_of
 from .sources import export_json as ex
 from .sources.store import Store
 from .storage import materialize, shared_dir
@@ -200,3 +201,38 @@ ORACLE_SQL |= {
     "fts_created": _searched("order", "created > 883612800000 AND created < 915148800000", " ORDER BY score DESC, id LIMIT 50"),
     "fts_updated": _searched("purchase", f"updated > {EVENTS_FROM + 86400000} AND updated < {EVENTS_FROM + 10 * 86400000}"),
 }
+
+
+# A stored index of vectors
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> Store:
+    def build(path: str) -> Store:
+        index = vx.store(spark, path)
+        vx.build(index, spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("tag")), 64)
+        return index
+
+    return stored(spark, sf_dir, "vectors", build)
+
+
+def vec_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors most like one, from the cells that can hold them."""
+    return vx.search(_vectors(spark, sf_dir), QUERY_VECTOR, 10).withColumnRenamed("id", "vec_id")
+
+
+def vec_indexed_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among the vectors with a tag, which are told apart before the cut."""
+    return vx.search(_vectors(spark, sf_dir), QUERY_VECTOR, 10, tag="3").withColumnRenamed("id", "vec_id")
+
+
+def vec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: vectors in the cells, which hold every one."""
+    return _vectors(spark, sf_dir).read("cells").agg(F.sum("n").alias("vectors"))
+
+
+QUERIES |= {f.__name__: f for f in (vec_indexed_topk, vec_indexed_tag, vec_cells)}
+ORACLE_SQL |= {
+    "vec_indexed_topk": f"SELECT vec_id, similarity FROM {_VECTORS} ORDER BY similarity DESC, vec_id LIMIT 10",
+    "vec_indexed_tag": f"SELECT vec_id, similarity FROM {_VECTORS} WHERE label = 3 ORDER BY similarity DESC, vec_id LIMIT 10",
+    "vec_cells": "SELECT count(*) AS vectors FROM embeddings",
+}

@@ -12,7 +12,7 @@ from .operators import query as q
 from .operators import search as se
 from .operators import table as tb
 from .plans.predicates import structured
-from .queries import _JOINED, _VIA, _WORDS, EVENTS_FROM, NUMBER, ORDERS_AS_OF, _found, _ids, _pairs, _value, star, table
+from .queries import _JOINED, _VECTORS, _VIA, _WORDS, QUERY_VECTOR, EVENTS_FROM, NUMBER, ORDERS_AS_OF, _found, _ids, _pairs, _value, star, table
 
 # Filters and projections
 
@@ -156,10 +156,23 @@ def resolve_candidates(c):
     return se.candidates(asked, _named(c), limit=20)
 
 
-@table("SELECT vec_id, round(CASE WHEN s < 0.5 THEN 0 ELSE least(0.95, (s - 0.5) * 1.9) END, 6) AS confidence FROM (SELECT vec_id, abs(round(embedding[1]::double, 6)) * 3 AS s FROM embeddings)")
+@table(f"SELECT vec_id, floor(CASE WHEN s < 0.5 THEN 0 ELSE least(0.95, (s - 0.5) * 1.9) END * 1000000)::bigint AS millionths FROM (SELECT vec_id, (similarity + 1) / 2 AS s FROM {_VECTORS})")
 def semantic_confidence(t):
-    s = F.abs(F.round(F.col("embedding")[0].cast("double"), 6)) * 3
-    return t("embeddings").select("vec_id", F.round(se.semantic_confidence(s), 6).alias("confidence"))
+    """Confidence by the similarity to a vector, moved to 0 to 1."""
+    hits = se.nearest(t("embeddings"), QUERY_VECTOR, "vec_id", "embedding", None)
+    return hits.select("vec_id", F.floor(se.semantic_confidence((F.col("similarity") + 1) / 2) * 1000000).alias("millionths"))
+
+
+_KEYED = r"lower(trim(regexp_replace(regexp_replace(text, '^\s*-?\s*', ''), '\[\[|\]\]', '', 'g'))) || '|' || array_to_string(list_sort([lang, source]), ',')"
+
+
+@table(f"SELECT doc_id, similarity FROM (SELECT d.doc_id, v.similarity, {_KEYED} AS k FROM {_VECTORS} v JOIN documents d ON d.doc_id = v.vec_id WHERE v.similarity >= 0.05 AND trim(text) <> '' AND lang = 'en' AND d.doc_id % 7 <> 0 AND NOT (contains(text, '[[') AND contains(text, ']]')) QUALIFY row_number() OVER (PARTITION BY k ORDER BY similarity DESC, d.doc_id) = 1) ORDER BY similarity DESC, doc_id LIMIT 15")
+def semantic_hits(t):
+    """Documents by their vectors: least similarity, tag, trash, references and repeated names are dealt with before the cut."""
+    hits = se.nearest(t("embeddings"), QUERY_VECTOR, "vec_id", "embedding", None).withColumnRenamed("vec_id", "id")
+    nodes = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.array("lang", "source").alias("tags"))
+    trash = t("documents").filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
+    return se.semantic_search(hits, nodes, 15, se.least_score("5"), "en", trash).select(F.col("id").alias("doc_id"), "similarity")
 
 
 @table("SELECT lang, doc_id, n_chars AS score FROM documents WHERE text IS NOT NULL AND NOT (contains(text, '[[') AND contains(text, ']]')) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) = 1 ORDER BY n_chars DESC, doc_id LIMIT 3")
