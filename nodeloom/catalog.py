@@ -41,6 +41,8 @@ class Catalog:
     ends: bool = False
     targets: dict[str, str] = dataclass_field(default_factory=dict)
     tag_of: Callable[[Column], Column] | None = None
+    #: (id, text, tag) of all nodes of the tags whose names are only the beginnings of texts.
+    long_texts: DataFrame | None = None
 
     def tagged(self, tag: str) -> DataFrame:
         """Nodes with a tag."""
@@ -48,6 +50,15 @@ class Catalog:
             return self.nodes.filter(F.col("tag") == tag)
         return self.nodes.join(self.tags.filter(F.col("tag") == tag).select("id"), "id", "left_semi")
 
+    @property
+    def texts(self) -> DataFrame:
+        """(id, name, tag) of all nodes with their whole texts as names."""
+        if self.long_texts is None:
+            return self.nodes.select("id", "name", "tag")
+        whole = self.long_texts.select("id", F.col("text").alias("name"), "tag")
+        held = [r.tag for r in whole.select("tag").distinct().collect()]  # a few names
+        return self.nodes.filter(~F.col("tag").isin(held)).select("id", "name", "tag").unionByName(whole)
+
     def kinds_of(self, ids: DataFrame) -> list[str] | None:
         """The primary tags of ``ids(id)``, where ids tell them: a few names, for which ``ids`` is read once."""
         if not self.ends or self.tag_of is None:
@@ -157,7 +168,7 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     tag_parents = union([spark.createDataFrame(TAG_PARENTS, "child string, parent string"), below(orders, "o_orderstatus", "order"), below(events, "event_type", "event")])
     keys = events.select(F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("k")).distinct()
     tag_fields = spark.createDataFrame(TAG_FIELDS, "tag string, field string, field_order int, kind string").union(keys.select(F.lit("event"), F.upper("k"), F.lit(2), F.lit("number")))
-    return Catalog(nodes, tags, fields, links, tag_parents, tag_fields, PRIMARY, True, TARGETS, lambda c: F.substring_index(c, ":", 1))
+    return Catalog(nodes, tags, fields, links, tag_parents, tag_fields, PRIMARY, True, TARGETS, lambda c: F.substring_index(c, ":", 1), t("documents").select(_ident("document", "doc_id").alias("id"), "text", F.lit("document").alias("tag")))
 
 
 def _star_sql() -> str:

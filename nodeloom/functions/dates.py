@@ -79,3 +79,17 @@ def resolve_range(first: int | None, last: int | None, as_of_ms: int, days: int
         last = as_of_ms
         notes.append("the end lay in the future")
     return min(first, last), last, notes
+
+
+def human_date(ms: Column) -> Column:
+    """``Dec 17, 2025``."""
+    return F.date_format(F.timestamp_millis(ms), "MMM d, yyyy")
+
+
+def relative_date(ms: Column, as_of_ms: int) -> Column:
+    """How long ago up to seven days (``just now``, ``5 minutes ago``, ``yesterday``), else the date."""
+    gone = F.lit(as_of_ms) - ms
+    whole = lambda unit: F.floor(gone / unit)
+    said = lambda n, one, many: F.when(n == 1, one).otherwise(F.concat(n.cast("string"), F.lit(f" {many} ago")))
+    minutes, hours, days = whole(60_000), whole(3_600_000), whole(86_400_000)
+    return F.when(whole(1000) < 60, "just now").when(minutes < 60, said(minutes, "1 minute ago", "minutes")).when(hours < 24, said(hours, "1 hour ago", "hours")).when(days <= 7, said(days, "yesterday", "days")).otherwise(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"))

@@ -110,8 +110,20 @@ def clock(seconds: Column) -> Column:
 
 def human_bytes(c: Column) -> Column:
     """Bytes in the largest unit below 1024, one decimal beyond bytes."""
-    scaled = lambda k, unit: F.concat(F.format_number(c / 1024**k, 1), F.lit(f" {unit}"))
-    return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024**2, scaled(1, "KB")).when(c < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
+    out = F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = out.when(c < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", c / 1024**k))
+    return out.otherwise(F.format_string("%.1f TB", c / 1024**4))
+
+
+def human_number(c: Column) -> Column:
+    """A whole number with its thousands set apart."""
+    return F.format_number(c, 0)
+
+
+def human_percent(c: Column) -> Column:
+    """A share as percentage with one decimal."""
+    return F.format_string("%.1f%%", c.cast("double") * 100)
 
 
 def url_file(c: Column) -> Column:

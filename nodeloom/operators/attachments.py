@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import url_extension, url_file
+from ..sources.export_json import build
 
 ADDRESS = r"""https?://[^\s"'<>)]+"""
 
@@ -28,3 +29,14 @@ def scan(nodes: DataFrame, tags: DataFrame, wanted: Sequence[str] | None = None,
 def by(found: DataFrame, key: Column, name: str) -> DataFrame:
     """Attachments per key (extension, host, a tag)."""
     return found.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
+
+
+def scan_export(docs: DataFrame, wanted: Sequence[str] | None = None, extensions: Sequence[str] | None = None) -> DataFrame:
+    """``scan`` of an export's nodes (id, props, children, modifiedTs) and the tags that it applies to them."""
+    cat = build(docs)
+    return scan(cat.nodes, cat.tags, wanted, extensions)
+
+
+def by_tag(found: DataFrame) -> DataFrame:
+    """(tag, n): attachments of nodes with a tag, or below one."""
+    return found.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

@@ -65,6 +65,12 @@ def freshness(items: DataFrame, as_of_ms: int, days: int = 30) -> DataFrame:
     return items.select("id", age.alias("age_days"), F.coalesce(age > days, F.lit(True)).alias("stale"))
 
 
+def linked_freshness(items: DataFrame, links: DataFrame, activity: DataFrame, as_of_ms: int, days: int = 30) -> DataFrame:
+    """``freshness`` of ``items(id, at)`` that also count as active when something they link to was: ``links(id, target)``, ``activity(target, at)``."""
+    seen = links.join(activity.withColumnRenamed("at", "_at"), "target").groupBy("id").agg(F.max("_at").alias("_at"))
+    return freshness(items.join(seen, "id", "left").select("id", F.greatest("at", "_at").alias("at")), as_of_ms, days)
+
+
 #: Tables of a stored index: columns, and the column with the owner of a row.
 INDEX: dict[str, tuple[str, str]] = {
     "nodes": ("id string, name string, parent_id string, created long, updated long, tag string", "id"),

@@ -270,7 +270,11 @@ def candidates(queries: DataFrame, nodes: DataFrame, tag: str | None = None, lim
     return every.filter("confidence > 0").groupBy("query", "id").agg(best).select("query", "id", "x.name", "x.confidence", "x.how")
 
 
+def worth_a_vector(name: Column, tag: Column, entity: Column, system: Sequence[str], least: int = 15) -> Column:
+    """Long enough a name or an entity, no date of zero time, no bare reference, no system kind."""
+    return name.isNotNull() & ((F.length(name) >= least) | entity) & ~name.startswith("1970-01-01") & ~(name.contains("[[") & name.contains("]]")) & ~tag.isin(list(system))
+
+
 def content_candidates(nodes: DataFrame, entity: Column, system: Sequence[str], least: int = 15) -> DataFrame:
-    """Nodes worth a vector: long enough a name or an entity, no date of zero time, no bare reference, no system kind (``tag``)."""
-    name = F.col("name")
-    return nodes.filter(name.isNotNull() & ((F.length(name) >= least) | entity) & ~name.startswith("1970-01-01") & ~(name.contains("[[") & name.contains("]]")) & ~F.col("tag").isin(list(system)))
+    """Nodes (name, tag, ...) that are worth a vector."""
+    return nodes.filter(worth_a_vector(F.col("name"), F.col("tag"), entity, system, least))

@@ -681,11 +681,15 @@ def attachments(t):
 # Content filters, context, incremental
 
 
-@star("SELECT tag, count(*) AS n, count(*) FILTER (name IS NOT NULL AND length(name) >= 15 AND NOT (contains(name, '[[') AND contains(name, ']]')) AND name NOT LIKE '1970-01-01%') AS kept FROM nodes GROUP BY tag")
+#: Nodes with their whole texts: documents are named by their beginning only.
+_WHOLE = ", whole AS (SELECT id, name, tag FROM nodes WHERE tag <> 'document' UNION ALL SELECT 'document:' || doc_id, text, 'document' FROM documents)"
+
+
+@star(f"{_WHOLE} SELECT tag, count(*) AS n, count(*) FILTER (name IS NOT NULL AND length(name) >= 15 AND NOT (contains(name, '[[') AND contains(name, ']]')) AND name NOT LIKE '1970-01-01%') AS kept FROM whole GROUP BY tag")
 def content_filter(c):
     name = F.col("name")
     kept = name.isNotNull() & (F.length(name) >= 15) & ~(name.contains("[[") & name.contains("]]")) & ~name.startswith("1970-01-01")
-    return c.nodes.groupBy("tag").agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"))
+    return c.texts.groupBy("tag").agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"))
 
 
 @star("SELECT count(*) AS total, count(*) FILTER (id IN (SELECT id FROM tags WHERE tag LIKE '%\\_%' ESCAPE '\\')) AS tagged, count(*) FILTER (parent_id IS NULL) AS roots FROM nodes")
@@ -758,7 +762,7 @@ UNION ALL SELECT k.source, k.r, k.id, g.used + k.tokens <= 4000, g.used + CASE W
 SELECT source, max(used) OVER (PARTITION BY source) AS used, (row_number() OVER (PARTITION BY source ORDER BY r) - 1)::int AS position, id FROM g WHERE fits""")
 def context_budget(t):
     score = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 1000 / 1000
-    items = t("documents").select("source", F.col("doc_id").cast("string").alias("id"), score.alias("score"), F.ceil(F.length("text") / 4).alias("tokens"))
+    items = t("documents").select("source", F.col("doc_id").cast("string").alias("id"), score.alias("score"), tx.tokens(F.col("text")).alias("tokens"))
     return se.within_budget(items, 4000, "source")
 
 

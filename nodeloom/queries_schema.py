@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .operators import contents as co
@@ -10,6 +12,8 @@ from .operators import graph as gr
 from .operators import query as q
 from .operators import schema as sc
 from .queries import _FILL, _KEY, _SAME, _UP, _USES, EVENTS_TO, _start, star, table
+from .sources import formats
+from .storage import shared_dir
 
 
 @star(f"{_UP}, e AS (SELECT DISTINCT child, parent FROM tag_parents), w AS (SELECT child AS tag, parent AS top, child || ' > ' || parent AS path FROM e UNION ALL SELECT w.tag, e.parent, w.path || ' > ' || e.parent FROM w JOIN e ON e.child = w.top) SELECT tag, path FROM w WHERE top NOT IN (SELECT child FROM e)")
@@ -106,9 +110,11 @@ def field_count(c):
 
 @star("SELECT tag, to_json({'tag': tag, 'fields': list({'field': field, 'kind': kind} ORDER BY field_order, field)})::varchar AS line FROM tag_fields GROUP BY tag")
 def schema_cache(c):
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("field_order", "field", "kind"))), lambda x: F.struct(x["field"].alias("field"), x["kind"].alias("kind")))
-    rows = c.tag_fields.groupBy("tag").agg(entries.alias("fields"))
-    return rows.select("tag", F.to_json(F.struct("tag", "fields")).alias("line"))
+    """The cache as it is written and read again."""
+    path = f"{shared_dir(c.tag_fields.sparkSession)}/{uuid.uuid4().hex}"
+    formats.save_schema(c, path)
+    line = c.tag_fields.sparkSession.read.text(path).withColumnRenamed("value", "line")
+    return line.select(F.get_json_object("line", "$.tag").alias("tag"), "line")
 
 
 # Contents

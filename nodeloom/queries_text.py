@@ -12,7 +12,7 @@ from .operators import query as q
 from .operators import search as se
 from .operators import table as tb
 from .plans.predicates import structured
-from .queries import _JOINED, _VECTORS, _VIA, _WORDS, QUERY_VECTOR, EVENTS_FROM, NUMBER, ORDERS_AS_OF, _found, _ids, _pairs, _value, star, table
+from .queries import _JOINED, _VECTORS, _VIA, _WHOLE, _WORDS, QUERY_VECTOR, EVENTS_FROM, NUMBER, ORDERS_AS_OF, _found, _ids, _pairs, _value, star, table
 
 # Filters and projections
 
@@ -61,17 +61,17 @@ _SYSTEM = "('conv', 'region')"
 _KEPT = f"(name IS NOT NULL AND (length(name) >= 15 OR tag = 'nation') AND name NOT LIKE '1970-01-01%' AND NOT (contains(name, '[[') AND contains(name, ']]')) AND tag NOT IN {_SYSTEM})"
 
 
-@star(f"SELECT id FROM nodes WHERE tag <> 'document' AND {_KEPT}")
+@star(f"{_WHOLE} SELECT id FROM whole WHERE {_KEPT}")
 def content_candidates(c):
-    return se.content_candidates(c.nodes.filter("tag <> 'document'"), F.col("tag") == "nation", ("conv", "region"), 15).select("id")
+    return se.content_candidates(c.texts, F.col("tag") == "nation", ("conv", "region"), 15).select("id")
 
 
-@star(f"SELECT tag, count(*) AS total, count(*) FILTER (NOT {_KEPT}) AS dropped, round(100.0 * count(*) FILTER (NOT coalesce({_KEPT}, false)) / count(*), 1) AS percent FROM nodes WHERE tag <> 'document' GROUP BY tag ORDER BY total DESC, tag LIMIT 20")
+@star(f"{_WHOLE} SELECT tag, count(*) AS total, count(*) FILTER (NOT coalesce({_KEPT}, false)) AS dropped, round(100.0 * count(*) FILTER (NOT coalesce({_KEPT}, false)) / count(*), 1) AS percent FROM whole GROUP BY tag ORDER BY total DESC, tag LIMIT 20")
 def filter_stats(c):
-    rows = c.nodes.filter("tag <> 'document'")
-    kept = se.content_candidates(rows, F.col("tag") == "nation", ("conv", "region"), 15).select("id", F.lit(True).alias("kept"))
-    dropped = F.count_if(F.col("kept").isNull())
-    return rows.join(kept, "id", "left").groupBy("tag").agg(F.count("*").alias("total"), dropped.alias("dropped"), F.round(100.0 * dropped / F.count("*"), 1).alias("percent")).orderBy(F.desc("total"), "tag").limit(20)
+    rows = c.texts
+    kept = F.coalesce(se.worth_a_vector(F.col("name"), F.col("tag"), F.col("tag") == "nation", ("conv", "region"), 15), F.lit(False))
+    dropped = F.count_if(~kept)
+    return rows.groupBy("tag").agg(F.count("*").alias("total"), dropped.alias("dropped"), F.round(100.0 * dropped / F.count("*"), 1).alias("percent")).orderBy(F.desc("total"), "tag").limit(20)
 
 
 @star("SELECT bucket, start_ms, end_ms, count(*) AS n FROM (SELECT strftime(make_timestamp(created * 1000), '%Y') || '-Q' || quarter(make_timestamp(created * 1000)) AS bucket, epoch_us(date_trunc('quarter', make_timestamp(created * 1000))) // 1000 AS start_ms, epoch_us(date_trunc('quarter', make_timestamp(created * 1000)) + INTERVAL 3 MONTH) // 1000 AS end_ms FROM nodes WHERE tag = 'order') GROUP BY ALL")
@@ -103,10 +103,13 @@ def inline_resolved(t):
     return gr.resolve_inline(_mentioning(t, F.lit("")), names, "o_orderkey", "text")
 
 
-@table("SELECT event_id, (event_id % 7000) // 60 || ':' || lpad((event_id % 60 + 0)::varchar, 2, '0') AS clock, CASE WHEN event_id * 37 < 1024 THEN event_id * 37 || ' B' ELSE format('{:,.1f} KB', event_id * 37 / 1024) END AS size FROM (SELECT event_id % 6000 AS event_id FROM events)")
+_UNITS = "CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1024 ** 2 THEN printf('%.1f KB', b / 1024) WHEN b < 1024 ** 3 THEN printf('%.1f MB', b / 1024 ** 2) WHEN b < 1024 ** 4 THEN printf('%.1f GB', b / 1024 ** 3) ELSE printf('%.1f TB', b / 1024 ** 4) END"
+
+
+@table(f"SELECT event_id, (event_id % 6000) // 60 || ':' || lpad((event_id % 60)::varchar, 2, '0') AS clock, {_UNITS} AS size, format('{{:,}}', event_id * 1237) AS number FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 2 * event_id + 1 ELSE (event_id + 1) * (1000::bigint ** (event_id % 5))::bigint + 1 END AS b FROM events)")
 def formats(t):
-    e = t("events").select((F.col("event_id") % 6000).alias("event_id"))
-    return e.select("event_id", tx.clock(F.col("event_id")).alias("clock"), tx.human_bytes(F.col("event_id") * 37).alias("size"))
+    e = t("events").select("event_id", F.when(F.col("event_id") % 5 == 0, 2 * F.col("event_id") + 1).otherwise((F.col("event_id") + 1) * F.pow(F.lit(1000.0), F.col("event_id") % 5).cast("long") + 1).alias("b"))
+    return e.select("event_id", tx.clock(F.col("event_id") % 6000).alias("clock"), tx.human_bytes(F.col("b")).alias("size"), tx.human_number(F.col("event_id") * 1237).alias("number"))
 
 
 @star(f"SELECT n.id, 'Customer: ' || n.name || ' (in ' || p.name || ') ' || coalesce((SELECT string_agg(field || ': ' || value, ', ' ORDER BY field) FROM ({_JOINED}) v WHERE v.id = n.id), '') AS text FROM nodes n JOIN nodes p ON p.id = n.parent_id WHERE n.tag = 'customer'")

@@ -9,6 +9,8 @@ on ids or owners.  What tags and attributes declare is in ``export_schema``, tra
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,10 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("_metadata.file_path").alias("file"), F.inline(F.coalesce("docs", "storeData.docs")))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of exports with one node a line, which Spark splits; broken lines give no rows."""
+def read_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Nodes of exports with one node a line, which Spark splits; broken lines give no rows, or end the job if ``strict``."""
+    if strict:
+        return spark.read.schema(DOC).json(path, mode="FAILFAST").select(F.col("_metadata.file_path").alias("file"), "*").filter("id IS NOT NULL")
     rows = spark.read.schema(f"{DOC}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return rows.select(F.col("_metadata.file_path").alias("file"), "*").filter("id IS NOT NULL").drop("_corrupt")
 
@@ -58,6 +62,14 @@ def latest_file(spark: SparkSession, folder: str) -> str | None:
     return files.agg(F.max_by("path", F.struct(F.regexp_extract("path", r"@(\d{4}-\d{2}-\d{2})\.json$", 1), "path"))).first()[0]
 
 
+def latest_export(spark: SparkSession, folder: str) -> str | None:
+    """Name of the newest export in a folder, file or folder of parts, by the date in its name ``*@YYYY-MM-DD.json``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    dated = [(found[1], n) for n in names if (found := re.search(r"@(\d{4}-\d{2}-\d{2})\.json$", n))]
+    return max(dated)[1] if dated else None
+
+
 def live(docs: DataFrame) -> DataFrame:
     """Docs that are neither trash nor directly below it."""
     trash = F.col("id").contains("TRASH")
@@ -146,10 +158,21 @@ def nested_text(flat: DataFrame, ids: DataFrame, depth: int = 2) -> DataFrame:
     return text.filter("text <> ''")
 
 
-def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(category, id, content, confirmed, confirmed_at, tags) of a seed file's three lists of learnings."""
-    item = "array<struct<id:string,content:string,source:string,extractedAt:string,confirmedAt:string,confirmed:boolean,tags:array<string>>>"
-    learned = spark.read.schema(f"learned struct<patterns:{item},insights:{item},selfKnowledge:{item}>").json(path, multiLine=True)
+_ITEM = "array<struct<id:string,content:string,source:string,extractedAt:string,confirmedAt:string,confirmed:boolean,tags:array<string>>>"
+_SEED = f"learned struct<patterns:{_ITEM},insights:{_ITEM},selfKnowledge:{_ITEM}>"
+
+
+def _learnings(learned: DataFrame) -> DataFrame:
     parts = [learned.select(F.lit(c).alias("category"), F.inline(f"learned.{c}")) for c in ("patterns", "insights", "selfKnowledge")]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return every.select("category", "id", "content", "confirmed", F.col("confirmedAt").try_cast("timestamp").alias("confirmed_at"), "tags")
+
+
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """(category, id, content, confirmed, confirmed_at, tags) of a seed file's three lists of learnings."""
+    return _learnings(spark.read.schema(_SEED).json(path, multiLine=True))
+
+
+def read_seed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with one seed a line, which Spark splits."""
+    return _learnings(spark.read.schema(_SEED).json(path))

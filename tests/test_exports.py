@@ -90,3 +90,26 @@ def test_transcripts(spark):
     assert {(r.line_id, r.speaker, r.meeting) for r in et.search(docs, ["ROADMAP"]).collect()} == {("ln1", "Alice", "Weekly Sync")}
     assert {(r.line_id, r.meeting) for r in et.search(docs, ["roadmap"], whole_words=False).collect()} == {("ln1", "Weekly Sync"), ("ln3", None)}
     assert et.lines(docs.limit(0)).count() == 0
+
+
+def test_strict_lines(spark, tmp_path):
+    import json
+
+    import pytest
+
+    (tmp_path / "x.jsonl").write_text(json.dumps({"id": "a", "props": {"name": "one"}, "children": []}) + "\n{broken\n")
+    assert [r.id for r in ex.read_lines(spark, str(tmp_path)).collect()] == ["a"]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        ex.read_lines(spark, str(tmp_path), strict=True).collect()
+
+
+def test_json_array_is_json(spark, tmp_path):
+    import json
+
+    from nodeloom.sources import formats
+
+    df = spark.createDataFrame([(i, None if i % 2 else f"n{i}") for i in range(40)], "id long, name string").repartition(5)
+    for name, rows in (("many", df), ("none", df.limit(0))):
+        formats.write(rows, str(tmp_path / name), "json")
+        text = "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        assert sorted(x["id"] for x in json.loads(text)) == ([] if name == "none" else list(range(40)))
