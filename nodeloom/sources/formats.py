@@ -31,12 +31,12 @@ def write(df: DataFrame, path: str, kind: str, header: bool = True) -> None:
 
 
 def json_array(df: DataFrame) -> DataFrame:
-    """Lines of one JSON array, which the files hold one after another in the order of their names; the rows stay where they are."""
+    """Lines of one JSON array, which the files hold one after another in the order of their names; rows keep their order."""
     rows = materialize(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).withColumn("at", F.monotonically_increasing_id()))
     first = rows.agg(F.min("at")).first()[0]
     comma = F.when(F.col("at") == (-1 if first is None else first), "").otherwise(",")
     edge = lambda text: df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
-    return edge("[").unionByName(rows.select(F.concat(comma, "value").alias("value"))).unionByName(edge("]"))
+    return edge("[").unionByName(rows.orderBy("at").select(F.concat(comma, "value").alias("value"))).unionByName(edge("]"))
 
 
 def graph_json(cat: Catalog) -> DataFrame:
