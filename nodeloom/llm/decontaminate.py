@@ -10,12 +10,13 @@ value of the item always stands for one value in the document, wherever its wind
 match.  That also catches questions asked again with other numbers or names.
 
 All of it is DataFrame functions.  The benchmark's windows are broadcast only after their
-count is checked; beyond the bound both sides are shuffled by hash.  Documents are
-never shuffled as text.
+count is checked; beyond the bound both sides are shuffled by hash.  The ids of documents whose
+slots are looked at again are broadcast up to BROADCAST_DOCS; only beyond are documents shuffled as text.
 
 Edge cases: null and empty texts have no windows; an item shorter than a window is one
-window of its own length; repeated rows count once; null ids are left out; an empty table
-gives an empty result; other columns are ignored.
+window of its own length; repeated rows count once; null ids are left out; very long texts take all their
+windows; of alignments alike in windows the one by templates, then with fewer changed words, then of the smallest offset is
+returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .shared import materialize
 WINDOW, MIN_SHARE, MIN_RUN = 8, 0.8, 13
 #: Windows of the benchmark that may be broadcast (about 100 MB at most).
 BROADCAST_WINDOWS = 1_000_000
+#: Ids of documents that may be broadcast.
+BROADCAST_DOCS = 500_000
 #: Unit words (fixed values).
 UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs oz ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees".split()
 _NAME = r"([\p{Ll},;] )(\p{Lu}\p{Ll}+)"
@@ -117,6 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 def _inconsistent(docs: DataFrame, items: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
     """The alignments in whose matched windows one slot value of the item stands for several values in the document."""
     asked = pairs.select("doc_id").distinct()
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_DOCS else asked
     theirs = docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", words_of(F.col("text")).alias("theirs"))
     ours = items.select("item_id", words_of(F.col("text")).alias("ours"))
     both = pairs.join(theirs, "doc_id").join(ours, "item_id")

@@ -165,3 +165,17 @@ def test_fit_does_not_depend_on_the_order_of_rows(spark, make_docs):
     for fit in (ql.fit_quality, tx.fit_toxicity):
         a, b = (fit(d, labels) for d in (docs.coalesce(1).orderBy(F.desc("doc_id")), docs.repartition(5, "text", "doc_id")))
         assert a.bias == b.bias and np.array_equal(a.buckets, b.buckets) and np.array_equal(a.weights, b.weights)
+
+
+def test_clashing_columns_change_nothing(make_docs):
+    from nodeloom.llm import exact_substrings as xs
+    from nodeloom.llm import licenses as li
+    from nodeloom.llm import simhash as sh
+
+    texts = ["one two three four five six", "one two three four five six", "licensed under the MIT License", None]
+    docs = make_docs(texts)
+    more = docs.selectExpr("*", "1 AS fp", "'x' AS h", "2 AS cell", "'y' AS label", "3 AS node", "4 AS key", "5 AS at", "'z' AS spans", "6 AS name", "7 AS hash")
+    for run in (sh.classes, lambda d: li.scan(d, ["doc_id"]), xs.remove_repeats):
+        rows = lambda d: sorted(str(tuple(r[c] for c in ("doc_id", *[c for c in d.columns if c != "doc_id"]))) for r in d.collect())
+        a, b = run(docs), run(more)
+        assert set(a.columns) <= set(b.columns) and rows(a) == rows(b.select(*a.columns))

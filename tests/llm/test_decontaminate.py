@@ -52,3 +52,10 @@ def test_parts_and_copies_in_any_case(make_docs, bench):
     longer = changed.replace("stops", "stops slowly")
     got = found(make_docs([part, longer, ITEM.lower(), ITEM.upper(), "we saw a Short item here"]), bench)
     assert {k: r.reworded for k, r in got.items()} == {(0, 0): 1, (1, 0): 1, (2, 0): 0, (3, 0): 0, (4, 1): 0}
+
+
+def test_clashing_columns_are_ignored(spark, make_docs):
+    text = "What is the sum of the first 12 odd numbers that Alice wrote down on Monday morning"
+    docs = make_docs([text, "nothing of the kind here"]).selectExpr("*", "1 AS item_id", "'x' AS key", "2 AS at", "'y' AS template", "3 AS windows")
+    items = spark.createDataFrame([(5, text, "z")], "item_id long, text string, doc_id string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()] == [(0, 5)]
