@@ -26,7 +26,8 @@ def bm25(docs: DataFrame, terms: Sequence[str], ident: str = "id", text: str = "
     terms = sorted({t.lower() for t in terms})
     tokens = docs.select(F.col(ident), words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     count = lambda t: F.size(F.filter("w", lambda x: x == t)).cast("double")
-    rows = tokens.select(ident, F.size("w").cast("double").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # Two passes are made over what is counted, so the texts are taken apart once.
+    rows = materialize(tokens.select(ident, F.size("w").cast("double").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     hits = rows.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
     score: Column = F.lit(0.0)

@@ -83,7 +83,12 @@ def apply(cat: Catalog, nodes: DataFrame, where: Sequence[Where | AnyOf], as_of:
             if len(core) == len(w.of):
                 nodes = nodes.filter(reduce(Column.__or__, core))
             else:
-                ids = [apply(cat, nodes.select(*CORE), [x], as_of).select("id") for x in w.of]
+                # Attributes that fit give their owners at once; the nodes are read again for core columns and absent attributes only.
+                direct = [x for x in w.of if x.field not in CORE and x.negate == (x.op == "empty")]
+                ids = [_matches(cat, x) for x in direct]
+                if core:
+                    ids.append(nodes.filter(reduce(Column.__or__, core)).select("id"))
+                ids += [apply(cat, nodes.select(*CORE), [x], as_of).select("id") for x in w.of if x.field not in CORE and x not in direct]
                 nodes = nodes.join(reduce(DataFrame.unionByName, ids), "id", "left_semi")
         elif w.field in CORE:
             nodes = nodes.filter(_core(w, as_of))
