@@ -43,6 +43,8 @@ class Catalog:
     tag_of: Callable[[Column], Column] | None = None
     #: (id, text, tag) of all nodes of the tags whose names are only the beginnings of texts.
     long_texts: DataFrame | None = None
+    #: Attributes of tags with their kinds, as tables have read them.
+    columns: dict[str, list[tuple[str, str]]] = dataclass_field(default_factory=dict)
 
     def tagged(self, tag: str) -> DataFrame:
         """Nodes with a tag."""

@@ -26,16 +26,16 @@ def node_contents(cat: Catalog, rows: DataFrame, tag: str | None = None) -> Data
 
     tag: a primary tag that all rows have; attributes, tags and links of other nodes are not read.
     """
-    ids = rows.select("id")
+    ids = rows.select("id").distinct()
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value_order", "value"))), lambda x: x["value"]), ", ")
-    values = cat.of(cat.fields, tag).join(ids, "id", "left_semi").filter(meaningful(F.col("value"))).groupBy("id", "field").agg(joined.alias("value"))
+    values = cat.of(cat.fields, tag).join(ids, "id").filter(meaningful(F.col("value"))).groupBy("id", "field").agg(joined.alias("value"))
     fields = values.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("fields"))
-    tags = cat.of(cat.tags, tag).join(ids, "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    tags = cat.of(cat.tags, tag).join(ids, "id").groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     if tag is not None and cat.ends and tag in cat.primary:
         below = cat.of(cat.links, tag).filter("kind = 'child'").select(F.col("source").alias("parent_id"), F.col("target").alias("child"))
     else:
         below = cat.nodes.select(F.col("parent_id"), F.col("id").alias("child"))
-    below = below.join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    below = below.join(ids.select(F.col("id").alias("parent_id")), "parent_id")
     children = below.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list("child")).alias("children"))
     out = rows.select("id", F.coalesce("name", F.lit("(unnamed)")).alias("name"))
     for table in (fields, tags, children):

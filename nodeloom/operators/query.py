@@ -60,7 +60,8 @@ def hydrate(cat: Catalog, rows: DataFrame, names: Sequence[str] | None = None, t
     values = cat.of(cat.fields, tag)
     values = values if names is None else values.filter(F.lower("field").isin([n.lower() for n in names]))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value_order", "value"))), lambda x: x["value"]), ", ")
-    wanted = values.join(rows.select("id"), "id", "left_semi").groupBy("id", "field").agg(ordered.alias("value"))
+    # An inner join stays behind the union of attributes, where a semi join would be repeated in each of its branches.
+    wanted = values.join(rows.select("id").distinct(), "id").groupBy("id", "field").agg(ordered.alias("value"))
     maps = wanted.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
     return rows.join(maps, "id", "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
 

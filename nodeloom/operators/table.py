@@ -12,9 +12,11 @@ from .schema import all_fields
 
 
 def columns_of(cat: Catalog, tag: str) -> list[tuple[str, str]]:
-    """Attributes of a tag and its ancestors with their kinds; a few rows of schema, read to the driver."""
-    rows = all_fields(cat).filter(F.col("tag") == tag).orderBy("depth", "field_order", "field").collect()
-    return [(r.field, r.kind) for r in rows]
+    """Attributes of a tag and its ancestors with their kinds; a few rows of schema, read to the driver once per catalog."""
+    if tag not in cat.columns:
+        rows = all_fields(cat).filter(F.col("tag") == tag).orderBy("depth", "field_order", "field").collect()
+        cat.columns[tag] = [(r.field, r.kind) for r in rows]
+    return cat.columns[tag]
 
 
 def resolve_references(cat: Catalog, values: DataFrame, tags: Sequence[str] | None = None) -> DataFrame:
@@ -35,7 +37,7 @@ def export_table(cat: Catalog, tag: str, rows: DataFrame, only: Sequence[str] |
     columns = [(f, k) for f, k in columns_of(cat, tag) if only is None or f.lower() in {o.lower() for o in only}]
     names = [f for f, _ in columns]
     kinds = F.create_map(*[F.lit(x) for f, k in columns for x in (f, k)])
-    values = cat.of(cat.fields, tag).filter(F.col("field").isin(names)).join(rows.select("id"), "id", "left_semi").withColumn("kind", kinds[F.col("field")])
+    values = cat.of(cat.fields, tag).filter(F.col("field").isin(names)).join(rows.select("id").distinct(), "id").withColumn("kind", kinds[F.col("field")])
     if resolve:
         refs = [f for f, k in columns if k == "instance"]
         known = all(f in cat.targets for f in refs)
