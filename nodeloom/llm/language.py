@@ -9,14 +9,16 @@ Four kinds of evidence are added as logarithms, per language:
   domain towards its suffix, the suffix towards the whole corpus.
 
 Everything corpus-wide is a grouped aggregation with partial sums, so a host with a
-third of all pages meets in no single task.  The text models are fitted on at most about
-``max_docs`` documents of declared language, as many of each.
+third of all pages meets in no single task.  What the aggregations say goes back to the pages by joins: declarations,
+suffixes and hosts of HOT pages or more are broadcast once counted, so no page of theirs is shuffled by a hot key;
+other hosts are joined by key.  The text models are fitted on at most about ``max_docs`` documents of declared language, as
+many of each, for the MAX_LANGUAGES languages with most documents; further ones have neutral text evidence and
+are told by the rest.
 
 Edge cases: null or empty pages have no text evidence and go by the rest; a missing
 declaration or host is a value of its own; repeated rows count each; of equal posteriors the
 language first by name is taken; very long pages are read whole; without languages to
-learn from the result is empty, more than MAX_LANGUAGES are an error; other columns are
-ignored.
+learn from the result is empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from . import tokens as tk
 from .shared import materialize
 
 BUCKETS, MAX_DOCS, SEED = 1 << 16, 20_000, 5
-#: Languages at most, strength of the smoothing, weight of a trigram and the most that text may say.
+#: Languages with a model of their text, strength of the smoothing, weight of a trigram and the most that text may say.
 MAX_LANGUAGES, STRENGTH, TEMPER, TEXT_LIMIT = 200, 4.0, 0.2, 12.0
+#: Pages from which a host is hot, and rows that may be broadcast.
+HOT, BROADCAST_ROWS = 50_000, 20_000
 _HASH = 1 << 53
 _MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
 _DECLARED = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})"""
@@ -53,10 +57,14 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 class TextModels:
-    """Log probabilities of the buckets under each language, centred on their mean."""
+    """Log probabilities of the buckets under each language, centred on their mean.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    modelled: places in ``languages`` of those that ``counts`` has a row for; all by default.
+    """
+
+    def __init__(self, languages: list[str], counts: np.ndarray, modelled: list[int] | None = None):
         self.languages = languages
+        self.modelled = list(range(len(languages))) if modelled is None else modelled
         share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
         logs = np.log(share)
         self.weights = (logs - logs.mean(axis=0)).astype(np.float32)
@@ -64,25 +72,26 @@ class TextModels:
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n_docs = len(offsets) - 1
         bucket, doc = trigram_counts(data, offsets)
-        out = np.stack([np.bincount(doc, weights=w[bucket], minlength=n_docs) for w in self.weights], axis=1)
+        out = np.zeros((n_docs, len(self.languages)))
+        for i, w in zip(self.modelled, self.weights, strict=True):
+            out[:, i] = np.bincount(doc, weights=w[bucket], minlength=n_docs)
         out = TEMPER * (out - out.max(axis=1, keepdims=True))
         return np.maximum(out, -TEXT_LIMIT)
 
 
 def fit_text(docs: DataFrame, max_docs: int = MAX_DOCS) -> TextModels | None:
-    """Text models from ``docs(doc_id, text, lang)``; languages are those with declared documents."""
+    """Text models from ``docs(doc_id, text, lang)``; languages are those with declared documents, a row of each of which comes to the driver."""
     known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    found = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} declared languages: map them to fewer first")
-    sizes = {r.lang: r.n for r in found}
-    if not sizes:
+    found = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not found:
         return None
-    languages = sorted(sizes)
+    every = sorted(found)
+    languages = sorted(sorted(every, key=lambda x: -found[x])[:MAX_LANGUAGES])
+    sizes = {x: found[x] for x in languages}
     # Each language's share of the sample is the same; the hash has as many bits as a double is exact to.
     quota = [(x, int(_HASH * min(1.0, max_docs / len(sizes) / n))) for x, n in sizes.items()]
     below = F.create_map(*[F.lit(v) for pair in quota for v in pair])[F.col("lang")]
-    sample = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(_HASH)) < below)
+    sample = known.filter(F.col("lang").isin(languages)).filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(_HASH)) < below)
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +108,7 @@ def fit_text(docs: DataFrame, max_docs: int = MAX_DOCS) -> TextModels | None:
     counts = np.zeros(len(languages) * BUCKETS)
     got = summed.toPandas()  # MAX_LANGUAGES * BUCKETS cells at most
     counts[got.cell.to_numpy(np.int64)] = got.n
-    return TextModels(languages, counts.reshape(len(languages), BUCKETS))
+    return TextModels(every, counts.reshape(len(languages), BUCKETS), [every.index(x) for x in languages])
 
 
 def text_evidence(pages: DataFrame, models: TextModels, keep: list[str]) -> DataFrame:
@@ -156,7 +165,17 @@ def identify(pages: DataFrame, models: TextModels, ident: str = "page_id", url:
         n_each = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
         return each.select(by, F.zip_with("c", "prior", lambda c, p: F.log((c + STRENGTH * p) / (n_each + STRENGTH) / p)).alias(name))
 
-    all_rows = rows.join(hosts, ["suffix", "domain", "host"]).join(likelihood("declared", "ld"), "declared").join(likelihood("suffix", "ls"), "suffix")
+    def small(df: DataFrame) -> DataFrame:
+        df = materialize(df)
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    # Pages of hot hosts stay where they are; as many hosts as there are pages for can be hot.
+    keys, hosts = ["suffix", "domain", "host"], materialize(hosts)
+    hot = small(hosts.filter(F.aggregate("c", F.lit(0.0), lambda a, x: a + x) >= HOT))
+    warm = rows.join(hot, keys)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(hosts, keys)
+    all_rows = warm.select(*cold.columns).unionByName(cold)
+    all_rows = all_rows.join(small(likelihood("declared", "ld")), "declared").join(small(likelihood("suffix", "ls")), "suffix")
     n_host = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
     # The page's own soft count is taken out of its host's.
     own = F.transform(F.arrays_zip("c", "q", "prior"), lambda x: F.log((F.greatest(x["c"] - x["q"], F.lit(0.0)) + STRENGTH * x["prior"]) / (F.greatest(n_host - 1.0, F.lit(0.0)) + STRENGTH)))

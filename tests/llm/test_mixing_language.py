@@ -55,9 +55,28 @@ def test_language_samples_whatever_the_size(spark, monkeypatch):
     models = lg.fit_text(docs, max_docs=40)  # a rare language gets as many rows as a common one
     assert models.languages == ["de", "en"] and models.weights.std(axis=1).min() > 0.01
     assert int(lg._HASH * (20_000 / 4 / 10**12)) > 0
+
+
+def test_languages_without_a_model_are_told_by_the_rest(spark, monkeypatch):
     monkeypatch.setattr(lg, "MAX_LANGUAGES", 1)
-    with pytest.raises(ValueError, match="more than 1 declared"):
-        lg.fit_text(docs)
+    en, de = "the house and the garden of the people with their things ", "der garten und das haus mit den sachen von diesen leuten "
+    docs = spark.createDataFrame([(i, en if i % 3 else de, "en" if i % 3 else "de") for i in range(90)], "doc_id long, text string, lang string")
+    models = lg.fit_text(docs)
+    assert models.languages == ["de", "en"] and models.modelled == [1] and models.weights.shape[0] == 1
+    rows = [(i, f"https://a.example.de/{i}", f'<html lang="de">{de}') for i in range(30)]
+    got = lg.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), models).collect()
+    assert len(got) == 30 and all(0 < r.posterior <= 1 for r in got)
+
+
+@pytest.mark.parametrize("hot, most", [(2, 20_000), (1, 0)])
+def test_hot_hosts_change_nothing(spark, monkeypatch, hot, most):
+    sf = "/root/testdata/sf0.001"
+    rows = lambda: sorted(str(tuple(r)) for r in lg.op1_language(spark, sf).collect())
+    plain = rows()
+    monkeypatch.setattr(lg, "HOT", hot)
+    monkeypatch.setattr(lg, "BROADCAST_ROWS", most)
+    near = lambda x: [y if i != 4 else "" for i, y in enumerate(x.split(", "))]
+    assert [near(x) for x in rows()] == [near(x) for x in plain]
 
 
 def by_hand(rows, models):
