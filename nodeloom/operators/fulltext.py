@@ -2,7 +2,7 @@
 
 Tables of a ``Store``, which are committed together:
 
-* ``postings``: a row per term and text with its count, the text's length and times.  A row's bucket is the hash of its
+* ``postings``: a row per term and text with its count and places, the text's length and times.  A row's bucket is the hash of its
   term and slice; a term that is in more than SLICE texts when it is first indexed is dealt in slices by the
   text's id, so that no bucket grows with a frequent term.
 * ``terms``: texts with the term, and slices.
@@ -10,13 +10,18 @@ Tables of a ``Store``, which are committed together:
 * ``corpus``: one row, number of texts and of words.
 
 Upkeep reads and writes the buckets of changed texts and of their old and new terms.  Terms are lower-cased runs of
-letters and digits; a search takes all of them (and) and ranks by BM25.  Null texts are texts without words.
+letters and digits; a search takes all of them (and), those of one written word or within quotes one after another, and ranks by
+BM25 over the terms.  Null texts are texts without words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +36,50 @@ SLICE = 100_000
 
 def tables(buckets: int) -> dict[str, Table]:
     return {
-        "postings": Table("term string, slice int, id string, tf int, len int, created long, updated long", ("term", "slice"), buckets),
+        "postings": Table("term string, slice int, id string, tf int, positions array<int>, len int, created long, updated long", ("term", "slice"), buckets),
         "terms": Table("term string, df long, slices int", ("term",), buckets),
         "forward": Table("id string, term string, slice int, len int", ("id",), buckets),
         "corpus": Table("part string, n long, total long", ("part",), 1),
     }
 
 
+COUNTED = "id string, len int, created long, updated long, term string, tf int, positions array<int>"
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(id, len, created, updated, term, tf) of ``docs(id, text, created, updated)``; a text without words has one row with a null term."""
+    """(id, len, created, updated, term, tf, positions) of ``docs(id, text, created, updated)``; a text without words has one row with a null term.
+
+    Counted within each text, so nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("w")
+            size = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            row, code = np.repeat(np.arange(len(size)), size), coded.indices.to_numpy()
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.lexsort((place, code, row))
+            row, code, place = row[order], code[order], place[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.empty(0, np.int64)
+            bare = np.flatnonzero(size == 0)
+            cut = np.concatenate([new, [len(row)], np.full(len(bare), len(row))])  # texts without words have no places
+            own = pa.array(np.concatenate([row[new], bare]))
+            term = pa.concat_arrays([coded.dictionary.take(pa.array(code[new])).cast(pa.string()), pa.nulls(len(bare), pa.string())])
+            at = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(place.astype(np.int32)))
+            columns = [batch.column("id").take(own), pa.array(size[own.to_numpy()].astype(np.int32)), batch.column("created").take(own), batch.column("updated").take(own), term, pa.array(np.diff(cut).astype(np.int32)), at]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "len", "created", "updated", "term", "tf", "positions"])
+
     w = words(F.coalesce(F.col("text"), F.lit("")))
-    terms = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), (F.size("w") - F.size(F.array_remove("w", t))).alias("tf")))
-    return docs.select("id", "created", "updated", w.alias("w")).select("id", F.size("w").alias("len"), "created", "updated", F.inline_outer(terms))
+    return docs.select(F.col("id").cast("string").alias("id"), F.col("created").cast("long").alias("created"), F.col("updated").cast("long").alias("updated"), w.alias("w")).mapInArrow(run, COUNTED)
+
+
+def parts_of(query: str) -> list[list[str]]:
+    """The query's parts, each the terms that stand one after another: a quoted text, or a written word."""
+    terms = lambda x: "".join(c if c.isalnum() else " " for c in x.lower()).split()
+    return [t for quoted, bare in re.findall(r'"([^"]*)"|(\S+)', query) if (t := terms(quoted or bare))]
 
 
 def replacements(store: Store, changed: DataFrame, docs: DataFrame) -> dict[str, tuple[DataFrame, DataFrame, Sequence[str]]]:
@@ -69,18 +106,24 @@ def replacements(store: Store, changed: DataFrame, docs: DataFrame) -> dict[str,
     }
 
 
+def _stands(part: Sequence[str]) -> Column:
+    """Whether the terms stand one after another, by ``at``, the map of terms to places."""
+    return F.exists(F.col("at")[part[0]], lambda p: reduce(Column.__and__, [F.array_contains(F.col("at")[t], p + k) for k, t in enumerate(part)]))
+
+
 def update(store: Store, changed: DataFrame, docs: DataFrame) -> None:
     """Commits new texts of ``changed(id)``; ids without a row in ``docs(id, text, created, updated)`` leave the index."""
     store.replace((store.versions() or [-1])[-1] + 1, replacements(store, changed, docs))
 
 
 def search(store: Store, query: str, limit: int | None = 50, created_after: int | None = None, created_before: int | None = None, updated_after: int | None = None, updated_before: int | None = None) -> DataFrame:
-    """(id, score) of the texts with all words of the query, best first, ties by id; bounds of times are excluded, texts without a time are beyond them.
+    """(id, score) of the texts with all parts of the query, best first, ties by id; bounds of times are excluded, texts without a time are beyond them.
 
     As many rows as the query has words come to the driver, to choose buckets.
     """
     spark = store.spark
-    asked = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    parts = parts_of(query)
+    asked = sorted({t for part in parts for t in part})
     wanted = spark.createDataFrame([(t,) for t in asked], "term string")
     known = {r.term: r for r in store.read("terms", buckets=store.touched("terms", wanted)).filter(F.col("term").isin(asked)).collect()}
     size = store.read("corpus").first()
@@ -98,5 +141,10 @@ def search(store: Store, query: str, limit: int | None = 50, created_after: int
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(size.total / size.n)))
     # The words' shares are added in one order, so that the last digits do not depend on arrival.
     shares = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))), lambda x: x["part"]), F.lit(0.0), lambda a, x: a + x)
-    out = hits.groupBy("id").agg(F.count("*").alias("met"), F.round(shares, 6).alias("score")).filter(F.col("met") == len(asked)).select("id", "score")
+    phrases = [part for part in parts if len(part) > 1]
+    places = [F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")] if phrases else []
+    out = hits.groupBy("id").agg(F.count("*").alias("met"), F.round(shares, 6).alias("score"), *places).filter(F.col("met") == len(asked))
+    for part in phrases:
+        out = out.filter(_stands(part))
+    out = out.select("id", "score")
     return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out

@@ -171,6 +171,12 @@ def fts_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+def fts_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two words one after the other, by the places in the stored index."""
+    hits = ft.search(_documents(spark, sf_dir), '"of The"', None).select(F.col("id").cast("long").alias("doc_id"), "score")
+    return hits.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
 def _names(spark: SparkSession, sf_dir: str) -> Store:
     def build(path: str) -> Store:
         store = Store(spark, path, ft.tables(16))
@@ -195,8 +201,9 @@ def _searched(word: str, test: str, more: str = "") -> str:
     return f"{STAR_SQL}, r AS (SELECT id, created, updated, w, len(w)::double AS len, len(list_filter(w, lambda x: x = '{word}')) AS tf FROM (SELECT *, coalesce({_WORDS.format('name')}, []) AS w FROM nodes WHERE tag IN ('order', 'event', 'part', 'customer'))), s AS (SELECT count(*)::double AS n, avg(len) AS avg_len, sum((tf > 0)::int)::double AS df FROM r) SELECT id, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)), 6) AS score FROM r, s WHERE tf > 0 AND {test}{more}"
 
 
-QUERIES |= {f.__name__: f for f in (fts_indexed, fts_created, fts_updated)}
+QUERIES |= {f.__name__: f for f in (fts_indexed, fts_phrases, fts_created, fts_updated)}
 ORACLE_SQL |= {
+    "fts_phrases": f"SELECT doc_id, score FROM ({_bm25_sql(['of', 'the'], 1 << 40)}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_WORDS.format('text')}, ' ') || ' ', ' of the ')) ORDER BY score DESC, doc_id LIMIT 50",
     "fts_indexed": _bm25_sql(["der", "und"]),
     "fts_created": _searched("order", "created > 883612800000 AND created < 915148800000", " ORDER BY score DESC, id LIMIT 50"),
     "fts_updated": _searched("purchase", f"updated > {EVENTS_FROM + 86400000} AND updated < {EVENTS_FROM + 10 * 86400000}"),

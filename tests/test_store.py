@@ -129,6 +129,8 @@ def test_stored_search_reads_its_buckets_only(spark, tmp_path):
     assert [(r.id, r.score) for r in ft.search(store, "House red!").collect()] == want
     assert found("red", created_after=10, created_before=40) == ["b"] and found("red", updated_after=4, updated_before=9) == ["b"]
     assert found("none") == found("red none") == found("") == []
+    assert sorted(found('"red house"')) == ["a", "e"]
+    assert found("red-house") == found('"red house"') and found('"the red" fox') == ["b"] and found('"house red"') == [] and found('"red red fox"') == ["b"]
     files = ft.search(store, "fox").inputFiles()
     assert files and all("/postings/" in f for f in files) and len({f.rsplit("/", 2)[1] for f in files}) == 1
     ft.update(store, docs.filter("id IN ('a', 'b')"), docs.filter("id = 'a'").withColumn("text", F.lit("blue")))
