@@ -101,7 +101,9 @@ def recently_updated(cat: Catalog, limit: int = 50) -> DataFrame:
 
 
 def run(cat: Catalog, tag: str | None, where: Sequence[Where | AnyOf] = (), as_of: datetime | None = None, by: str = "created", descending: bool = True, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of found nodes; those of a tag come with all their attributes, those of no tag without."""
+    """A page of found nodes; those of a tag come with all their attributes, those of no tag (None) without."""
+    if tag is not None and not tag.strip():
+        raise ValueError("a tag, or None for all nodes")
     rows = page(order(cat, find(cat, tag, where, as_of), by, descending), limit, offset)
     return rows if tag is None else hydrate(cat, rows, tag=tag)
 

@@ -56,8 +56,9 @@ def test_combined_and_paging(cat):
     rows = query.order(cat, query.find(cat, "task"), "Priority", numeric=True)
     assert [r.id for r in rows.collect()] == ["task1", "task2", "task3"]
     assert query.has_more(rows, 2) and not query.has_more(rows, 3)
-    with pytest.raises(ValueError):
-        query.page(rows, 0)
+    for bad in (lambda: query.page(rows, 0), lambda: query.page(rows, 1001), lambda: query.page(rows, 5, -1), lambda: query.run(cat, " ")):
+        with pytest.raises(ValueError):
+            bad()
     with pytest.raises(ValueError):
         Where("a", "like", "b")
     assert apply(cat, cat.nodes.limit(0), [Where("Status", "=", "x")]).count() == 0
