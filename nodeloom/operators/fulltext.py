@@ -92,7 +92,7 @@ def replacements(store: Store, changed: DataFrame, docs: DataFrame) -> dict[str,
     delta = materialize(moved.groupBy("term").agg(F.sum("d").alias("d")))
     known = store.read("terms", buckets=store.touched("terms", delta)).join(delta, "term", "right")
     slices = F.coalesce("slices", F.greatest(F.lit(1), F.ceil(F.col("d") / SLICE)).cast("int"))
-    terms = materialize(known.select("term", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df"), slices.alias("slices")))
+    terms = materialize(known.select("term", "d", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df"), slices.alias("slices")))
     placed = new.join(terms.select("term", "slices"), "term", "left").withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).cast("int"))
     placed = materialize(placed.drop("slices"))
     size = lambda rows: rows.select("id", "len").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
@@ -100,7 +100,7 @@ def replacements(store: Store, changed: DataFrame, docs: DataFrame) -> dict[str,
     corpus = store.spark.createDataFrame([("all", before[1] - gone.n + come.n, before[2] - gone.total + come.total)], store.tables["corpus"].schema)
     return {
         "postings": (old.filter("term IS NOT NULL").select("term", "slice", "id"), placed.filter("term IS NOT NULL"), ["term", "id"]),
-        "terms": (terms.select("term"), terms.filter("df > 0"), ["term"]),
+        "terms": (terms.filter("d <> 0").select("term"), terms.filter("d <> 0 AND df > 0"), ["term"]),
         "forward": (ids, placed.select("id", "term", "slice", "len"), ["id"]),
         "corpus": (corpus.select("part"), corpus, ["part"]),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..sources.export_json import build_flat, flatten
 from ..sources.store import Store, Table
 from ..storage import materialize
 from . import fulltext
@@ -99,7 +100,21 @@ def owner_digests(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def update_index(store: Store, cat: Catalog, searchable: bool = True) -> DataFrame:
+def update_export(store: Store, docs: DataFrame, searchable: bool = True) -> DataFrame:
+    """``update_index`` from an export's docs(id, props, children, modifiedTs), which are read once.
+
+    A digest of the whole export is kept too: an export that is no other than the last is only read.
+    """
+    flat = materialize(flatten(docs))
+    row, low = F.xxhash64(*flat.columns), F.lit(0xFFFFFFFF)
+    whole = flat.agg(F.concat_ws(":", F.count("*"), F.bit_xor(row), F.sum(row.bitwiseAND(low)), F.sum(F.xxhash64(F.lit(1), *flat.columns).bitwiseAND(low)))).first()[0]
+    held = store.read("digests", buckets=store.touched("digests", store.spark.createDataFrame([("",)], "owner string"))).filter("part = 'export'").first()
+    if held is not None and held.digest == whole:
+        return store.spark.createDataFrame([], "owner string, part string, change string")
+    return update_index(store, build_flat(flat), searchable, whole)
+
+
+def update_index(store: Store, cat: Catalog, searchable: bool = True, whole: str | None = None) -> DataFrame:
     """Brings all tables of the index to the state of ``cat``, in one commit; (owner, part, change) of what differed.
 
     One comparison of digests finds the owners whose rows differ, in any table, for whatever reason (an attribute changes
@@ -107,11 +122,14 @@ def update_index(store: Store, cat: Catalog, searchable: bool = True) -> DataFra
     postings of names follow the same changes.
     """
     tables = {name: materialize(getattr(cat, name).select(*Table(schema, (owner,)).columns)) for name, (schema, owner) in INDEX.items()}
-    new = materialize(owner_digests(tables))
+    new = owner_digests(tables)
+    if whole is not None:
+        new = new.unionByName(store.spark.createDataFrame([("", "export", whole)], DIGESTS))
+    new = materialize(new)
     both = store.read("digests").withColumnRenamed("digest", "old").join(new, ["owner", "part"], "full_outer")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("digest").isNull(), "deleted").when(F.col("old") != F.col("digest"), "modified")
     changes = materialize(both.select("owner", "part", kind.alias("change"), "digest").filter("change IS NOT NULL"))
-    found = changes.drop("digest")
+    found = changes.filter("part <> 'export'").drop("digest")
     if changes.isEmpty():
         return found
     replaced = {}

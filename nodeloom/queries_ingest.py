@@ -102,7 +102,7 @@ def _kept_up(spark: SparkSession, sf_dir: str) -> Store:
     def build(path: str) -> Store:
         store = inc.index_store(spark, path, 16)
         for version in _customers(spark, sf_dir):
-            inc.update_index(store, ex.build(materialize(export_of(version))))
+            inc.update_export(store, export_of(version))
         return store
 
     return stored(spark, sf_dir, "export", build)
@@ -130,8 +130,8 @@ def incremental_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners that differ between the versions, by table and kind of change, from one comparison."""
     store = inc.index_store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 16)
     old, new = _customers(spark, sf_dir)
-    inc.update_index(store, ex.build(materialize(export_of(old))), searchable=False)
-    found = inc.update_index(store, ex.build(materialize(export_of(new))), searchable=False)
+    inc.update_export(store, export_of(old), searchable=False)
+    found = inc.update_export(store, export_of(new), searchable=False)
     return found.groupBy("part", "change").agg(F.count("*").alias("n"))
 
 

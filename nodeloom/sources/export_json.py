@@ -86,10 +86,14 @@ def flatten(docs: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame) -> Catalog:
-    """The catalog of an export's docs(id, props, children, modifiedTs)."""
-    flat = flatten(live(docs))
-    docs = flat
-    child = docs.select(F.col("id").alias("parent_id"), F.posexplode("children").alias("position", "id"))
+    """The catalog of an export's docs(id, props, children, modifiedTs), which are read once and written flat."""
+    return build_flat(materialize(flatten(docs)))
+
+
+def build_flat(flat: DataFrame) -> Catalog:
+    """The catalog of an export's nodes as ``flatten`` gives them."""
+    flat = live(flat)
+    child = flat.select(F.col("id").alias("parent_id"), F.posexplode("children").alias("position", "id"))
     parent = child.groupBy("id").agg(F.max_by("parent_id", F.struct("parent_id", "position")).alias("parent_id"))
     tuples = flat.filter("kind = 'tuple'").select(F.col("id").alias("tuple_id"), "owner", "children", (F.coalesce(F.col("name") == "Values", F.lit(False)) | F.coalesce(F.col("source") == "SYS_A02", F.lit(False))).alias("of_schema"))
     marked = tuples.filter(F.array_contains("children", TAG_MARK))

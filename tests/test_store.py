@@ -114,6 +114,16 @@ def test_upkeep_equals_a_rebuild(spark, tmp_path):
     assert inc.stored_catalog(store).nodes.count() == len(TAG)
 
 
+def test_an_export_that_is_the_last_one_is_only_read(spark, tmp_path):
+    rows = lambda *docs: spark.read.schema(ex.DOC).json(spark.sparkContext.parallelize([json.dumps(d) for d in (*TAG, *docs)]))
+    store = inc.index_store(spark, f"file://{tmp_path}/index", 8)
+    assert inc.update_export(store, rows(doc("a", "one"), doc("b", "two"))).count() > 0 and store.versions() == [0]
+    assert inc.update_export(store, rows(doc("b", "two"), doc("a", "one"))).count() == 0 and store.versions() == [0]
+    changed = {tuple(r) for r in inc.update_export(store, rows(doc("a", "one"), doc("b", "three"))).collect()}
+    assert changed == {("b", "nodes", "modified")} and store.versions() == [0, 1]
+    assert [r.id for r in ft.search(store, "three").collect()] == ["b"] and ft.search(store, "two").count() == 0
+
+
 TEXTS = [("a", "the red house", 10, None), ("b", "The RED red fox", 20, 5), ("c", None, 30, 6), ("d", "red", None, None), ("e", "a house; the red-house", 40, 9)]
 TEXT = "id string, text string, created long, updated long"
 
