@@ -81,6 +81,11 @@ def test_characters_and_white_space():
     assert html.unescape("&amp;lt;") == "&lt;"
 
 
+def test_long_tags():
+    for attribute in ("src=" + "A" * 400_000, f'src="{"A" * 400_000}"', " ".join(f"a{i}=b" for i in range(20_000)), f"alt='{'<p>' * 50_000}'"):
+        assert main_text(f"<article><img {attribute}><p>{LONG}</p></article>") == LONG
+
+
 def test_windows_and_runs():
     assert mt.windows([1, 2, 3, 4], 3) == [6, 9, 7, 4] and mt.windows([], 3) == []
     assert mt.runs([0, 100, 0, 90, 0, 0, 0, 0, 100]) == [(1, 4), (8, 9)]
