@@ -111,6 +111,9 @@ def test_text(spark):
     assert one(tx.number_prefix(F.lit("12abc"))) == 12.0 and one(tx.number_prefix(F.lit("abc"))) is None
     assert one(tx.mentions(F.lit('"a b" and "Cat Dog" with Ann Lee @bob #tag @bob'))) == ["Cat Dog", "Ann Lee", "bob", "tag"]
     assert one(tx.mentions(F.lit("The Plan of Jens-Christian Fischer @x_y-1 #ab"))) == ["Jens-Christian Fischer", "x_y-1"]
+    # Only blanks are trimmed, whatever the place of a name, and a line's begin is none behind a phrase that took the break.
+    assert one(tx.mentions(F.lit("x@mail0.example.com y@mail1.example.com"))) == ["mail0", "mail1"]
+    assert one(tx.mentions(F.lit("Foo Bar Baz Qux\nAbc Def"))) == ["Foo Bar Baz Qux"]
     assert one(tx.enriched(F.array(F.lit("t")), F.array(F.struct(F.lit("F").alias("field"), F.lit("v" * 60).alias("value"))), F.lit("n"))) == "[Type: #t] [F: " + "v" * 50 + "…] n"
 
 
