@@ -53,6 +53,23 @@ def test_tuples_at_any_depth_and_cycles(spark):
     assert {(r.id, r.field, r.value) for r in ex.build(frame(spark, deep + loop)).fields.collect()} == {("n", "F", "value")}
 
 
+def test_owners_of_a_few(spark):
+    docs = spark.createDataFrame([("a", "b"), ("b", "x_TRASH"), ("x_TRASH", None), ("c", "a"), ("d", "e"), ("e", "d"), ("f", None), ("g", "none")], "id string, owner string")
+    few = spark.createDataFrame([("a",), ("c",), ("d",), ("f",), ("g",), ("unknown",)], "id string")
+    assert {r.id for r in graph.owner_in_trash(docs, start=few).collect()} == {"a", "c"}
+    assert {r.id for r in graph.owner_in_trash(docs, 2, start=few).collect()} == {"a"}
+    assert {r.id for r in graph.owner_in_trash(docs).collect()} == {"a", "b", "c"}
+
+
+def test_made_exports_are_not_one_tasks(spark):
+    from nodeloom.queries_export import schema_export
+    from nodeloom.queries_ingest import export_of
+
+    sf = "/root/testdata/sf0.001"
+    for docs in (schema_export(spark, sf).filter("startswith(id, 'C:')"), export_of(spark.read.parquet(f"{sf}/customer.parquet")).filter("startswith(id, 'c:')")):
+        assert docs.selectExpr("spark_partition_id() AS p").distinct().count() > 1
+
+
 def test_climb(spark):
     up = spark.createDataFrame([(i, i - 1 if i else None, i - 1 == 3) for i in range(200)] + [(300, 301, False), (301, 300, False), (400, 999, False)], "id long, parent_id long, hit boolean")
     got = {r.id: (r.ancestor, r.depth) for r in graph.climb(up, 1000).collect()}
