@@ -82,3 +82,19 @@ def test_edges(spark, tmp_path):
     index = vx.store(spark, f"file://{tmp_path}/one")
     vx.build(index, spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], None)] * 3, "id long, vector array<double>, tag string"), 4)
     assert [tuple(r) for r in vx.search(index, [1.0] * 4).collect()] == [(1, 0.5)] * 3
+
+
+def test_drawn_vectors_are_those_of_the_smallest_hashes(spark):
+    from nodeloom.operators import vectors as vx
+
+    rows = spark.range(3000).selectExpr("id", "array(double(id), 1.0D) AS vector").repartition(7)
+    every = [r.id for r in rows.selectExpr("id", "xxhash64(5, id) AS h").orderBy("h", "id").collect()]
+    for most in (1, 100, 2999, 3000, 5000):
+        assert [r.id for r in vx.drawn_by_hash(rows, 3000, most).collect()] == every[:most]
+        assert [r.id for r in vx.drawn_by_hash(rows, 300_000, most).collect()] == every[:most]  # too few below the bound
+
+
+def test_buckets_grow_with_the_texts():
+    from nodeloom.operators import fulltext as ft
+
+    assert [ft.buckets_for(n) for n in (0, 4_000_000, 4_000_001, 27_000_000)] == [16, 16, 17, 108]
