@@ -10,7 +10,8 @@ independently mixed shingle hashes, and:
    that a cell expects CROWD texts, and there are so many tables that a pair at LEAST shares
    one with probability RECALL.  Both follow from the number of texts.
 3. Candidates.  In a cell, texts within the radius that a pair at LEAST keeps (mean and
-   SIGMAS deviations) are connected.
+   SIGMAS deviations) are connected: the popcounts of the fingerprint's segments of four bits are
+   compared first, as their Manhattan distance never exceeds the differing bits, then the bits of what is left.
 4. Verification.  The candidate classes' texts, one per distinct text, are fetched and
    compared by their shingle sets, exactly; only verified links join a class.
 
@@ -104,13 +105,29 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, t long, size long, {', '.join(f'{w} long' for w in words)}")
 
 
+#: Each byte with the set bits of its two segments of four bits moved to the segments' ends.
+COUNTED = np.array([((1 << (x >> 4).bit_count()) - 1) << 4 | (1 << (x & 15).bit_count()) - 1 for x in range(256)], np.uint8)
+
+
+def counts(fp: np.ndarray) -> np.ndarray:
+    """The segments' bit counts of the rows of ``fp``, each written as so many ones: differing bits of two such rows are the Manhattan distance of their counts."""
+    return COUNTED[np.ascontiguousarray(fp).view(np.uint8)].view(np.uint64).reshape(fp.shape)
+
+
 def close(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that connect the rows of ``fp`` (uint64, WIDTH columns) within ``most`` bits: each to the first of its class."""
+    """Edges that connect the rows of ``fp`` (uint64, WIDTH columns) within ``most`` bits: each to the first of its class.
+
+    The segments' popcounts come first: their Manhattan distance is never more than the differing bits, so pairs beyond ``most``
+    by it are none.  The others are compared exactly.
+    """
     linked = np.zeros((len(fp), len(fp)), bool)
-    words = [np.ascontiguousarray(w) for w in fp.T]
+    fp = np.ascontiguousarray(fp)
+    bound = [np.ascontiguousarray(w) for w in counts(fp).T]
     for a in range(0, len(fp), 256):
-        differ = sum(np.bitwise_count(w[a : a + 256, None] ^ w[None, a:]).astype(np.uint16) for w in words)
-        linked[a : a + 256, a:] = differ <= most
+        apart = sum(np.bitwise_count(w[a : a + 256, None] ^ w[None, a:]).astype(np.uint16) for w in bound)
+        x, y = np.nonzero(apart <= most)
+        near = np.bitwise_count(fp[x + a] ^ fp[y + a]).sum(axis=1, dtype=np.uint16) <= most
+        linked[x[near] + a, y[near] + a] = True
         linked[a:, a : a + 256] = linked[a : a + 256, a:].T
     return stars(len(fp), np.flatnonzero(linked.sum(axis=1) > 1), lambda x: np.flatnonzero(linked[x]))
 

@@ -150,3 +150,23 @@ def test_edges(spark, edge_docs, no_docs, make_docs):
     assert nc.deduplicate(no_docs).count() == 0
     ties = make_docs(["a b c d e f", "a b c d e f", "x", "x"], [None, 4, None, None])
     assert sorted((str(r.doc_id), r.text) for r in nc.deduplicate(ties).collect()) == [("4", "a b c d e f"), ("None", "x")]
+
+
+def test_popcounts_bound_the_bits_and_lose_none():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, (700, nc.WIDTH), np.uint64) << np.uint64(1)
+    for i in range(0, 600, 2):  # neighbours at 1 to 80 differing bits
+        fp[i + 1] = fp[i]
+        for bit in rng.choice(64 * nc.WIDTH, 1 + i % 80, replace=False):
+            fp[i + 1, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    bits = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2, dtype=int)
+    code = nc.counts(fp)
+    by_counts = np.bitwise_count(code[:, None] ^ code[None]).sum(axis=2, dtype=int)
+    each = np.stack([np.bitwise_count(fp >> np.uint64(s) & np.uint64(15)) for s in range(0, 64, 4)], axis=2).reshape(len(fp), -1).astype(int)
+    assert (by_counts[0] == np.abs(each[0] - each).sum(axis=1)).all() and (by_counts <= bits).all()
+    assert (by_counts > nc.radius()).mean() > 0.8  # most pairs are told apart by their counts
+    linked = np.argwhere(np.triu(bits <= nc.radius(), 1))
+    label = np.arange(len(fp))
+    for a, b in nc.close(fp, nc.radius()):
+        label[b] = label[a]
+    assert len(linked) > 200 and all(label[a] == label[b] for a, b in linked)
