@@ -1,7 +1,7 @@
 """Work is dealt over the tasks of a shuffle, and done once, however the input grows."""
 
 from nodeloom import catalog
-from nodeloom.operators import aggregate, query, schema
+from nodeloom.operators import aggregate, incremental, query, schema
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +43,12 @@ def test_fill_rates_by_bits(spark):
     got = {(r.tag, r.field): (r.filled, r.instances, r.rate) for r in schema.fill_rates(cat).collect()}
     want = {("t", f): (n := sum(i % (k + 1) == 0 for k in range(4)), 4, n * 25.0) for i, f in enumerate(names)}
     assert got == want | {("u", "f129"): (2, 2, 100.0)}
+
+
+def test_changes_are_dealt_out_before_they_are_sorted(spark):
+    """The latest change of each key is not sought within one file's task first."""
+    changes = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "ts", "event_type")
+    last = incremental.last_per_key(changes, "user_id", ["ts", "event_id"])
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("Aggregate")
+    assert last.count() == changes.select("user_id").distinct().count()
